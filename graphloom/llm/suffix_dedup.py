@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import arrow_batches, materialize
 
 #: Bytes of a repeated string; of an anchor's own string; windows of the minimizer.
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
-#: Window starts handled at once; suffixes in a run; suffixes resolved at once.
-SEGMENT, RUN, BLOCK = 262_144, 200_000, 20_000
+#: Window starts handled at once; suffixes in a run; suffixes resolved at once; rows handed to Python at once.
+SEGMENT, RUN, BLOCK, BATCH = 262_144, 40_000, 20_000, 256
 
 _rng = np.random.default_rng(0xA9C)
 _CODES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -63,6 +63,12 @@ def gram_hashes(a: np.ndarray, k: int = GRAM) -> np.ndarray:
     return h
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """The hashes of anchors are small, being least in a window; these are even."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(_BASE)
+
+
 def _sliding(h: np.ndarray, w: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over each w neighbours: prefixes and suffixes of blocks."""
     n = len(h)
@@ -379,14 +385,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     place = F.xxhash64("cid", "pos")
     again = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
     places = found.join(again, "key", "left_semi").groupBy("cid").agg(F.collect_set("pos").alias("places"))
-    sorted_texts = materialize(long.join(places.withColumnRenamed("cid", "_cid"), F.col("cid") == F.col("_cid")).dropDuplicates(["cid", "digest"]).select("digest", "text", "places"), "suffix")
+    sorted_texts = long.join(places.withColumnRenamed("cid", "_cid"), F.col("cid") == F.col("_cid")).dropDuplicates(["cid", "digest"]).select("digest", "text", "places")
+    with arrow_batches(spark, BATCH):
+        sorted_texts = materialize(sorted_texts, "suffix")
 
     n_ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     runs = sorted_texts.mapInArrow(_runs(n_ranges), "part int, run binary")
     spans = runs.groupBy("part").applyInPandas(_merge, "digest binary, start bigint, end bigint")
     spans = spans.groupBy(F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     cut = sorted_texts.join(spans, F.col("digest") == F.col("_digest")).select("digest", "text", "_spans")
-    cut = cut.mapInArrow(_cut, "digest binary, _removed bigint, _cuts array<struct<start: bigint, end: bigint>>, _sha string")
+    with arrow_batches(spark, BATCH):
+        cut = materialize(cut.mapInArrow(_cut, "digest binary, _removed bigint, _cuts array<struct<start: bigint, end: bigint>>, _sha string"), "suffix")
 
     whole = (F.col("_times") > 1) & (F.col("n_bytes") >= LENGTH)
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
