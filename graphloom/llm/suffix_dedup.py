@@ -316,7 +316,7 @@ def _runs(n_ranges: int):
                     if not len(at):
                         continue
                     keys = np.concatenate([gram_hashes(np.frombuffer(text, np.uint8, min(SEGMENT + GRAM, len(text) - s), s))[at[(at >= s) & (at < s + SEGMENT)] - s] for s in range(0, int(at[-1]) + 1, SEGMENT)])
-                    raw = keys.astype(">u8").tobytes()
+                    raw = spread(keys).astype(">u8").tobytes()
                     for i, p in enumerate(at.tolist()):
                         held.append((raw[8 * i : 8 * i + 8] + text[p : p + LENGTH], text[max(0, p - WINDOW + 1) : p][::-1], digest, p))
                 if len(held) >= RUN:
