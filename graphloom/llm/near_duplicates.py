@@ -118,26 +118,39 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
+def _bits(some: set[tuple[bytes, ...]]) -> list[int]:
+    """A set's Bloom filter of SKETCH_BITS bits and one hash, as signed 64-bit words."""
+    x = 0
+    for t in some:
+        x |= 1 << xxhash.xxh3_64_intdigest(b" ".join(t)) % SKETCH_BITS
+    return np.frombuffer(x.to_bytes(SKETCH_BITS // 8, "little"), "<i8").tolist()
+
+
 def _verify(k: int, percent: int):
-    """Pairs (u, v, text_u, text_v) whose full sets are similar; u's sets come in runs."""
+    """Pairs (u, v, text_u, text_v) on their full sets: whether they are similar, and how v's differs from u's.
+
+    added and removed are what v has beyond u and lacks of it, as a number and filters.
+    """
+    words = [f"{c}{i}" for c in "ar" for i in range(SKETCH_BITS // 64)]
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("added", pa.int64()), *((w, pa.int64()) for w in words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, set] = (None, set())
         for batch in batches:
-            us, vs = [], []
+            rows = []
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 for u, v, a, b in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).cast(pa.binary()).to_pylist(), some.column(3).cast(pa.binary()).to_pylist(), strict=True):
                     if last[0] != u:
                         last = (u, shingles(a.lower().split(), k))
                     other = shingles(b.lower().split(), k)
-                    both = len(last[1] & other)
-                    if 100 * both >= percent * (len(last[1]) + len(other) - both):
-                        us.append(u)
-                        vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                    added = other - last[1]
+                    both = len(other) - len(added)
+                    linked = 100 * both >= percent * (len(last[1]) + len(other) - both)
+                    rows.append((u, v, linked, len(added), *_bits(added), *_bits(last[1] - other)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)) or [()] * len(schema), schema, strict=True)], schema=schema)
 
-    return run
+    return run, f"u bigint, v bigint, linked boolean, added bigint, {', '.join(f'{w} bigint' for w in words)}"
 
 
 def _far_bits(percent: int) -> int:
@@ -152,6 +165,20 @@ def _agree(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND {bits} <= {_far_bits(percent)}"
 
 
+def _may_share(percent: int) -> str:
+    """SQL condition that similar sets a and b meet, from how they differ from one hub.
+
+    They share what of the hub neither lacks, and what both added. A filter's bits count
+    elements at least once: the union of what is lacking has as many elements as bits or
+    more, and what a added and b has no bit for isn't b's.
+    """
+    words = range(SKETCH_BITS // 64)
+    gone = " + ".join(f"bit_count(a.r{i} | b.r{i})" for i in words)
+    only_a, only_b = (" + ".join(f"bit_count({x}.a{i} & ~{y}.a{i})" for i in words) for x, y in ("ab", "ba"))
+    most = f"a.hub_n - ({gone}) + least(a.added - ({only_a}), b.added - ({only_b}))"
+    return f"coalesce({100 + percent} * ({most}) >= {percent} * (a.n + b.n), true)"
+
+
 def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text).
 
@@ -163,45 +190,49 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(_sign(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "minhash")
-    same = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"))
+    same = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = materialize(same, "minhash")
     reps = signed.join(same.select(F.col("digest").alias("_d"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select("doc_id", F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)], "bands"), "minhash")
+    sketch = [f"s{i}" for i in range(SKETCH_BITS // 64)]
+    reps = materialize(reps.select("doc_id", F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(s) for i, s in enumerate(sketch)], "bands"), "minhash")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(keys.join(full, "key"), "minhash")
-    weight = members.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    members = materialize(members.join(weight, "doc_id").join(reps.drop("bands"), "doc_id"), "minhash")
-    hubs = members.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", *[f"s{i}" for i in range(SKETCH_BITS // 64)]), F.struct("weight", -F.col("doc_id"))).alias("h")).select(F.col("key").alias("_key"), "h.*")
+    weight = materialize(members.groupBy("doc_id").agg(F.sum("size").alias("weight")), "minhash")
+    members = materialize(members.drop("size").join(weight, "doc_id").join(reps.drop("bands"), "doc_id"), "minhash")
+    texts = materialize(docs.join(weight.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash")
+    hubs = members.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", *sketch), F.struct("weight", -F.col("doc_id"))).alias("h")).select(F.col("key").alias("_key"), "h.*")
+    hubs = materialize(hubs, "minhash")
     pairs = members.alias("a").join(hubs.alias("b"), F.expr(f"a.key = b._key AND a.doc_id <> b.doc_id AND {_agree('a', 'b', percent)}"))
-    edges = materialize(_verified(pairs, docs, reps, shingle_words, percent), "minhash")
+    held = materialize(_compared(pairs.selectExpr("b.doc_id AS u", "a.doc_id AS v"), texts, shingle_words, percent), "minhash")
+    edges = held.where("linked").select("u", "v")
     found = materialize(components(edges), "minhash")
 
     # What shares a bucket but no component yet
-    left = members.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component", "weight", "size")
+    left = members.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component", "weight")
     mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = materialize(left.join(mixed, "key", "left_semi"), "minhash")
-    pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.key = b.key AND a.c < b.c AND {_agree('a', 'b', percent)}"))
-    more = materialize(_verified(pairs, docs, reps, shingle_words, percent, known=edges), "minhash")
+    left = left.join(mixed, "key", "left_semi").join(hubs.select("_key", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), F.col("key") == F.col("_key")).drop("_key")
+    left = left.join(held.drop("linked"), (F.col("hub") == F.col("u")) & (F.col("doc_id") == F.col("v")), "left").drop("u", "v")
+    own = F.col("doc_id") == F.col("hub")  # the hub adds nothing and lacks nothing
+    left = left.withColumns({c: F.when(own, F.lit(0)).otherwise(F.col(c)).cast("long") for c in held.columns[3:]})
+    left = materialize(left, "minhash")
+    pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.key = b.key AND a.c < b.c AND {_agree('a', 'b', percent)} AND {_may_share(percent)}"))
+    more = materialize(_compared(pairs.selectExpr("a.doc_id AS u", "b.doc_id AS v"), texts, shingle_words, percent), "minhash").where("linked")
     if not more.isEmpty():
-        found = materialize(components(edges.unionByName(more)), "minhash")
+        found = materialize(components(edges.unionByName(more.select("u", "v"))), "minhash")
 
     ids = same.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("component_id"))
     return signed.join(ids, F.col("digest") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, known: DataFrame | None = None) -> DataFrame:
-    """Those of the candidate pairs a, b whose full sets are similar. Only the pairs' texts move."""
-    pairs = pairs.select(F.expr("greatest(a.doc_id, b.doc_id)").alias("v"), F.expr("least(a.doc_id, b.doc_id)").alias("u")).distinct()
-    if known is not None:
-        pairs = pairs.join(known, ["u", "v"], "left_anti")
-    pairs = materialize(pairs, "minhash")
-    ends = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = materialize(docs.join(ends, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "minhash")
-    first = pairs.join(texts.withColumnsRenamed({"doc_id": "_u", "text": "text_u"}), F.col("u") == F.col("_u")).select("u", "v", "text_u")
-    both = first.join(texts.withColumnsRenamed({"doc_id": "_v", "text": "text_v"}), F.col("v") == F.col("_v")).select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(_verify(k, percent), "u bigint, v bigint")
+def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The candidate pairs (u, v) on their full sets; only their texts move."""
+    run, schema = _verify(k, percent)
+    pairs = materialize(pairs.distinct(), "minhash")
+    first = pairs.join(texts.withColumnsRenamed({"doc_id": "_v", "text": "text_v"}), F.col("v") == F.col("_v")).select("u", "v", "text_v")
+    both = first.join(texts.withColumnsRenamed({"doc_id": "_u", "text": "text_u"}), F.col("u") == F.col("_u")).select("u", "v", "text_u", "text_v")
+    return both.mapInArrow(run, schema)
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
