@@ -16,11 +16,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +33,10 @@ from graphloom.llm.common import scratch
 MAGIC, HEAD = b"GLT1", struct.Struct("<4sIIQQ")
 #: Ids in a block; ids in a file, beyond which the next document opens a new one.
 BLOCK, FILE_IDS = 65_536, 4_000_000
-#: Words whose ids a worker keeps.
-CACHED = 300_000
+#: Words whose ids a worker keeps; bytes of text that it encodes at once.
+PARTS, SLICE = 700_000, 8_000_000
+#: ASCII punctuation that a pre-token pattern takes in one piece (the apostrophe opens contractions).
+CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def width(vocabulary: int) -> int:
@@ -109,11 +114,25 @@ class TokenFile:
             yield int(self.doc_ids[k]), a, held[a - lo : b - lo]
 
 
+def _parts(word: bytes) -> tuple[bytes, ...]:
+    """Letters and closing punctuation, which the tokenizer encodes alone; else the word as it is."""
+    if word.isascii():
+        word = word.lower()
+        body = word.rstrip(CLOSING)
+        return (body, word[len(body) :]) if body.isalpha() and len(body) < len(word) else (word,)
+    text = word.decode()
+    body = text.rstrip(CLOSING.decode())
+    if len(body) < len(text) and body.isalpha() and body.lower().isalpha():
+        return body.encode(), text[len(body) :].encode()
+    return (word,)
+
+
 class WordEncoder:
-    """Ids of whole texts, for tokenizers that drop white space and encode what lies between alone.
+    """Ids of whole texts, for lower-casing tokenizers that drop white space and encode what lies between alone.
 
-    The words between ASCII white space go through the tokenizer once; a text's
-    ids are its words' ids in order. Any other tokenizer encodes texts whole.
+    The words between ASCII white space, without the punctuation that closes them, go
+    through the tokenizer once; a text's ids are its words' ids in order. Any other
+    tokenizer encodes texts whole.
     """
 
     def __init__(self, path: str):
@@ -125,32 +144,63 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
-        self.seen: dict[bytes, bytes] = {}
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lowers = any(x.get("type") == "Lowercase" for x in (made.get("normalizer") or {}).get("normalizers") or [])
+        self.by_word = lowers and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
+        self.parts: dict[bytes, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null texts have none."""
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return self._raw([(t or b"").decode() for t in texts])
-        split = [(t or b"").split() for t in texts]
-        if len(self.seen) > CACHED:
-            self.seen.clear()
-        seen = self.seen
-        new = list({w for ws in split for w in ws if w not in seen})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            seen.update(zip(part, self._raw([w.decode() for w in part]), strict=True))
-        return [b"".join([seen[w] for w in ws]) for ws in split]
+            return [np.frombuffer(x, "<u4") for x in self._raw(texts.to_pylist())]
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        at, raw = coded.indices.to_numpy(zero_copy_only=False), self._words(coded.dictionary.cast(pa.binary()).to_pylist())
+        sizes = np.array([len(x) // 4 for x in raw], np.int64)
+        ids, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each word."""
+        parts = self.parts
+        if len(parts) > PARTS:
+            parts.clear()
+        cut = [_parts(w) for w in words]
+        unknown = list({p for ps in cut for p in ps if p not in parts})
+        for i in range(0, len(unknown), 10_000):
+            some = unknown[i : i + 10_000]
+            parts.update(zip(some, self._raw([p.decode() for p in some]), strict=True))
+        return [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] for ps in cut]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts have SLICE bytes at most, or one row."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder: its words outlive a task."""
+    return WordEncoder(path)
 
 
 def _write(folder: str, tokenizer: str, end_id: int, bits: int, file_ids: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        encode, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer), np.array([end_id], "<u4")
         held: tuple[list[int], list[np.ndarray]] = ([], [])
         n, seq, part = 0, 0, 0
 
@@ -164,13 +214,12 @@ def _write(folder: str, tokenizer: str, end_id: int, bits: int, file_ids: int, b
             return pa.RecordBatch.from_pydict(row, pa.schema({"part": pa.int32(), "seq": pa.int64(), "name": pa.string(), "n_ids": pa.int64()}))
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for some in _slices(batch, 1):
                 part = some.column(2)[0].as_py()
-                for doc_id, raw in zip(some.column(0).to_pylist(), encode(some.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     held[0].append(doc_id)
-                    held[1].append(np.frombuffer(raw + end, "<u4"))
-                    n += len(held[1][-1])
+                    held[1].append(np.append(ids, end))
+                    n += len(ids) + 1
                     if n >= file_ids:
                         yield flush()
         if held[0]:
