@@ -5,6 +5,261 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as T
+from graphloom.operators import projection as P
+from graphloom.operators import resolution as R
+from graphloom.operators import risk
+from graphloom.plans import driver_graph as D
+from graphloom.sources import csv_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_V = """v AS (SELECT 'r:' || r_regionkey AS vid, 'region' AS tag, r_name AS label FROM region UNION ALL SELECT 'n:' || n_nationkey, 'nation', n_name FROM nation
+UNION ALL SELECT 's:' || s_suppkey, 'supplier', s_name FROM supplier UNION ALL SELECT 'c:' || c_custkey, 'person', c_name FROM customer)"""
+_E = """e AS (SELECT 'n:' || n_nationkey AS src, 'r:' || n_regionkey AS dst, 'PART_OF' AS edge_type FROM nation UNION ALL SELECT 's:' || s_suppkey, 'n:' || s_nationkey, 'LOCATED_AT' FROM supplier
+UNION ALL SELECT 'c:' || c_custkey, 'n:' || c_nationkey, 'CITIZEN_OF' FROM customer)"""
+_U = _E + ", u AS (SELECT src AS a, dst AS b, edge_type, 'out' AS direction FROM e UNION ALL SELECT dst, src, edge_type, 'in' FROM e)"
+_O = """o AS (SELECT DISTINCT 'o:' || l_partkey || ':' || l_suppkey AS connector, 'c:' || o_custkey AS person FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
+_N = _O + ", n AS (SELECT connector, count(*) AS n FROM o GROUP BY connector)"
+_S = _N + """, s AS (SELECT a.person AS p1, b.person AS p2, a.connector, 'shared_attribute' AS kind, CAST(0.4 AS DOUBLE) / (n - 1) AS confidence
+FROM o AS a JOIN o AS b ON a.connector = b.connector AND a.person < b.person JOIN n ON n.connector = a.connector WHERE n BETWEEN 2 AND 25)"""
+_DR = """dr AS (SELECT least(x, y) AS p1, greatest(x, y) AS p2, CAST(NULL AS VARCHAR) AS connector, 'direct' AS kind, CAST(0.9 AS DOUBLE) AS confidence
+FROM (SELECT 'c:' || a.o_custkey AS x, 'c:' || b.o_custkey AS y FROM orders AS a JOIN orders AS b ON b.o_orderkey = a.o_orderkey + 1) WHERE x <> y)"""
+_BR = """br AS (SELECT least(x.person, y.person) AS p1, greatest(x.person, y.person) AS p2, src, dst, 'linked_organisation' AS kind, CAST(0.4 AS DOUBLE) AS confidence
+FROM (SELECT DISTINCT 'o:' || a.l_partkey || ':' || a.l_suppkey AS src, 'o:' || b.l_partkey || ':' || b.l_suppkey AS dst FROM lineitem AS a JOIN lineitem AS b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1) AS g
+JOIN o AS x ON x.connector = src JOIN n AS nx ON nx.connector = src JOIN o AS y ON y.connector = dst JOIN n AS ny ON ny.connector = dst
+WHERE src <> dst AND nx.n <= 25 AND ny.n <= 25 AND x.person <> y.person)"""
+_L = "l AS (SELECT p1, p2, count(*) AS via_count, round(1 - product(1 - confidence), 4) AS confidence FROM {} GROUP BY p1, p2)"
+_FO = """f AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS connector, 'c:' || o_custkey AS person, 'order_date' AS field_key FROM orders
+UNION SELECT strftime(l_shipdate, '%Y-%m-%d'), 'c:' || o_custkey, 'ship_date' FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+k AS (SELECT connector, person, bool_or(field_key = 'order_date') AS o, bool_or(field_key = 'ship_date') AS s FROM f GROUP BY ALL),
+m AS (SELECT connector, count(*) AS n FROM k GROUP BY connector)"""
+
+
+# ---- scans, neighbourhoods, paths
+
+
+@query(f"WITH {_V} SELECT vid, tag, label FROM v WHERE tag = 'supplier' ORDER BY vid LIMIT 10")
+def scan_vertices_topn(spark, sf):
+    return D.hierarchy(spark, sf).scan_vertices("supplier", 10).select("vid", "tag", "label")
+
+
+@query(f"WITH {_V}, {_U} SELECT DISTINCT vid, tag, label FROM v JOIN u ON vid = b WHERE a = 's:1' AND direction = 'out'")
+def neighbors_out(spark, sf):
+    return D.hierarchy(spark, sf).neighbors("s:1")
+
+
+@query(f"WITH {_V}, {_U} SELECT DISTINCT vid, tag, label FROM v JOIN u ON vid = b WHERE a = 'n:1' AND direction = 'in'")
+def neighbors_in(spark, sf):
+    return D.hierarchy(spark, sf).neighbors("n:1", direction="in")
+
+
+@query(f"WITH {_V}, {_U} SELECT DISTINCT vid, tag, label FROM v JOIN u ON vid = b WHERE a = 'n:1'")
+def neighbors_both(spark, sf):
+    return D.hierarchy(spark, sf).neighbors("n:1", direction="both")
+
+
+@query(f"WITH {_V}, {_E} SELECT DISTINCT src, dst, edge_type, CAST(0 AS BIGINT) AS rank FROM e WHERE src IN (SELECT vid FROM v WHERE tag = 'region') OR dst IN (SELECT vid FROM v WHERE tag = 'region')")
+def neighbors_batch(spark, sf):
+    g = D.hierarchy(spark, sf)
+    return g.neighbors_batch(g.vertices.where("tag = 'region'"))
+
+
+@query(f"WITH {_U} SELECT a AS vid, edge_type, direction, count(DISTINCT b) AS n FROM u GROUP BY ALL")
+def degree_table(spark, sf):
+    return D.hierarchy(spark, sf).degrees()
+
+
+@query(f"WITH {_U} SELECT a AS vid, count(DISTINCT b) AS n FROM u WHERE direction = 'in' AND edge_type = 'CITIZEN_OF' GROUP BY a")
+def count_neighbors(spark, sf):
+    return D.hierarchy(spark, sf).degrees().where("direction = 'in' AND edge_type = 'CITIZEN_OF'").select("vid", "n")
+
+
+@query(
+    f"""WITH {_V}, {_E}, w AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY vid) AS i FROM v WHERE tag IN ('nation', 'supplier')),
+k AS (SELECT vid FROM w WHERE i <= 13 ORDER BY i, tag LIMIT 25) SELECT DISTINCT src, dst, edge_type FROM e WHERE src IN (FROM k) AND dst IN (FROM k)"""
+)
+def overview_induced(spark, sf):
+    return D.hierarchy(spark, sf).overview(["nation", "supplier"], 25)[1]
+
+
+@query(f"WITH RECURSIVE {_U}, h AS (SELECT 'r:1' AS vid, 0 AS d UNION SELECT b, d + 1 FROM h JOIN u ON a = vid WHERE d < 2) SELECT vid, min(d) AS depth FROM h GROUP BY vid")
+def k_hop(spark, sf):
+    return D.hierarchy(spark, sf).k_hop(spark.createDataFrame([("r:1",)], "vid string"), 2)
+
+
+@query(f"WITH RECURSIVE {_E}, h AS (SELECT 's:1' AS vid, 's:1' AS path UNION ALL SELECT dst, path || '>' || dst FROM h JOIN e ON src = vid) SELECT path FROM h JOIN (SELECT 'r:' || n_regionkey AS goal FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 1) ON vid = goal")
+def shortest_path(spark, sf):
+    goal = D.table(spark, sf, "supplier").where("s_suppkey = 1").join(D.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).first()["n_regionkey"]
+    return D.hierarchy(spark, sf).shortest_paths("s:1", f"r:{goal}").select(F.array_join("path", ">").alias("path"))
+
+
+@query(f"WITH {_V} SELECT vid, tag, label FROM v WHERE lower(label) LIKE '%r#00000001%'")
+def substring_search(spark, sf):
+    return D.hierarchy(spark, sf).search("R#00000001", limit=None).select("vid", "tag", "label")
+
+
+# ---- the projection to person links
+
+
+@query(f"WITH {_N} SELECT connector, n FROM n")
+def owners_per_connector(spark, sf):
+    return D.offer_owners(spark, sf).groupBy("connector").agg(F.countDistinct("person").alias("n"))
+
+
+@query("SELECT 'p:' || l_partkey AS connector, 'part' AS tag, count(DISTINCT o_custkey) AS person_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY l_partkey HAVING count(DISTINCT o_custkey) > 25")
+def suppressed_hubs(spark, sf):
+    return P.suppressed_hubs(D.part_owners(spark, sf))
+
+
+@query(f"WITH {_S}, {_L.format('s')} SELECT * FROM l")
+def shared_links(spark, sf):
+    return P.links(P.shared_reasons(D.offer_owners(spark, sf)))
+
+
+@query(
+    f"""WITH {_FO} SELECT a.person AS p1, b.person AS p2, a.connector, 'shared_field' AS kind, CASE WHEN a.o AND b.o OR NOT (a.s AND b.s) THEN 'order_date' ELSE 'ship_date' END AS field_key,
+(a.o AND b.o) OR (a.s AND b.s) AS same_key, round(CAST(0.5 AS DOUBLE) / (n - 1) * CASE WHEN (a.o AND b.o) OR (a.s AND b.s) THEN 1 ELSE 0.6 END, 6) AS confidence
+FROM k AS a JOIN k AS b ON a.connector = b.connector AND a.person < b.person JOIN m ON m.connector = a.connector WHERE n BETWEEN 2 AND 60"""
+)
+def field_links(spark, sf):
+    return P.field_reasons(D.value_owners(spark, sf), 60).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"WITH {_DR} SELECT * FROM dr")
+def direct_links(spark, sf):
+    persons = D.hierarchy(spark, sf).vertices.where("tag = 'person'").select("vid")
+    return P.direct_reasons(D.direct_edges(spark, sf), persons)
+
+
+@query(f"WITH {_N}, {_BR} SELECT * FROM br")
+def bridge_links(spark, sf):
+    return P.bridge_reasons(D.offer_owners(spark, sf), D.bridge_edges(spark, sf))
+
+
+def _merged(spark, sf, least: float = 0.0) -> DataFrame:
+    persons = D.hierarchy(spark, sf).vertices.where("tag = 'person'").select("vid")
+    owners = D.offer_owners(spark, sf)
+    return P.links(P.shared_reasons(owners), P.direct_reasons(D.direct_edges(spark, sf), persons), min_confidence=least)
+
+
+_M = f"WITH {_S}, {_DR}, x AS (SELECT p1, p2, confidence FROM s UNION ALL SELECT p1, p2, confidence FROM dr), {_L.format('x')}"
+
+
+@query(_M + " SELECT * FROM l")
+def merged_links(spark, sf):
+    return _merged(spark, sf)
+
+
+@query(_M + " SELECT * FROM l WHERE confidence >= 0.95")
+def links_min_confidence(spark, sf):
+    return _merged(spark, sf, 0.95)
+
+
+@query(
+    f"""WITH RECURSIVE {_S}, {_L.format('s')}, y AS (SELECT p1 AS a, p2 AS b FROM l UNION ALL SELECT p2, p1 FROM l),
+h AS (SELECT 'c:1' AS vid, 0 AS d UNION SELECT b, d + 1 FROM h JOIN y ON a = vid WHERE d < 2) SELECT vid, min(d) AS degree FROM h GROUP BY vid"""
+)
+def person_degrees(spark, sf):
+    return P.person_degrees(shared_links(spark, sf), "c:1", 2)
+
+
+@query(f"WITH {_O} SELECT connector, string_agg(person, ',' ORDER BY person) AS shared_with FROM o GROUP BY connector")
+def attributes_shared_with(spark, sf):
+    return D.offer_owners(spark, sf).groupBy("connector").agg(F.array_join(F.sort_array(F.collect_set("person")), ",").alias("shared_with"))
+
+
+# ---- values, keys, resolution, risk
+
+
+@query("SELECT DISTINCT 'value:' || substr(sha1(lower(trim(c_mktsegment))), 1, 32) AS vid, lower(trim(c_mktsegment)) AS value, 'c:' || c_custkey AS owner FROM customer WHERE length(trim(c_mktsegment)) >= 3")
+def value_index(spark, sf):
+    v = D.table(spark, sf, "customer").select(T.normalize_value(F.col("c_mktsegment")).alias("value"), F.concat(F.lit("c:"), F.col("c_custkey")).alias("owner"))
+    return v.where(T.is_eligible(F.lit("segment"), F.col("value"))).select(T.value_vid(F.col("value")).alias("vid"), "value", "owner").distinct()
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS i FROM documents) WHERE i = 1")
+def evidence_dedup(spark, sf):
+    d = D.table(spark, sf, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("content_hash"))
+    return R.first_wins(d, ["content_hash"], "doc_id").select("doc_id", "content_hash")
+
+
+@query("SELECT event_id, CASE WHEN value / 100 >= 0.85 THEN 'accepted' WHEN value / 100 >= 0.5 THEN 'in_review' ELSE 'rejected' END AS gate FROM events")
+def confidence_gate(spark, sf):
+    return D.table(spark, sf, "events").select("event_id", R.confidence_gate(F.col("value") / 100).alias("gate"))
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber) AS i FROM lineitem) WHERE i = 1")
+def dedup_first(spark, sf):
+    li = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return R.first_wins(li, ["l_orderkey", "l_partkey"], "l_linenumber")
+
+
+@query("SELECT c_custkey, 'vehicle:' || regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key FROM customer")
+def deterministic_keys(spark, sf):
+    return D.table(spark, sf, "customer").select("c_custkey", T.deterministic_key(F.lit("Vehicle"), {"plate": F.col("c_name")}).alias("key"))
+
+
+@query(
+    """WITH a AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM a WHERE vec_id < 5),
+c AS (SELECT q.vec_id AS query_id, a.vec_id, list_dot_product(q.embedding::DOUBLE[], a.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) AS s FROM q, a WHERE q.vec_id <> a.vec_id)
+SELECT query_id, vec_id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS i FROM c) WHERE i <= 5"""
+)
+def cosine_topk(spark, sf):
+    """The five nearest of five stated query vectors."""
+    a = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    q = F.broadcast(a.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")))
+    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (a, b) -> a * b), 0D, (s, v) -> s + v)"
+    s = a.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.expr(f"{dot('q', 'e')} / sqrt({dot('q', 'q')} * {dot('e', 'e')})").alias("s"))
+    return s.withColumn("i", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)")).where("i <= 5").select("query_id", "vec_id", F.round("s", 5).alias("score"))
+
+
+@query(
+    """SELECT 'c:' || c_custkey AS vid, round(least(1.0, CASE WHEN c_acctbal < -900 THEN 1.0 ELSE 0 END + CASE WHEN t > 0 THEN 0.5 * least(t / 3.0, 1.0) ELSE 0 END + CASE WHEN c_nationkey = 1 THEN 0.3 ELSE 0 END), 4)::DOUBLE AS score
+FROM customer JOIN (SELECT c_custkey AS k, count(o_orderkey) AS t FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY c_custkey) ON k = c_custkey"""
+)
+def risk_scores(spark, sf):
+    t = D.table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("transfers"))
+    c = D.table(spark, sf, "customer").join(t, F.col("c_custkey") == F.col("o_custkey"), "left")
+    context = c.select(
+        F.concat(F.lit("c:"), F.col("c_custkey")).alias("vid"), (F.col("c_acctbal") < -900).alias("direct"), F.lit(None).cast("int").alias("distance"), F.coalesce("transfers", F.lit(0)).alias("transfers"), F.lit(None).cast("string").alias("pep"), (F.col("c_nationkey") == 1).alias("high_risk")
+    )
+    return risk.risk_scores(context).select("vid", "score")
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('', 'no', 'none') THEN NULL WHEN event_type LIKE '%family%' THEN 'associate' ELSE 'self' END AS pep FROM events")
+def pep_class(spark, sf):
+    return D.table(spark, sf, "events").select("event_id", T.classify_pep(F.col("event_type")).alias("pep"))
+
+
+@query(
+    """SELECT 'c_custkey' AS "column", 'int' AS type, 0.0::DOUBLE AS null_ratio, 1.0::DOUBLE AS distinct_ratio UNION ALL SELECT 'c_acctbal', 'float', 0.0, round(count(DISTINCT c_acctbal) / count(*), 4) FROM customer
+UNION ALL SELECT 'c_mktsegment', 'string', 0.0, round(count(DISTINCT c_mktsegment) / count(*), 4) FROM customer"""
+)
+def csv_profile_columns(spark, sf):
+    c = D.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return csv_profile.profile(c)
+
+
+@query(
+    f"""WITH {_S}, {_DR}, l AS (SELECT DISTINCT p1, p2 FROM s), w AS (SELECT DISTINCT p1, p2 FROM dr) SELECT p1, p2 FROM w WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.p1 = w.p1 AND l.p2 = w.p2)"""
+)
+def network_delta(spark, sf):
+    """Pairs that the direct edges add to the shared ones."""
+    persons = D.hierarchy(spark, sf).vertices.where("tag = 'person'").select("vid")
+    new = P.direct_reasons(D.direct_edges(spark, sf), persons).select("p1", "p2").distinct()
+    return new.join(P.shared_reasons(D.offer_owners(spark, sf)).select("p1", "p2"), ["p1", "p2"], "left_anti")
