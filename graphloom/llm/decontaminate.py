@@ -81,8 +81,8 @@ def windows(item_words: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes
             yield tuple(item_words[i : i + size])
 
 
-def _search(rows: list[tuple[str, bytes]], size: int):
-    """Function for mapInArrow that adds this table's hits to _spans and _items."""
+def _search(rows: list[tuple[str, bytes]], size: int, last: bool):
+    """Function for mapInArrow that adds this table's hits to _spans and _items; the last one also counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners: dict[tuple, list[str]] = {}
@@ -107,26 +107,26 @@ def _search(rows: list[tuple[str, bytes]], size: int):
             columns = list(batch.columns)
             for at, values, kind in ((at_spans, spans, pa.list_(pa.int64())), (at_items, items, pa.list_(pa.string())), (at_n, counts, pa.int64())):
                 columns[at] = pa.array(values, kind)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            out = pa.RecordBatch.from_arrays(columns, names=names)
+            yield _finish(out) if last else out
 
     return run
 
 
-def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From spans and items to counts and digest."""
-    for batch in batches:
-        names = batch.schema.names
-        hits, digests, n_items = [], [], []
-        for flat, items in zip(batch.column(names.index("_spans")).to_pylist(), batch.column(names.index("_items")).to_pylist(), strict=True):
-            total, done = 0, 0
-            for s, e in zip(flat[::2], flat[1::2], strict=True):
-                total += max(0, e - max(s, done))
-                done = max(done, e)
-            hits.append(total)
-            n_items.append(len(items))
-            digests.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-        keep = [i for i, x in enumerate(names) if x != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], names=[*(names[i] for i in keep), "_n_hit", "_n_items", "_sha"])
+def _finish(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """From spans and items to counts and digest, without the text."""
+    names = batch.schema.names
+    hits, digests, n_items = [], [], []
+    for flat, items in zip(batch.column(names.index("_spans")).to_pylist(), batch.column(names.index("_items")).to_pylist(), strict=True):
+        total, done = 0, 0
+        for s, e in zip(flat[::2], flat[1::2], strict=True):
+            total += max(0, e - max(s, done))
+            done = max(done, e)
+        hits.append(total)
+        n_items.append(len(items))
+        digests.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
+    keep = [i for i, x in enumerate(names) if x != "_text"]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], names=[*(names[i] for i in keep), "_n_hit", "_n_items", "_sha"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -151,14 +151,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
         F.expr("cast(array() as array<bigint>)").alias("_spans"),
         F.expr("cast(array() as array<string>)").alias("_items"),
     )
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name != "_text")
+    done = f"{kept}, _n_hit bigint, _n_items bigint, _sha string"
     for k in range(n_blocks):
         rows = [(r[0], r[1].encode()) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]
-        state = state.mapInArrow(_search(rows, size), state.schema)
-        if k % CHAINED == CHAINED - 1 and k + 1 < n_blocks:
+        last = k + 1 == n_blocks
+        state = state.mapInArrow(_search(rows, size, last), done if last else state.schema)
+        if k % CHAINED == CHAINED - 1 and not last:
             state = materialize(state, "decontaminate")
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name != "_text")
-    out = state.mapInArrow(_finish, f"{kept}, _n_hit bigint, _n_items bigint, _sha string")
-    return out.select(
+    return state.select(
         *[F.col(c) for c in keep],
         F.col("_n_words").alias("n_words"),
         F.col("_n_hit").alias("n_hit"),

@@ -28,13 +28,13 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import scratch
+from graphloom.llm.common import arrow_batches, scratch
 
 MAGIC, HEAD = b"GLT1", struct.Struct("<4sIIQQ")
 #: Ids in a block; ids in a file, beyond which the next document opens a new one.
-BLOCK, FILE_IDS = 65_536, 4_000_000
-#: Words whose ids a worker keeps; bytes of text that it encodes at once.
-PARTS, SLICE = 700_000, 8_000_000
+BLOCK, FILE_IDS = 65_536, 2_000_000
+#: Words whose ids a worker keeps; bytes of text that it encodes at once; rows handed to it at once.
+PARTS, SLICE, BATCH = 500_000, 4_000_000, 1_000
 #: ASCII punctuation that a pre-token pattern takes in one piece (the apostrophe opens contractions).
 CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -260,7 +260,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = F
     dealt = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     files = dealt.mapInArrow(_write(f"{folder}/data", tokenizer, end_id, bits, file_ids, block), "part int, seq bigint, name string, n_ids bigint")
-    files.write.parquet(f"{folder}/written")
+    with arrow_batches(spark, BATCH):
+        files.write.parquet(f"{folder}/written")
     files = spark.read.schema("part int, seq bigint, name string, n_ids bigint").parquet(f"{folder}/written")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return folder, files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
