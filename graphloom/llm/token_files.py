@@ -33,8 +33,8 @@ from graphloom.llm.common import arrow_batches, scratch
 MAGIC, HEAD = b"GLT1", struct.Struct("<4sIIQQ")
 #: Ids in a block; ids in a file, beyond which the next document opens a new one.
 BLOCK, FILE_IDS = 65_536, 2_000_000
-#: Words whose ids a worker keeps; bytes of text that it encodes at once; rows handed to it at once.
-PARTS, SLICE, BATCH = 500_000, 4_000_000, 1_000
+#: Words whose ids a worker keeps in each of two generations; bytes of text that it encodes at once; rows handed to it at once.
+PARTS, SLICE, BATCH = 450_000, 8_000_000, 3_000
 #: ASCII punctuation that a pre-token pattern takes in one piece (the apostrophe opens contractions).
 CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -149,6 +149,7 @@ class WordEncoder:
         lowers = any(x.get("type") == "Lowercase" for x in (made.get("normalizer") or {}).get("normalizers") or [])
         self.by_word = lowers and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
         self.parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # what was kept before; a word that is used again moves on
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -171,10 +172,12 @@ class WordEncoder:
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        parts = self.parts
-        if len(parts) > PARTS:
-            parts.clear()
+        if len(self.parts) > PARTS:
+            self.older, self.parts = self.parts, {}
+        parts, older = self.parts, self.older
         cut = [_parts(w) for w in words]
+        if older:
+            parts.update([(p, older[p]) for ps in cut for p in ps if p not in parts and p in older])
         unknown = list({p for ps in cut for p in ps if p not in parts})
         for i in range(0, len(unknown), 10_000):
             some = unknown[i : i + 10_000]
