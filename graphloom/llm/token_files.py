@@ -34,7 +34,7 @@ MAGIC, HEAD = b"GLT1", struct.Struct("<4sIIQQ")
 #: Ids in a block; ids in a file, beyond which the next document opens a new one.
 BLOCK, FILE_IDS = 65_536, 2_000_000
 #: Words whose ids a worker keeps in each of two generations; bytes of text that it encodes at once; rows handed to it at once.
-PARTS, SLICE, BATCH = 450_000, 8_000_000, 3_000
+PARTS, SLICE, BATCH = 700_000, 8_000_000, 3_000
 #: ASCII punctuation that a pre-token pattern takes in one piece (the apostrophe opens contractions).
 CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
