@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.lineage import cut
+
 
 @dataclass(frozen=True)
 class PropertyGraph:
@@ -74,7 +76,7 @@ class PropertyGraph:
         frontier = seen
         for d in range(1, depth + 1):
             new = e.join(frontier.select(F.col("vid").alias("a")), "a", "left_semi").select(F.col("b").alias("vid")).distinct()
-            frontier = new.join(seen, "vid", "left_anti").select("vid", F.lit(d).alias("depth")).checkpoint()
+            frontier = cut(new.join(seen, "vid", "left_anti").select("vid", F.lit(d).alias("depth")))
             if frontier.isEmpty():
                 break
             seen = seen.unionByName(frontier)
@@ -92,3 +94,48 @@ class PropertyGraph:
         for d in range(found[0], 0, -1):
             paths = step.where(F.col("_db") == d).select(F.col("a").alias("_p"), "b").join(paths.withColumnRenamed("a", "b"), "b").select(F.col("_p").alias("a"), F.concat(F.array("_p"), "path").alias("path"))
         return paths.where(F.col("a") == src).select("path")
+
+    def expand(self, root: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+        """(vid, depth) around root, itself included though unknown, and the edges that the steps crossed."""
+        near = self.k_hop(self.vertices.sparkSession.createDataFrame([(root,)], "vid string"), depth)
+        inner = near.where(F.col("depth") < depth).select("vid")
+        return near, self.neighbors_batch(inner)
+
+    def neighbors_with_edges(self, vid: str, edge_type: str | None = None, direction: str = "both", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Neighbours (the first `limit` by vid) and the edges among root and them."""
+        ids = self.neighbors(vid, edge_type, direction).select("vid").distinct()
+        ids = ids if limit is None else ids.orderBy("vid").limit(limit)
+        root = self.vertices.sparkSession.createDataFrame([(vid,)], "vid string")
+        e = self.neighbors_batch(root, [edge_type] if edge_type else None, direction)
+        ends = ids.unionByName(root)
+        for end in ("src", "dst"):
+            e = e.join(ends.withColumnRenamed("vid", end), end, "left_semi")
+        return self.get(ids), e
+
+    def walks(self, root: str, depth: int = 2, limit: int | None = 60) -> DataFrame:
+        """Ends of outgoing walks of 1 to depth steps, one row a walk: step, vid, edge_type."""
+        e = self.edges.select("src", "dst", "edge_type")
+        at = e.where(F.col("src") == root).select(F.lit(1).alias("step"), F.col("dst").alias("vid"), "edge_type")
+        every = at
+        for d in range(2, depth + 1):
+            at = at.select(F.col("vid").alias("src")).join(e, "src").select(F.lit(d).alias("step"), F.col("dst").alias("vid"), "edge_type")
+            every = every.unionByName(at)
+        return every if limit is None else every.orderBy("step", "vid", "edge_type").limit(limit)
+
+    def entity_context(self) -> DataFrame:
+        """vid, edge_type, n, neighbours: incident edges of each type with multiplicity, and distinct neighbours."""
+        return self.undirected().groupBy(F.col("a").alias("vid"), "edge_type").agg(F.count("*").alias("n"), F.countDistinct("b").alias("neighbours"))
+
+    def listed(self, tags: tuple[str, ...] = ("sanction_entry", "watchlist_entry")) -> DataFrame:
+        """vid, listing: entities beside a listing, listings themselves left out."""
+        flags = self.vertices.where(F.col("tag").isin(*tags)).select("vid").distinct()
+        hit = self.undirected().join(flags.withColumnRenamed("vid", "a"), "a", "left_semi").select(F.col("b").alias("vid"), F.col("a").alias("listing")).distinct()
+        return hit.join(flags, "vid", "left_anti").join(self.vertices.select("vid").distinct(), "vid", "left_semi")
+
+    def visible(self, hidden_tags: list[str], hidden_types: list[str]) -> tuple[DataFrame, DataFrame]:
+        """What stays when tags and edge types are hidden: a vertex goes with any hidden tag, an edge with either end."""
+        gone = self.vertices.where(F.col("tag").isin(hidden_tags)).select("vid").distinct()
+        e = self.edges.where(~F.col("edge_type").isin(hidden_types)) if hidden_types else self.edges
+        for end in ("src", "dst"):
+            e = e.join(gone.withColumnRenamed("vid", end), end, "left_anti")
+        return self.vertices.join(gone, "vid", "left_anti"), e

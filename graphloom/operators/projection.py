@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scoring import match_confidence, noisy_or
+from graphloom.operators.lineage import cut
 from graphloom.schema import BRIDGE_CONFIDENCE, DEGREE_CAP, DIRECT_CONFIDENCE, MAX_FANOUT
 
 
@@ -84,7 +85,7 @@ def person_degrees(found: DataFrame, root: str, degree: int, cap: int = DEGREE_C
     frontier = seen
     for d in range(1, min(cap, max(1, degree)) + 1):
         new = both.join(frontier.select(F.col("vid").alias("a")), "a", "left_semi").select(F.col("b").alias("vid")).distinct()
-        frontier = new.join(seen, "vid", "left_anti").select("vid", F.lit(d).alias("degree")).checkpoint()
+        frontier = cut(new.join(seen, "vid", "left_anti").select("vid", F.lit(d).alias("degree")))
         seen = seen.unionByName(frontier)
     return seen
 

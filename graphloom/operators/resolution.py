@@ -40,3 +40,22 @@ def shared_identifier_pairs(holders: DataFrame, max_fanout: int) -> DataFrame:
 
     pairs = shared_reasons(holders, max_fanout).join(holders.select("connector", "tag").distinct(), "connector")
     return pairs.select("p1", "p2", F.concat(F.lit("shares_"), F.lower("tag")).alias("label"), F.lit(0.65).alias("confidence")).distinct()
+
+
+def nearest(queries: DataFrame, rows: DataFrame, top: int, block: int = 2048) -> DataFrame:
+    """query, id, score: the top cosine neighbours of queries(id, vector) among rows(id, vector), themselves left out.
+
+    Queries meet all rows in blocks of at most `block` vectors, each small enough to
+    broadcast; a partition keeps its top rows of each query before the shuffle.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    blocks = 2 * (queries.count() // block) + 1  # hashed blocks vary in size: twice as many keep each below the bound
+    unit = rows.withColumn("_l", F.sqrt(dot("vector", "vector")))
+    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("_q"), F.sqrt(dot("vector", "vector")).alias("_ql"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"))
+    found = None
+    for b in range(blocks):
+        part = F.broadcast(asked.where(F.col("_b") == b))
+        one = unit.join(part, F.col("id") != F.col("query")).select("query", "id", (dot("_q", "vector") / (F.col("_ql") * F.col("_l"))).alias("score"))
+        found = one if found is None else found.unionByName(one)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -215,17 +215,14 @@ def deterministic_keys(spark, sf):
 
 
 @query(
-    """WITH a AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM a WHERE vec_id < 5),
+    """WITH a AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM a WHERE vec_id % 50 = 0),
 c AS (SELECT q.vec_id AS query_id, a.vec_id, list_dot_product(q.embedding::DOUBLE[], a.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) AS s FROM q, a WHERE q.vec_id <> a.vec_id)
 SELECT query_id, vec_id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS i FROM c) WHERE i <= 5"""
 )
 def cosine_topk(spark, sf):
-    """The five nearest of five stated query vectors."""
-    a = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = F.broadcast(a.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")))
-    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (a, b) -> a * b), 0D, (s, v) -> s + v)"
-    s = a.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.expr(f"{dot('q', 'e')} / sqrt({dot('q', 'q')} * {dot('e', 'e')})").alias("s"))
-    return s.withColumn("i", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id)")).where("i <= 5").select("query_id", "vec_id", F.round("s", 5).alias("score"))
+    """The five nearest of every query vector (ids divisible by 50) among all vectors."""
+    a = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return R.nearest(a.where("id % 50 = 0"), a, 5).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 @query(

@@ -23,3 +23,19 @@ WEIGHTS = {
     **dict.fromkeys(("company", "organization"), 0.4),
 }
 DEFAULT_WEIGHT, CROSS_KEY, DIRECT_CONFIDENCE, BRIDGE_CONFIDENCE = 0.5, 0.6, 0.9, 0.4
+
+# Relationship types and the entity types that each may join.
+_ACTORS = ("Person", "Company", "Organization")
+ENDPOINTS = {
+    "WORKS_AT": (("Person",), ("Company", "Organization")),
+    "OWNS": (_ACTORS, ("Company", "Organization", "Vehicle")),
+    "PAYS": (_ACTORS, _ACTORS),
+    "HAS_DOCUMENT": (("Person",), ("Document",)),
+    "HAS_PHONE": (_ACTORS, ("Phone",)),
+    "HAS_EMAIL": (_ACTORS, ("Email",)),
+    "HAS_ACCOUNT": (_ACTORS, ("BankAccount",)),
+    "OWNS_VEHICLE": (_ACTORS, ("Vehicle",)),
+    "LOCATED_AT": (_ACTORS, ("Address",)),
+    "CITIZEN_OF": (("Person",), ("Country",)),
+}
+RELATIONSHIPS = (*ENDPOINTS, "RELATED_TO")
