@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept = []
+
+
+def kept_in_worker(f):
+    """Cache f's last result in a Python worker between tasks, until release_kept() is called there."""
+    cached = lru_cache(maxsize=1)(f)
+    _kept.append(cached)
+    return cached
+
+
+def release_kept() -> None:
+    """Drop what earlier stages left in this Python worker: workers are used again by other stages."""
+    for cached in _kept:
+        cached.cache_clear()
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """What runs inside hands Python at most so many rows at once, so that a worker holds few texts."""

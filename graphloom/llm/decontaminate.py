@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, release_kept
 
 WINDOW = 10
 #: Benchmark text (bytes) that one search table may hold; more text makes more tables.
@@ -85,6 +85,7 @@ def _search(rows: list[tuple[str, bytes]], size: int, last: bool):
     """Function for mapInArrow that adds this table's hits to _spans and _items; the last one also counts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         owners: dict[tuple, list[str]] = {}
         for item, text in rows:
             for w in set(windows(words(text), size)):

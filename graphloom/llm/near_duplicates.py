@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import materialize, release_kept
 from graphloom.llm.components import components
 
 #: Rows and bands: at a similarity of 0.8, 48 bands of 6 minima all miss once in two million.
@@ -107,6 +107,7 @@ class Signer:
 
 def _sign(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         signer = Signer(k, bands, rows)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -135,6 +136,7 @@ def _verify(k: int, percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_()), ("added", pa.int64()), *((w, pa.int64()) for w in words)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         last: tuple[int | None, set] = (None, set())
         for batch in batches:
             rows = []

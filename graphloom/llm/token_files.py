@@ -18,7 +18,6 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_batches, scratch
+from graphloom.llm.common import arrow_batches, kept_in_worker, scratch
 
 MAGIC, HEAD = b"GLT1", struct.Struct("<4sIIQQ")
 #: Ids in a block; ids in a file, beyond which the next document opens a new one.
@@ -135,7 +134,7 @@ class WordEncoder:
     tokenizer encodes texts whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = PARTS):
         import json
         import os
 
@@ -148,6 +147,7 @@ class WordEncoder:
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         lowers = any(x.get("type") == "Lowercase" for x in (made.get("normalizer") or {}).get("normalizers") or [])
         self.by_word = lowers and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
+        self.kept_words = kept_words
         self.parts: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}  # what was kept before; a word that is used again moves on
 
@@ -172,7 +172,7 @@ class WordEncoder:
 
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        if len(self.parts) > PARTS:
+        if len(self.parts) > self.kept_words:
             self.older, self.parts = self.parts, {}
         parts, older = self.parts, self.older
         cut = [_parts(w) for w in words]
@@ -194,16 +194,16 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+@kept_in_worker
+def encoder(path: str, kept_words: int = PARTS) -> WordEncoder:
     """A worker's encoder: its words outlive a task."""
-    return WordEncoder(path)
+    return WordEncoder(path, kept_words)
 
 
-def _write(folder: str, tokenizer: str, end_id: int, bits: int, file_ids: int, block: int):
+def _write(folder: str, tokenizer: str, end_id: int, bits: int, file_ids: int, block: int, kept_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-        encode, end = encoder(tokenizer), np.array([end_id], "<u4")
+        encode, end = encoder(tokenizer, kept_words), np.array([end_id], "<u4")
         held: tuple[list[int], list[np.ndarray]] = ([], [])
         n, seq, part = 0, 0, 0
 
@@ -243,14 +243,15 @@ def _read(folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS, block: int = BLOCK) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS, block: int = BLOCK, kept_words: int = PARTS) -> tuple[str, DataFrame]:
     """Write docs(doc_id, text) as token files; (folder, manifest).
 
     The texts are dealt and sorted by doc_id, then by text, so that the files' order
     is that of the documents; repeated rows are written each. A task holds a file's
     ids at most. The manifest (part, seq, name, n_ids, base: ids of all files before)
     is a written table; a task that is run again leaves a file that it doesn't name.
-    Null texts are empty; rows without doc_id aren't documents and raise no row.
+    Null texts are empty; rows without doc_id aren't documents and raise no row. A
+    worker keeps the ids of at most 2 * kept_words words (and those of one slice).
     """
     from tokenizers import Tokenizer
 
@@ -262,7 +263,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = F
     bits = width(Tokenizer.from_file(tokenizer).get_vocab_size())
     dealt = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    files = dealt.mapInArrow(_write(f"{folder}/data", tokenizer, end_id, bits, file_ids, block), "part int, seq bigint, name string, n_ids bigint")
+    files = dealt.mapInArrow(_write(f"{folder}/data", tokenizer, end_id, bits, file_ids, block, kept_words), "part int, seq bigint, name string, n_ids bigint")
     with arrow_batches(spark, BATCH):
         files.write.parquet(f"{folder}/written")
     files = spark.read.schema("part int, seq bigint, name string, n_ids bigint").parquet(f"{folder}/written")
