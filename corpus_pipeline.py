@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloom.llm import decontaminate, mixing, near_duplicates, quality_classifier, token_files
 from graphloom.llm.common import materialize, table
 
+#: Words whose ids a Python worker keeps in each of two generations.
+KEPT_WORDS = 250_000
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labels outside the held-out fold."""
@@ -30,8 +33,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files in doc_id order; a row for each document read back from them."""
-    return token_files.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    """Token files in doc_id order; a row for each document read back from them.
+
+    Executors still hold memory of the stages before, so workers keep fewer words than by default.
+    """
+    return token_files.token_output(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, kept_words=KEPT_WORDS)
 
 
 STAGES = [("quality classifier", quality), ("MinHash near-dedup", dedup), ("benchmark decontamination", clean), ("mixing sources", mixture), ("token output", tokens)]
