@@ -35,13 +35,27 @@ def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def shared_identifier_pairs(holders: DataFrame, max_fanout: int) -> DataFrame:
-    """holders(connector, tag, person): RELATED_TO proposals between all holders of an identifier."""
+    """holders(connector, tag, person): RELATED_TO proposals between all holders of an identifier with at most max_fanout of them.
+
+    wide_identifier_members has the holders of the others.
+    """
     from graphloom.operators.projection import shared_reasons
 
     pairs = shared_reasons(holders, max_fanout).join(holders.select("connector", "tag").distinct(), "connector")
     return pairs.select("p1", "p2", F.concat(F.lit("shares_"), F.lower("tag")).alias("label"), F.lit(0.65).alias("confidence")).distinct()
 
 
+def wide_identifier_members(holders: DataFrame, max_fanout: int) -> DataFrame:
+    """connector, label, representative, person: every holder of an identifier with more than max_fanout of them.
+
+    The representative is the least holder. Any two rows of a connector and label are a
+    pair that shared_identifier_pairs leaves out; rows grow with the holders.
+    """
+    h = holders.select("connector", "tag", "person").distinct()
+    wide = h.groupBy("connector").agg(F.countDistinct("person").alias("n"), F.min("person").alias("representative")).where(F.col("n") > max_fanout)
+    return h.join(wide, "connector").select("connector", F.concat(F.lit("shares_"), F.lower("tag")).alias("label"), "representative", "person").distinct()
+
+
 def nearest(queries: DataFrame, rows: DataFrame, top: int, block: int = 2048) -> DataFrame:
     """query, id, score: the top cosine neighbours of queries(id, vector) among rows(id, vector), themselves left out.
 

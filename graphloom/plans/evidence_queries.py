@@ -213,6 +213,10 @@ def _resolved(spark, sf) -> DataFrame:
     return E.resolve_keys(E.normalized(_mentions(spark, sf)))
 
 
+def _holders(spark, sf) -> DataFrame:
+    return _resolved(spark, sf).select(F.col("entity_id").alias("connector"), F.col("type").alias("tag"), F.col("evidence_id").alias("person"))
+
+
 @query(f"WITH {_X} SELECT doc_id::VARCHAR AS evidence_id, type, name FROM x")
 def evidence_mentions(spark, sf):
     return _mentions(spark, sf).select("evidence_id", "type", "name")
@@ -237,8 +241,13 @@ def evidence_delete_orphans(spark, sf):
 
 @query(f"WITH {_Y}, h AS (SELECT DISTINCT entity_id, type, doc_id::VARCHAR AS d FROM y), n AS (SELECT entity_id FROM h GROUP BY entity_id HAVING count(*) <= 25) SELECT DISTINCT a.d AS p1, b.d AS p2, 'shares_' || lower(a.type) AS label, 0.65::DOUBLE AS confidence FROM h AS a JOIN h AS b ON a.entity_id = b.entity_id AND a.d < b.d WHERE a.entity_id IN (FROM n)")
 def shared_identifier_pairs(spark, sf):
-    m = _resolved(spark, sf).select(F.col("entity_id").alias("connector"), F.col("type").alias("tag"), F.col("evidence_id").alias("person"))
-    return R.shared_identifier_pairs(m, 25)
+    """Identifiers of more than 25 holders are in shared_identifier_members."""
+    return R.shared_identifier_pairs(_holders(spark, sf), 25)
+
+
+@query(f"WITH {_Y}, h AS (SELECT DISTINCT entity_id, type, doc_id::VARCHAR AS d FROM y), n AS (SELECT entity_id, min(d) AS least FROM h GROUP BY entity_id HAVING count(*) > 25) SELECT entity_id AS connector, 'shares_' || lower(type) AS label, least AS representative, d AS person FROM h JOIN n USING (entity_id)")
+def shared_identifier_members(spark, sf):
+    return R.wide_identifier_members(_holders(spark, sf), 25)
 
 
 @query("SELECT min(source) AS source, sha256(t) AS sha256 FROM (SELECT source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE length(t) > 0 GROUP BY t")

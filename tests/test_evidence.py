@@ -222,3 +222,18 @@ def test_stream(spark, tmp_path):
     q = value_stream.write(value_stream.new_evidence(incoming), str(tmp_path / "out"), str(tmp_path / "state"))
     assert q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_wide_identifiers_keep_all_links(spark, tmp_path):
+    from graphloom.plans import evidence_queries, queries
+
+    texts = [(i, "mail wide@example.org", "en") for i in range(30)] + [(i, "mail slim@example.org", "en") for i in (3, 40)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = evidence_queries.shared_identifier_pairs(spark, str(tmp_path))
+    assert rows(pairs, "p1", "p2") == {("3", "40")}
+    members = evidence_queries.shared_identifier_members(spark, str(tmp_path)).collect()
+    assert sorted(int(m["person"]) for m in members) == list(range(30))
+    assert {(m["label"], m["representative"]) for m in members} == {("shares_email", "0")}
+    both = rows(pairs, "p1", "p2") | set(itertools.combinations(sorted(m["person"] for m in members), 2))
+    assert both == {(a, b) for a, b in itertools.product(map(str, range(41)), repeat=2) if a < b and (max(int(a), int(b)) < 30 or {a, b} == {"3", "40"})}
+    assert "shared_identifier_members" in queries.QUERIES
