@@ -27,6 +27,10 @@ RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noe
 BOILERPLATE = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: What else a compound class or id of boilerplate (site-footer, ad-slot) may be made of; has-sidebar or no-comments are none.
+PARTS = frozenset("area bar block bottom box button buttons container form global icons inner item items left link links list main media module outer page panel placeholder post posts primary right row secondary section site slot top unit wrap wrapper".split())
+#: Of DROPPED and ROLES, what can be a layout around the whole page.
+LAYOUT = frozenset("fieldset form header".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 _PIECE = re.compile(
@@ -41,32 +45,38 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([
 _WORD = re.compile(r"[a-z]+")
 
 
-def _boilerplate(name: str, attrs: str, in_article: bool) -> bool:
+def _named(word: str) -> bool:
+    """Whether a class or id is a boilerplate word, or made of such words and PARTS."""
+    parts = set(_WORD.findall(word))
+    return not BOILERPLATE.isdisjoint(parts) and parts <= BOILERPLATE | PARTS
+
+
+def _boilerplate(name: str, attrs: str, in_article: bool) -> str:
+    """'' for no boilerplate, 'always', or 'named' for what may also be a layout around the text."""
     if name in DROPPED or name == "header" and not in_article:
-        return True
+        return "named" if name in LAYOUT else "always"
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return ""
+    found = ""
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.strip() in ROLES:
-            return True
-        if key in ("class", "id") and any(not BOILERPLATE.isdisjoint(_WORD.findall(word)) for word in value.split()):
-            return True
-    return False
-
-
-def lines(html: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, length, in article) of each block in page order; length 0 for boilerplate."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, and whether it opened: boilerplate, article, link
-    dropped = article = link = 0
-    text: list[str] = []
-    length, at = 0, 0
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.strip() in ROLES - LAYOUT:
+            return "always"
+        if key == "role" and value.strip() in LAYOUT or key in ("class", "id") and any(_named(word) for word in value.split()):
+            found = "named"
+    return found
+
+
+def _tree(html: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str | None]]]:
+    """Elements in page order (parent, name, boilerplate), the root first; texts and, as None, breaks, each with its element."""
+    elements: list[tuple[int, str, str]] = [(-1, "", "")]
+    articles = [False]  # whether in article or main
+    pieces: list[tuple[int, str | None]] = []
+    stack = [0]
+    at = 0
     for m in [*_PIECE.finditer(html), None]:
-        piece = html[at : m.start() if m else len(html)]
-        if piece and not dropped:
-            piece = unescape(piece)
-            text.append(piece)
-            length += 0 if link else len("".join(piece.split()))
+        if piece := html[at : m.start() if m else len(html)]:
+            pieces.append((stack[-1], unescape(piece)))
         if m is None:
             break
         at = m.end()
@@ -74,35 +84,105 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
         if not name:
             continue
         if name in BLOCKS:
-            if line := " ".join("".join(text).split()):
-                yield line, length, article > 0
-            text, length = [], 0
+            pieces.append((stack[-1], None))
         elif name == "br":
-            text.append(" ")
+            pieces.append((stack[-1], " "))
         if m["close"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            while k is not None and len(stack) > k:
-                _, d, a, ln = stack.pop()
-                dropped, article, link = dropped - d, article - a, link - ln
-                if d and not dropped:
-                    yield from [("", 0, False)] * LINES
+            k = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]][1] == name), None)
+            if k is not None:
+                del stack[k:]
         elif name not in VOID and not (m["attrs"] or "").rstrip().endswith("/"):
-            if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack:  # these end an open one of their kind
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        while len(stack) > i:
-                            _, d, a, ln = stack.pop()
-                            dropped, article, link = dropped - d, article - a, link - ln
-                            if d and not dropped:
-                                yield from [("", 0, False)] * LINES
+            if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):  # these end an open one of their kind
+                for i in range(len(stack) - 1, 0, -1):
+                    if elements[stack[i]][1] == name:
+                        del stack[i:]
                         break
-                    if stack[i][0] in BLOCKS:
+                    if elements[stack[i]][1] in BLOCKS:
                         break
-            d, a = _boilerplate(name, m["attrs"] or "", article > 0), name in ("article", "main")
-            stack.append((name, d, a, name == "a"))
-            dropped, article, link = dropped + d, article + a, link + (name == "a")
-    if line := " ".join("".join(text).split()):
-        yield line, length, article > 0
+            top = stack[-1]
+            boilerplate = _boilerplate(name, m["attrs"] or "", articles[top])
+            stack.append(len(elements))
+            elements.append((top, name, boilerplate))
+            articles.append(articles[top] or name in ("article", "main"))
+            if boilerplate:
+                pieces.append((stack[-1], ""))
+    pieces.append((stack[-1], None))
+    return elements, pieces
+
+
+def _dropped(elements: list[tuple[int, str, str]], pieces: list[tuple[int, str | None]]) -> list[bool]:
+    """Whether each element is in boilerplate.
+
+    What is named like boilerplate but holds the page's main element, its only article or
+    nearly all its text is a layout around the text: its lines' lengths decide.
+    """
+    n = len(elements)
+    link = [False] * n
+    for e, (parent, name, _) in enumerate(elements[1:], 1):
+        link[e] = link[parent] or name == "a"
+    prose, longest = [0] * n, [0] * n
+    for e, text in pieces:
+        if text and not link[e]:
+            size = len("".join(text.split()))
+            prose[e] += size
+            longest[e] = max(longest[e], size)
+    # Of all in an element, and of what is in no boilerplate below it
+    clear, marked, has_main, marked_clear = prose[:], [False] * n, [False] * n, [False] * n
+    for e in range(n - 1, 0, -1):
+        parent, name, boilerplate = elements[e]
+        if not boilerplate and name in ("article", "main"):
+            marked[e] = marked_clear[e] = True
+            has_main[e] |= name == "main"
+        prose[parent] += prose[e]
+        marked[parent] |= marked[e]
+        has_main[parent] |= has_main[e]
+        if not boilerplate:
+            clear[parent] += clear[e]
+            longest[parent] = max(longest[parent], longest[e])
+            marked_clear[parent] |= marked_clear[e]
+    outside, most, article = clear[0], longest[0], marked_clear[0]
+    dropped = [False] * n
+    for e, (parent, name, boilerplate) in enumerate(elements[1:], 1):
+        dropped[e] = dropped[parent]
+        if not boilerplate or dropped[e]:
+            continue
+        if boilerplate == "always":
+            keep = False
+        elif article:
+            keep = has_main[e]
+        elif marked[e]:
+            keep = has_main[e] or prose[e] > outside
+        else:
+            nearly_all = 5 * prose[e] > 4 * prose[0]
+            keep = most < SURGE and (nearly_all or name in LAYOUT and prose[e] > outside) or name in LAYOUT and nearly_all
+        dropped[e] = not keep
+        if keep:
+            outside, most, article = outside + clear[e], max(most, longest[e]), article or marked_clear[e]
+    return dropped
+
+
+def lines(html: str) -> Iterator[tuple[str, int, bool]]:
+    """(text, length, in article) of each block in page order; length 0 for boilerplate."""
+    elements, pieces = _tree(html)
+    dropped = _dropped(elements, pieces)
+    article, link = [False] * len(elements), [False] * len(elements)
+    for e, (parent, name, _) in enumerate(elements[1:], 1):
+        article[e] = article[parent] or name in ("article", "main")
+        link[e] = link[parent] or name == "a"
+    text: list[str] = []
+    length, gap = 0, False
+    for e, piece in pieces:
+        gap |= dropped[e]
+        if piece is None:
+            if line := " ".join("".join(text).split()):
+                if gap:
+                    yield from [("", 0, False)] * LINES
+                yield line, length, article[e]
+                gap = dropped[e]
+            text, length = [], 0
+        elif not dropped[e]:
+            text.append(piece)
+            length += 0 if link[e] else len("".join(piece.split()))
 
 
 def main_text(html: str | None) -> str:

@@ -158,6 +158,19 @@ def test_html():
     assert [html_extract.main_text(x) for x in (None, "", "<p", "<!-- x", "<script>a")] == [""] * 5
 
 
+def test_html_layout_classes():
+    body = "<p>" + "A long line of running text. " * 5 + "</p><p>Its end.</p>"
+    text = ("A long line of running text. " * 5).strip() + "\n\nIts end."
+    for tag in ("div class='layout has-sidebar'", "div class='post no-comments'", "div id='content-widget'", "form action=x", "div class=widget"):
+        page = f"<body><{tag}><article>{body}</article><div class='site-footer'>Buy</div><div class=sidebar>Links</div></{tag.split()[0]}></body>"
+        assert html_extract.main_text(page) == text, tag
+        assert html_extract.main_text(page.replace("article>", "div>")) == text, tag
+    # Still boilerplate: beside an article, hidden, or with text outside
+    for tag in ("div class='post-comments'", "div class=comments", "aside", "form", "div hidden", "div class='ad-slot'"):
+        for around in ("<article>{}</article>", "<div>{}</div>"):
+            assert html_extract.main_text(f"{around.format(body)}<{tag}><p>{'Noise and more noise. ' * 20}</p></{tag.split()[0]}>") == text, tag
+
+
 def test_token_files(docs, texts):
     got = sorted(token_files.token_output(docs, P.path("word_bpe_49k.json"), 2, file_ids=50, block=7).collect())
     from tokenizers import Tokenizer
