@@ -21,6 +21,7 @@ LINES, SURGE = 3, 80
 
 #: Element and attribute names (fixed values).
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
+PARAGRAPHS = frozenset("blockquote dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 li ol p pre table tbody tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("aside button datalist dialog fieldset footer form head iframe menu nav noscript object select svg template".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")
@@ -161,9 +162,8 @@ def _dropped(elements: list[tuple[int, str, str]], pieces: list[tuple[int, str |
     return dropped
 
 
-def lines(html: str) -> Iterator[tuple[str, int, bool]]:
-    """(text, length, in article) of each block in page order; length 0 for boilerplate."""
-    elements, pieces = _tree(html)
+def lines(elements: list[tuple[int, str, str]], pieces: list[tuple[int, str | None]]) -> Iterator[tuple[str, int, bool, int]]:
+    """(text, length, in article, element) of each block in page order; length 0 for boilerplate."""
     dropped = _dropped(elements, pieces)
     article, link = [False] * len(elements), [False] * len(elements)
     for e, (parent, name, _) in enumerate(elements[1:], 1):
@@ -176,8 +176,8 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
         if piece is None:
             if line := " ".join("".join(text).split()):
                 if gap:
-                    yield from [("", 0, False)] * LINES
-                yield line, length, article[e]
+                    yield from [("", 0, False, 0)] * LINES
+                yield line, length, article[e], e
                 gap = dropped[e]
             text, length = [], 0
         elif not dropped[e]:
@@ -185,30 +185,74 @@ def lines(html: str) -> Iterator[tuple[str, int, bool]]:
             length += 0 if link[e] else len("".join(piece.split()))
 
 
+def _sharing(elements: list[tuple[int, str, str]], found: list[tuple[str, int, bool, int]], surging: list[int]) -> set[int]:
+    """Lines in the containers of the surging ones: the least elements that aren't a list or paragraph and hold other lines too.
+
+    Of a container that is the whole page, and of lines of links only, those directly in it.
+    """
+    n = len(elements)
+    held = [0] * n
+    for text, _, _, e in found:
+        held[e] += bool(text)
+    for e in range(n - 1, 0, -1):
+        held[elements[e][0]] += held[e]
+    containers = set()
+    for k in surging:
+        e = found[k][3]
+        while e and (held[e] < 2 or elements[e][1] not in BLOCKS or elements[e][1] in PARAGRAPHS):
+            e = elements[e][0]
+        containers.add(e)
+    page = [e in containers and elements[e][1] in ("", "html", "body") for e in range(n)]
+    under = [False] * n  # in a container that isn't the whole page
+    for e in range(n):
+        under[e] = e in containers and not page[e] or e > 0 and under[elements[e][0]]
+    shared = set()
+    for k, (text, size, _, e) in enumerate(found):
+        if not text:
+            continue
+        while e and elements[e][1] not in BLOCKS:
+            e = elements[e][0]
+        parent, name, _ = elements[e]
+        direct = e in containers or e > 0 and parent in containers
+        heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
+        if size and (under[e] or direct) or direct and (heading or under[e]):
+            shared.add(k)
+    return shared
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by empty lines; '' if there is none.
 
     Where the page marks an article or main element, only its lines have a length and
-    any text makes the distribution surge; elsewhere a window needs SURGE characters.
+    any text makes the distribution surge; elsewhere a window needs SURGE characters, and
+    shorter pieces stay between two surges and in a surge's container.
     """
     if not html:
         return ""
-    found = list(lines(html))
-    marked = any(a for _, _, a in found)
+    elements, pieces = _tree(html)
+    found = list(lines(elements, pieces))
+    marked = any(a for _, _, a, _ in found)
     surge = 1 if marked else SURGE
-    sizes = [(len(t) if a else 0) if marked else n for t, n, a in found]
+    sizes = [(len(t) if a else 0) if marked else n for t, n, a, _ in found]
     sums = [sum(sizes[i : i + LINES]) for i in range(len(sizes))]
-    regions: list[tuple[int, list[str]]] = []  # the greatest sum and the lines between a surge and its dive
+    regions: list[tuple[int, int, int]] = []  # the greatest sum, the first and the last line between a surge and its dive
     start = None
     for i, s in enumerate([*sums, 0]):
         if s and start is None:
             start = i
         elif not s and start is not None:
             inside = [k for k in range(start, i) if sizes[k]]
-            regions.append((max(sums[start:i]), [t for t, _, _ in found[inside[0] : inside[-1] + 1] if t]))
+            regions.append((max(sums[start:i]), inside[0], inside[-1]))
             start = None
-    keep = [t for most, texts in regions if most >= surge for t in texts]
-    return "\n\n".join(keep or max(regions, key=lambda r: r[0], default=(0, []))[1])
+    if not regions:
+        return ""
+    surging = [r for r in regions if r[0] >= surge] or [max(regions, key=lambda r: r[0])]
+    keep = {k for _, first, last in surging for k in range(first, last + 1)}
+    if not marked:
+        keep.update(k for k in range(surging[0][1], surging[-1][2]) if sizes[k])
+        long = [k for _, first, last in surging for k in range(first, last + 1) if sizes[k] >= min(SURGE, max(sizes[first : last + 1]))]
+        keep |= _sharing(elements, found, long)
+    return "\n\n".join(found[k][0] for k in sorted(keep) if found[k][0])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,6 +171,18 @@ def test_html_layout_classes():
             assert html_extract.main_text(f"{around.format(body)}<{tag}><p>{'Noise and more noise. ' * 20}</p></{tag.split()[0]}>") == text, tag
 
 
+def test_html_short_pieces_beside_boilerplate():
+    long, share, ad = "A long line of running text. " * 5, "<div class=share>Share</div>", "<div class=ad>Buy</div>"
+    want = f"Title\n\n{long.strip()}\n\nShort closing line."
+    article = f"<h1>{{}}</h1>{share}<p>{long}</p>{ad}<p>Short closing line.</p>"
+    menu = "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div><span>Site name</span></div>"
+    for title in ("Title", "<a href=x>Title</a>"):
+        for page in (f"<div>{article}</div>", f"<body>{article}</body>", f"<body>{menu}{share}<div>{article}</div>{ad}<div><p>Other</p></div></body>"):
+            assert html_extract.main_text(page.format(title)) == want, page
+    between = f"<div><p>{long}</p></div>{ad}<div>Between.</div>{ad}<div><p>{long}</p></div>"
+    assert html_extract.main_text(between) == f"{long.strip()}\n\nBetween.\n\n{long.strip()}"
+
+
 def test_token_files(docs, texts):
     got = sorted(token_files.token_output(docs, P.path("word_bpe_49k.json"), 2, file_ids=50, block=7).collect())
     from tokenizers import Tokenizer
