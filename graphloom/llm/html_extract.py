@@ -56,7 +56,7 @@ def _boilerplate(name: str, attrs: str, in_article: bool) -> str:
     """'' for no boilerplate, 'always', or 'named' for what may also be a layout around the text."""
     if name in DROPPED or name == "header" and not in_article:
         return "named" if name in LAYOUT else "always"
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return ""
     found = ""
     for key, *values in _ATTR.findall(attrs):
@@ -167,7 +167,7 @@ def lines(elements: list[tuple[int, str, str]], pieces: list[tuple[int, str | No
     dropped = _dropped(elements, pieces)
     article, link = [False] * len(elements), [False] * len(elements)
     for e, (parent, name, _) in enumerate(elements[1:], 1):
-        article[e] = article[parent] or name in ("article", "main")
+        article[e] = article[parent] or name in ("article", "main") and not dropped[e]
         link[e] = link[parent] or name == "a"
     text: list[str] = []
     length, gap = 0, False
@@ -185,6 +185,10 @@ def lines(elements: list[tuple[int, str, str]], pieces: list[tuple[int, str | No
             length += 0 if link[e] else len("".join(piece.split()))
 
 
+def _strongest(sizes: list[int]) -> int:
+    return max((sum(sizes[i : i + LINES]) for i in range(len(sizes))), default=0)
+
+
 def _sharing(elements: list[tuple[int, str, str]], found: list[tuple[str, int, bool, int]], surging: list[int]) -> set[int]:
     """Lines in the containers of the surging ones: the least elements that aren't a list or paragraph and hold other lines too.
 
@@ -223,15 +227,16 @@ def _sharing(elements: list[tuple[int, str, str]], found: list[tuple[str, int, b
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by empty lines; '' if there is none.
 
-    Where the page marks an article or main element, only its lines have a length and
-    any text makes the distribution surge; elsewhere a window needs SURGE characters, and
+    Where article or main elements hold the strongest surge, only their lines have a length
+    and any text makes the distribution surge; elsewhere a window needs SURGE characters, and
     shorter pieces stay between two surges and in a surge's container.
     """
     if not html:
         return ""
     elements, pieces = _tree(html)
     found = list(lines(elements, pieces))
-    marked = any(a for _, _, a, _ in found)
+    inside, outside = (_strongest([n if a == marks else 0 for _, n, a, _ in found]) for marks in (True, False))
+    marked = any(a for _, _, a, _ in found) and not outside >= max(SURGE, inside + 1)
     surge = 1 if marked else SURGE
     sizes = [(len(t) if a else 0) if marked else n for t, n, a, _ in found]
     sums = [sum(sizes[i : i + LINES]) for i in range(len(sizes))]
@@ -241,8 +246,8 @@ def main_text(html: str | None) -> str:
         if s and start is None:
             start = i
         elif not s and start is not None:
-            inside = [k for k in range(start, i) if sizes[k]]
-            regions.append((max(sums[start:i]), inside[0], inside[-1]))
+            sized = [k for k in range(start, i) if sizes[k]]
+            regions.append((max(sums[start:i]), sized[0], sized[-1]))
             start = None
     if not regions:
         return ""

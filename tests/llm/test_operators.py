@@ -183,6 +183,20 @@ def test_html_short_pieces_beside_boilerplate():
     assert html_extract.main_text(between) == f"{long.strip()}\n\nBetween.\n\n{long.strip()}"
 
 
+def test_html_articles_beside_the_text():
+    long = ("A long line of running text. " * 5).strip()
+    body = f"<div><p>{long}</p><p>{long}</p><p>Its end.</p></div>"
+    want = f"{long}\n\n{long}\n\nIts end."
+    comments = "<div><article class='comment'><p>I liked this very much.</p></article></div>" * 3
+    assert html_extract.main_text(body + comments) == want
+    # Cards have no name of boilerplate: the text stays whole
+    assert html_extract.main_text(body + "<div class=ad>Buy</div>" + "<div><article class='card'><h2>Another story</h2><p>Short.</p></article></div>" * 3).startswith(want)
+    # The article still confines where it is the strongest, or where nothing else surges
+    for article in (f"<article>{body}</article>", f"<main><article class='post'>{body}</article></main>"):
+        assert html_extract.main_text(f"<div><p>{long}</p></div>{article}<div>Else</div>") == want
+    assert html_extract.main_text("<div>Some words</div><article><p>Short.</p></article>") == "Short."
+
+
 def test_token_files(docs, texts):
     got = sorted(token_files.token_output(docs, P.path("word_bpe_49k.json"), 2, file_ids=50, block=7).collect())
     from tokenizers import Tokenizer
