@@ -38,8 +38,9 @@ _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*(?:>.*?(?:</(?P=raw)\s*(?:>|\Z)|\Z)|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\">]*\"|'[^'>]*')*)(?:>|\Z)"
-    r"|</?[a-z][^>]*(?:>|\Z)",
+    # A quoted value may hold '>' if what follows it can follow a value; else its quote is taken as never closed
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*+)(?:(?P<attrs>(?:[^>\"']|\"[^\">]*\"|'[^'>]*'|\"[^\">]*>[^\"]*\"(?=[\s/>])|'[^'>]*>[^']*'(?=[\s/>]))*+)(?:>|\Z)"
+    r"|(?P<open>[^>]*)(?:>|\Z))",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -92,7 +93,9 @@ def _tree(html: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str |
             k = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]][1] == name), None)
             if k is not None:
                 del stack[k:]
-        elif name not in VOID and not (m["attrs"] or "").rstrip().endswith("/"):
+            continue
+        attrs = m["attrs"] or m["open"] or ""
+        if name not in VOID and not attrs.rstrip().endswith("/"):
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):  # these end an open one of their kind
                 for i in range(len(stack) - 1, 0, -1):
                     if elements[stack[i]][1] == name:
@@ -101,7 +104,7 @@ def _tree(html: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str |
                     if elements[stack[i]][1] in BLOCKS:
                         break
             top = stack[-1]
-            boilerplate = _boilerplate(name, m["attrs"] or "", articles[top])
+            boilerplate = _boilerplate(name, attrs, articles[top])
             stack.append(len(elements))
             elements.append((top, name, boilerplate))
             articles.append(articles[top] or name in ("article", "main"))

@@ -197,6 +197,16 @@ def test_html_articles_beside_the_text():
     assert html_extract.main_text("<div>Some words</div><article><p>Short.</p></article>") == "Short."
 
 
+def test_html_quoted_angle_brackets():
+    tags = ("<div data-t=\"a > b\">", "<div data-t='a > b' id=x>", "<div data-t='<b>c</b>'>", "<div title=\"never closed>", "<div title='it\"s > \"' >")
+    for tag in tags:
+        page = f"<div id=page><article><p>First.</p>{tag}Second.</div><p>Rest.</p></article></div><p>Else \"quoted\".</p>"
+        assert html_extract.main_text(page) == "First.\n\nSecond.\n\nRest.", tag
+    assert html_extract.main_text("<article><p class=\"a>One.</p><p class=\"b\">Two.</p></article>") == "One.\n\nTwo."
+    assert html_extract.main_text("<article><p>One.</p><div class='ad' data-t='a > b'>Buy</div><p>Two.</p></article>") == "One.\n\nTwo."
+    assert len(html_extract.main_text("<p title=\"" * 20000 + "x")) < 300000  # in linear time
+
+
 def test_token_files(docs, texts):
     got = sorted(token_files.token_output(docs, P.path("word_bpe_49k.json"), 2, file_ids=50, block=7).collect())
     from tokenizers import Tokenizer
