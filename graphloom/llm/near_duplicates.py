@@ -192,6 +192,9 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     """
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(docs.mapInArrow(_sign(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "minhash")
+    one = F.xxhash64("digest")
+    if not signed.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo < hi").isEmpty():
+        return _by_row(docs, shingle_words, percent, bands, rows)
     same = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = materialize(same, "minhash")
     reps = signed.join(same.select(F.col("digest").alias("_d"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id"])
@@ -228,6 +231,18 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     return signed.join(ids, F.col("digest") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _by_row(docs: DataFrame, *options) -> DataFrame:
+    """classes where a doc_id has different sets: each row is a node first, then the rows of a doc_id are one."""
+    nodes = materialize(docs.withColumn("node", F.monotonically_increasing_id()), "minhash")
+    found = classes(nodes.select(F.col("node").alias("doc_id"), "text"), *options).withColumnsRenamed({"doc_id": "node", "component_id": "c"})
+    found = materialize(found.join(nodes.select("node", "doc_id"), "node"), "minhash")
+    least = found.groupBy("doc_id").agg(F.min("c").alias("u"))
+    joined = materialize(components(found.join(least, "doc_id").select("u", F.col("c").alias("v"))), "minhash").withColumnRenamed("node", "c")
+    found = found.join(joined, "c", "left").withColumn("c", F.coalesce("component", "c"))
+    ids = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "c").select("doc_id", "n_shingles", "component_id")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The candidate pairs (u, v) on their full sets; only their texts move."""
     run, schema = _verify(k, percent)

@@ -53,6 +53,15 @@ def test_near_duplicates(docs, texts, k):
     assert got == brute.near_components(dict(enumerate(texts)), k)
 
 
+def test_near_duplicates_of_a_doc_id_with_two_texts(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(str(rng.random()) for _ in range(40)) for _ in range(4))
+    table = [(1, c), (2, a), (3, b), (9, a), (9, b), (9, b + " x"), (4, c), (4, ""), (5, None), (6, d), (6, d), (7, "")]
+    got = near_duplicates.classes(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 2), (4, 1), (4, 1), (5, 5), (6, 6), (6, 6), (7, 7), (9, 2), (9, 2), (9, 2)]
+    assert sorted(r.n_shingles for r in got if r.doc_id in (4, 9)) == [0, 36, 36, 36, 37]
+
+
 def test_representatives_keep_columns(docs, texts):
     kept = near_duplicates.representatives(docs)
     assert kept.columns == docs.columns
