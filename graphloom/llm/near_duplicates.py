@@ -156,9 +156,9 @@ def _verify(k: int, percent: int):
 
 
 def _far_bits(percent: int) -> int:
-    """Sketch bits in which similar sets differ at most, up to five standard deviations."""
+    """Sketch bits in which similar sets differ at most, up to seven standard deviations: at 80 percent, more with a chance of 1e-10."""
     p = (1 - percent / 100) / 2
-    return int(SKETCH_BITS * p + 5 * (SKETCH_BITS * p * (1 - p)) ** 0.5 + 1)
+    return int(SKETCH_BITS * p + 7 * (SKETCH_BITS * p * (1 - p)) ** 0.5 + 1)
 
 
 def _agree(a: str, b: str, percent: int) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from io import BytesIO
@@ -62,6 +63,12 @@ def test_near_duplicates_of_a_doc_id_with_two_texts(spark):
     assert sorted(r.n_shingles for r in got if r.doc_id in (4, 9)) == [0, 36, 36, 36, 37]
 
 
+def test_sketches_miss_less_than_bands():
+    most, n = near_duplicates._far_bits(80), near_duplicates.SKETCH_BITS
+    sketch = sum(math.comb(n, i) * 0.1**i * 0.9 ** (n - i) for i in range(most + 1, n + 1))
+    assert sketch < (1 - 0.8**near_duplicates.ROWS) ** near_duplicates.BANDS / 100
+
+
 def test_representatives_keep_columns(docs, texts):
     kept = near_duplicates.representatives(docs)
     assert kept.columns == docs.columns
