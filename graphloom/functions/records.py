@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,26 +63,27 @@ def json_object(answer: Column) -> Column:
 
 
 def chunks_of(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Runs of whole lines, each until `size` characters are reached; a run repeats the last lines of the one before, about `overlap` characters.
+    """Slices of a text between line ends, of `size` characters and the rest of the last line.
 
-    A line is never cut. The start always moves on, so short texts of long lines end too.
+    A slice begins at the first line end of the last `overlap` characters (an eighth of
+    `size` at most) of the one before. Each begins behind the one before, so all texts end.
     """
     if len(text) <= size:
         return [text]
-    lines, out, start, overlap = text.splitlines(keepends=True), [], 0, min(overlap, size // 8)
-    while True:
-        end, held = start, 0
-        while end < len(lines) and held < size:
-            held += len(lines[end])
-            end += 1
-        out.append("".join(lines[start:end]))
-        if end >= len(lines):
-            return out
-        back, again = end, 0
-        while back - 1 > start and again + len(lines[back - 1]) <= overlap:
-            back -= 1
-            again += len(lines[back])
-        start = back
+    ends = np.cumsum([0, *map(len, text.splitlines(keepends=True))])
+    spans, first = [(0, 0)], 0
+    while spans[-1][1] < len(text):
+        last = min(int(np.searchsorted(ends, ends[first] + size)), len(ends) - 1)
+        spans.append((ends[first], ends[last]))
+        first = max(first + 1, int(np.searchsorted(ends, ends[last] - min(overlap, size // 8))))
+    return [text[a:b] for a, b in spans[1:]]
+
+
+def halves(text: str) -> tuple[str, str]:
+    """A text cut at the last line end of its first half, else the first one behind, else in the middle: for answers that got too long."""
+    middle, breaks = len(text) // 2, [m.start() for m in re.finditer(r"(?!\A)\n", text)]
+    cut = max((b for b in breaks if b <= middle), default=min(breaks, default=middle))
+    return text[:cut], text[cut:]
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +20,7 @@ PAIRS = (("source", "target"), ("src", "dst"), ("from", "to"), ("sender", "recei
 TYPE_HINTS = ("type", "relationship", "relation", "label", "edge_type", "category")
 ID_HINTS = ("id", "name", "key", "uuid", "vid", "identifier")
 LABEL_HINTS = ("name", "label", "title")
-NEAR_UNIQUE = 0.98
+NEAR_UNIQUE, MIN_TAG = 0.98, 3
 
 
 @dataclass(frozen=True)
@@ -44,32 +48,41 @@ def _plain(text: str, fallback: str) -> str:
     return f"_{s}" if s[0].isdigit() else s
 
 
-def _ends(columns: list[Column]) -> tuple[str, str] | None:
-    """Headers of a known pair, each found once; else the two most varied columns that don't identify rows."""
-    for a, b in PAIRS:
-        left = [c.name for c in columns if a in c.name.lower()]
-        right = [c.name for c in columns if b in c.name.lower() and c.name not in left]
-        if len(left) == len(right) == 1:
-            return left[0], right[0]
-    varied = [c for c in columns if 0 < c.distinct_ratio < NEAR_UNIQUE and not (c.name.lower() in ID_HINTS and c.distinct_ratio > 0.9)]
-    varied.sort(key=lambda c: -c.distinct_ratio)
-    return (varied[0].name, varied[1].name) if len(varied) > 1 else None
+def _proposals(columns: list[Column]) -> Iterator[tuple[tuple, int, int]]:
+    """(rank, source, target) of each pair of columns that may be an edge's ends; the least rank is the best.
+
+    A header pair ranks by its place in PAIRS and counts only if each of its two parts is in
+    one header alone (a header with both is the source's). Behind all of these come the two
+    columns that vary most without identifying rows; of equally varied ones, the first.
+    """
+    names = [c.name.lower() for c in columns]
+    holding = {part: {i for i, n in enumerate(names) if part in n} for pair in PAIRS for part in pair}
+    for rank, (source, target) in enumerate(PAIRS):
+        ends = holding[source], holding[target] - holding[source]
+        if [len(e) for e in ends] == [1, 1]:
+            yield (rank,), *(i for e in ends for i in e)
+    usable = {i: c.distinct_ratio for i, c in enumerate(columns) if 0 < c.distinct_ratio < (0.9 + 1e-9 if names[i] in ID_HINTS else NEAR_UNIQUE)}
+    if len(usable) > 1:
+        yield (len(PAIRS),), *heapq.nsmallest(2, usable, key=lambda i: (-usable[i], i))
 
 
 def infer(columns: list[Column], stem: str) -> Structure:
-    ends = _ends(columns)
-    if not ends:
-        named = [c.name for c in columns if c.name.lower() in ID_HINTS]
-        key = named[0] if named else max(columns, key=lambda c: c.distinct_ratio).name
-        return Structure(_plain(stem, "entity"), tuple(c.name for c in columns if c.name != key), id=key)
-    kind = next((c.name for c in columns if c.name not in ends and any(h in c.name.lower() for h in TYPE_HINTS)), None)
-    shared = 0
-    a, b = ends[0].lower(), ends[1].lower()
-    while shared < min(len(a), len(b)) and a[shared] == b[shared]:
-        shared += 1
-    common = a[:shared].strip("_ ")
-    rest = tuple(c.name for c in columns if c.name not in (*ends, kind))
-    return Structure(_plain(common if len(common) > 2 else "entity", "entity"), rest, ends=ends, type=kind, edge_type=_plain(stem, "related_to").upper())
+    """An edge list if some pair of columns is proposed as ends, else a table of nodes. ValueError without columns."""
+    if not columns:
+        raise ValueError("a file without columns has no structure")
+    best = min(_proposals(columns), default=None)
+    if best is None:
+        hinted = {i: 1.0 for i, c in enumerate(columns) if c.name.lower() in ID_HINTS}
+        scores = hinted or {i: c.distinct_ratio for i, c in enumerate(columns)}
+        key = min(scores, key=lambda i: (-scores[i], i))
+        return Structure(_plain(stem, "entity"), tuple(c.name for i, c in enumerate(columns) if i != key), id=columns[key].name)
+    _, *at = best
+    ends = tuple(columns[i].name for i in at)
+    spare = [c.name for i, c in enumerate(columns) if i not in at]
+    typed_by = next(filter(re.compile("|".join(TYPE_HINTS), re.I).search, spare), None)
+    stems = commonprefix([e.lower() for e in ends]).strip("_ ")
+    tag = _plain(stems, "entity") if len(stems) >= MIN_TAG else "entity"
+    return Structure(tag, tuple(n for n in spare if n != typed_by), ends=ends, type=typed_by, edge_type=_plain(stem, "related_to").upper())
 
 
 def label_column(columns: list[Column]) -> str | None:

@@ -109,6 +109,14 @@ def test_import(spark, tmp_path):
     C = csv_import.Column
     s = csv_import.infer([C("sender_id", "int", 0.5), C("receiver_id", "int", 0.5), C("relation", "string", 0.1), C("amount", "float", 1.0)], "my file")
     assert (s.ends, s.type, s.edge_type, s.properties) == (("sender_id", "receiver_id"), "relation", "MY_FILE", ("amount",))
+    s = csv_import.infer([C("person_a", "string", 0.6), C("person_b", "string", 0.8), C("since", "int", 0.6)], "friends")
+    assert (s.ends, s.tag, s.properties) == (("person_b", "person_a"), "person", ("since",))
+    s = csv_import.infer([C("x", "string", 0.5), C("y", "string", 0.5), C("z", "string", 0.5)], "9 lives")
+    assert (s.ends, s.tag, s.edge_type) == (("x", "y"), "entity", "_9_LIVES")
+    s = csv_import.infer([C("source", "string", 1.0), C("target", "string", 1.0), C("relationship", "string", 0.3), C("since", "int", 0.9)], "calls")
+    assert (s.ends, s.type, s.properties) == (("source", "target"), "relationship", ("since",))
+    with pytest.raises(ValueError):
+        csv_import.infer([], "none")
     s = csv_import.infer([C("id", "int", 1.0), C("full name", "string", 1.0)], "people")
     assert (s.id, s.tag) == ("id", "people")
     (tmp_path / "people.csv").write_text("id,name,age\n1,Ann,30\n2,Bob,x\n1,Again,5\n")
@@ -195,6 +203,12 @@ def test_chunks_cover_whole_lines(lines):
     assert chunks[0] == text[: len(chunks[0])] and text.endswith(chunks[-1])
 
 
+def test_halves():
+    assert records.halves("ab\ncd\nef") == ("ab", "\ncd\nef")
+    assert "".join(records.halves("abcdef")) == "abcdef" and records.halves("abcdef")[0] == "abc"
+    assert records.halves("abcdefgh\ni")[1] == "\ni" and records.halves("") == ("", "")
+
+
 def test_views(spark):
     v = spark.createDataFrame([("r", "p"), ("x", "p"), ("y", "q")], "vid string, tag string")
     e = spark.createDataFrame([("r", "x", "R", 0), ("x", "y", "R", 0)], "src string, dst string, edge_type string, rank long")
