@@ -100,7 +100,7 @@ def strongest_path(source: str, target: str, rows: list[tuple[str, str, float]])
     while heap:
         cost, hops, at, path = heapq.heappop(heap)
         if at == target:
-            return path, round(math.exp(-cost), 4)
+            return path, math.exp(-cost)
         if at in done:
             continue
         done.add(at)

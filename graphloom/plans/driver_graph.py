@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import PropertyGraph
+from graphloom.sinks import graph_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,7 @@ def direct_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RELATED_TO between the customers of consecutive orders."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     n = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("o_custkey").alias("next"))
-    return o.join(n, "o_orderkey").select(_id("c:", "o_custkey").alias("src"), _id("c:", "next").alias("dst"))
+    return o.join(n, "o_orderkey").select(_id("c:", "o_custkey").alias("src"), _id("c:", "next").alias("dst"), F.col("o_orderkey").alias("rank"))
 
 
 def bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,3 +66,20 @@ def value_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("connector"), _id("c:", "o_custkey").alias("person"), F.lit("order_date").alias("field_key"))
     b = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("connector"), _id("c:", "o_custkey").alias("person"), F.lit("ship_date").alias("field_key"))
     return a.unionByName(b).distinct()
+
+
+def field_graph(spark: SparkSession, sf_dir: str, direct: bool = False) -> PropertyGraph:
+    """Customers and the days of their orders as field values: first shipment or order, with priority and status; orders' customers RELATED_TO the next ones if `direct`."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("kind"))
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_shipdate")
+    said = lambda day: F.concat_ws(" ", F.date_format(day, "yyyy-MM-dd"), "kind")
+    owner = _id("c:", "o_custkey").alias("owner")
+    a = o.select(owner, F.create_map(F.lit("order_day"), said("o_orderdate")).alias("props"))
+    b = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(owner, F.create_map(F.lit("ship_day"), said("l_shipdate")).alias("props"))
+    values, held = graph_store.field_value_index(a.unionByName(b))
+    persons = table(spark, sf_dir, "customer").select(_id("c:", "c_custkey").alias("vid"), F.lit("person").alias("tag"), F.col("c_name").alias("label"))
+    edges = held.select("src", "dst", "edge_type", "rank", "field_key", "document_id")
+    if direct:
+        related = direct_edges(spark, sf_dir).select("src", "dst", F.lit("RELATED_TO").alias("edge_type"), "rank")
+        edges = edges.unionByName(related, allowMissingColumns=True)
+    return PropertyGraph(persons.unionByName(values.select("vid", "tag", "label")), edges)

@@ -27,7 +27,12 @@ _ALL = 2_000_000_000  # persons: no truncation
 def _sources(spark, sf, bridges: bool = False) -> N.Sources:
     direct = D.direct_edges(spark, sf).withColumn("edge_type", F.lit("RELATED_TO"))
     between = D.bridge_edges(spark, sf).withColumn("edge_type", F.lit("PAYS")) if bridges else None
-    return N.Sources(D.offer_owners(spark, sf), direct, between)
+    persons = D.table(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("vid"))
+    return N.Sources(D.offer_owners(spark, sf), direct, between, persons)
+
+
+def _links(net: N.Network) -> DataFrame:
+    return net.links().drop("label")
 
 
 @query(
@@ -39,7 +44,7 @@ f AS (SELECT *, min(lv) OVER (PARTITION BY p1, p2) AS degree, row_number() OVER
 SELECT p1, p2, degree, count(*) AS via_count, round(1 - product(1 - confidence), 4) AS confidence FROM f WHERE (lv = degree OR i = 1) AND p1 IN (SELECT vid FROM g) AND p2 IN (SELECT vid FROM g) GROUP BY p1, p2, degree"""
 )
 def person_network(spark, sf):
-    return N.person_network(_sources(spark, sf), "c:1", 2, max_persons=_ALL).links()
+    return _links(N.person_network(_sources(spark, sf), "c:1", 2, max_persons=_ALL))
 
 
 @query(
@@ -52,16 +57,63 @@ WHERE this IN (FROM near) AND other NOT IN (FROM near) AND nx.n <= 25 AND ny.n <
 SELECT p1, p2, 1 AS degree, count(*) AS via_count, round(1 - product(1 - confidence), 4)::DOUBLE AS confidence FROM r GROUP BY p1, p2"""
 )
 def organisation_network(spark, sf):
-    return N.person_network(_sources(spark, sf, bridges=True), "c:1", 1, max_persons=_ALL).links()
+    return _links(N.person_network(_sources(spark, sf, bridges=True), "c:1", 1, max_persons=_ALL))
+
+
+_F = """f AS (SELECT 'c:' || o_custkey AS p, 'order_day' AS k, lower(strftime(o_orderdate, '%Y%m%d') || replace(o_orderpriority, '-', '') || o_orderstatus) AS raw FROM orders
+UNION SELECT 'c:' || o_custkey, 'ship_day', lower(strftime(l_shipdate, '%Y%m%d') || replace(o_orderpriority, '-', '') || o_orderstatus) FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
+fo AS (SELECT p AS person, replace(raw, ' ', '') AS connector, bool_or(k = 'order_day') AS o, bool_or(k = 'ship_day') AS s FROM f GROUP BY ALL),
+fn AS (SELECT connector, count(*) AS n FROM fo GROUP BY connector),
+s AS (SELECT a.person AS p1, b.person AS p2, a.connector, (0.5::DOUBLE / (n - 1)) * CASE WHEN (a.o AND b.o) OR (a.s AND b.s) THEN 1 ELSE 0.6 END AS confidence
+FROM fo AS a JOIN fo AS b ON a.connector = b.connector AND a.person < b.person JOIN fn ON fn.connector = a.connector WHERE n BETWEEN 2 AND 25)"""
+
+
+def _network_sql(reasons: str, owners: str, direct: bool, depth: int) -> str:
+    """SQL for the links of c:1's network from s(p1, p2, connector, confidence), owners(connector, person) and, if asked, dr."""
+    near = "SELECT p1 AS a, p2 AS b FROM s UNION SELECT p2, p1 FROM s" + (" UNION SELECT p1, p2 FROM dr UNION SELECT p2, p1 FROM dr" if direct else "")
+    also = " UNION ALL SELECT p1, p2, 'direct', confidence, 1 + least(coalesce(a.d, 9), coalesce(b.d, 9)) FROM dr LEFT JOIN g AS a ON a.vid = p1 LEFT JOIN g AS b ON b.vid = p2" if direct else ""
+    return f"""WITH RECURSIVE {reasons}, y AS ({near}), h AS (SELECT 'c:1' AS vid, 0 AS d UNION SELECT b, d + 1 FROM h JOIN y ON a = vid WHERE d < {depth}), g AS (SELECT vid, min(d) AS d FROM h GROUP BY vid),
+cl AS (SELECT connector, 1 + min(d) AS lv FROM {owners} JOIN g ON vid = person GROUP BY connector),
+r AS (SELECT p1, p2, connector AS k, confidence, lv FROM s JOIN cl USING (connector){also}),
+w AS (SELECT *, min(lv) OVER (PARTITION BY p1, p2) AS degree, row_number() OVER (PARTITION BY p1, p2, k ORDER BY lv) AS i FROM r WHERE lv <= {depth})
+SELECT p1, p2, degree, count(*) AS via_count, round(1 - product(1 - confidence), 4) AS confidence FROM w WHERE (lv = degree OR i = 1) AND p1 IN (SELECT vid FROM g) AND p2 IN (SELECT vid FROM g) GROUP BY p1, p2, degree"""
+
+
+def _field_sources(spark, sf, direct: bool = False) -> N.Sources:
+    g = D.field_graph(spark, sf, direct)
+    return N.sources(g.vertices, g.edges)
+
+
+@query(_network_sql(_F, "fo", False, 2))
+def field_network(spark, sf):
+    """A network of shared field values alone: the graph has no direct edges."""
+    return _links(N.person_network(_field_sources(spark, sf), "c:1", 2, max_persons=_ALL))
+
+
+@query(_network_sql(_F + ", " + _DR, "fo", True, 2))
+def field_and_direct_network(spark, sf):
+    return _links(N.person_network(_field_sources(spark, sf, True), "c:1", 2, max_persons=_ALL))
+
+
+@query(
+    f"""WITH RECURSIVE {_S}, {_DR}, x AS (SELECT p1, p2, confidence FROM s UNION ALL SELECT p1, p2, confidence FROM dr), {_L.format("x")}, m AS (SELECT min(vid) AS t FROM (SELECT p1 AS vid FROM l WHERE p2 = 'c:1' UNION SELECT p2 FROM l WHERE p1 = 'c:1'))
+SELECT 'c:1' AS source, t AS target, confidence, via_count FROM m JOIN l ON least(p1, p2) = least('c:1', t) AND greatest(p1, p2) = greatest('c:1', t)"""
+)
+def direct_connection(spark, sf):
+    """The link of c:1 and its least neighbour, which is the strongest path too where their network has one degree and no better way round."""
+    s = _sources(spark, sf)
+    net = N.person_network(s, "c:1", 1, max_persons=_ALL)
+    at = net.links().where("'c:1' IN (p1, p2)").select(F.when(F.col("p1") == "c:1", F.col("p2")).otherwise(F.col("p1")).alias("target"), "confidence", "via_count")
+    return at.orderBy("target").limit(1).select(F.lit("c:1").alias("source"), "target", "confidence", "via_count")
 
 
 @query()
 def strongest_path(spark, sf):
-    """The strongest path from the first person to the last, by id, of the first person's network."""
-    s = _sources(spark, sf)
-    ends = s.owners.agg(F.min("person").alias("a"), F.max("person").alias("b")).first()
-    found = N.find_connection(s, ends.a, ends.b)
-    return spark.createDataFrame([(found["connected"], ">".join(found["path"]), found["confidence"], found["truncated"])], "connected boolean, path string, confidence double, truncated boolean")
+    """The strongest path from c:1 to the last person, by id, two links away."""
+    s = _sources(spark, sf).prepared()
+    far = N.person_network(s, "c:1", 2).persons.where("degree = 2").agg(F.max("vid")).first()[0]
+    found = N.find_connection(s, "c:1", far or "c:1", 2) or {}
+    return spark.createDataFrame([(found.get("connected"), ">".join(found.get("path", [])), found.get("confidence"), found.get("truncated"))], "connected boolean, path string, confidence double, truncated boolean")
 
 
 @query(f"WITH {_S}, {_L.format('s')} SELECT vid, count(*) AS n, max(confidence) AS strongest FROM (SELECT p1 AS vid, confidence FROM l UNION ALL SELECT p2, confidence FROM l) GROUP BY vid")

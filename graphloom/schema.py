@@ -14,7 +14,8 @@ SHARED = ("HAS_FIELD_VALUE", "HAS_PHONE", "HAS_EMAIL", "HAS_DOCUMENT", "HAS_ACCO
 WEAK = ("CITIZEN_OF",)
 BRIDGE = ("PAYS", "OWNS", "RELATED_TO", "TRANSFERRED_TO", "SHAREHOLDER_OF", "DIRECTOR_OF")
 BRIDGE_TAGS = ("company", "organization")
-MAX_FANOUT, MAX_PERSONS, DEGREE_CAP = 25, 300, 3
+MAX_FANOUT, MAX_PERSONS, DEGREE_CAP, CONNECTION_CAP = 25, 300, 3, 4
+FIELD_EDGE, FIELD_TAG, EXPANDABLE_TAGS = "HAS_FIELD_VALUE", "field_value", ("document",)
 WEIGHTS = {
     **dict.fromkeys(("passport_number", "national_id", "emirates_id", "number", "iban", "document"), 0.95),
     "bank_account": 0.9,

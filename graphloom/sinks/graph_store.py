@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -48,15 +48,39 @@ def first_occurrences(rows: DataFrame, keys: list[str], order: str) -> DataFrame
     return best.select(*keys, "_r.*", "copies")
 
 
+def field_values(props: Column) -> Column:
+    """Sorted distinct (field_key, value) of a map's eligible values; nested values, as JSON text, are left out."""
+    each = F.transform(F.map_entries(props), lambda e: F.struct(e["key"].alias("field_key"), T.normalize_value(e["value"]).alias("value"), e["value"].rlike(r"^\s*[\[{]").alias("nested")))
+    kept = F.filter(each, lambda e: F.coalesce(~e["nested"] & T.is_eligible(e["field_key"], e["value"]), F.lit(False)))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda e: F.struct(e["field_key"].alias("field_key"), e["value"].alias("value")))))
+
+
 def field_value_index(owners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Value vertices and HAS_FIELD_VALUE edges of owners(owner, props map): one vertex a value, one edge an owner, value and key."""
-    pairs = owners.select("owner", F.explode("props").alias("field_key", "raw")).withColumn("value", T.normalize_value(F.col("raw")))
-    pairs = pairs.where(T.is_eligible(F.col("field_key"), F.col("value"))).select("owner", "field_key", "value").distinct()
-    v = pairs.select(T.value_vid(F.col("value")).alias("vid"), F.lit("field_value").alias("tag"), F.col("value").alias("label")).distinct()
-    e = pairs.select(F.col("owner").alias("src"), T.value_vid(F.col("value")).alias("dst"), F.lit("HAS_FIELD_VALUE").alias("edge_type"), "field_key")
+    """Value vertices and HAS_FIELD_VALUE edges of owners(owner, props map; document_id, document_type if known).
+
+    One vertex a value; one edge an owner, value, key and document. Edges of one owner and
+    value are told apart by rank, so no key of a value gets lost.
+    """
+    also = [F.col(c) if c in owners.columns else F.lit("").alias(c) for c in ("document_id", "document_type")]
+    pairs = owners.select("owner", *also, F.explode(field_values(F.col("props"))).alias("_f")).select("owner", "_f.*", "document_id", "document_type").distinct()
+    v = pairs.select("value").distinct().select(T.value_vid(F.col("value")).alias("vid"), F.lit("field_value").alias("tag"), F.col("value").alias("label"))
+    rank = F.pmod(F.xxhash64("field_key", "document_id"), F.lit(1 << 62))
+    e = pairs.select(F.col("owner").alias("src"), T.value_vid(F.col("value")).alias("dst"), F.lit("HAS_FIELD_VALUE").alias("edge_type"), rank.alias("rank"), "field_key", "document_id", "document_type")
     return v, e
 
 
+def reindexed(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The value index anew from stored persons and the documents that they hold (HAS_DOCUMENT): same input, same index.
+
+    vertices(vid, tag, props map), edges(src, dst, edge_type).
+    """
+    own = vertices.where("tag = 'person'").select(F.col("vid").alias("owner"), F.lit("").alias("document_id"), F.lit("").alias("document_type"), "props")
+    held = edges.where("edge_type = 'HAS_DOCUMENT'").select("src", "dst").distinct().join(own.select(F.col("owner").alias("src")), "src", "left_semi")
+    documents = vertices.where("tag = 'document'").select(F.col("vid").alias("dst"), "props")
+    theirs = held.join(documents, "dst").select(F.col("src").alias("owner"), F.col("dst").alias("document_id"), F.coalesce(F.col("props")["document_type"], F.lit("document")).alias("document_type"), "props")
+    return field_value_index(own.unionByName(theirs))
+
+
 def remap(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """A merge carried out: ends follow mapping(old, new); loops it makes and repeated edges go."""
     for end in ("src", "dst"):

@@ -28,38 +28,6 @@ def rows(df, *names):
     return {tuple(r[n] for n in names) for r in df.collect()}
 
 
-@pytest.fixture(scope="module")
-def net(spark):
-    owners = spark.createDataFrame([("ph", "phone", "a"), ("ph", "phone", "b"), ("co", "company", "b"), ("co", "company", "c"), ("x", "company", "d")], "connector string, tag string, person string")
-    direct = spark.createDataFrame([("c", "b", "PAYS"), ("b", "c", "PAYS")], "src string, dst string, edge_type string")
-    bridges = spark.createDataFrame([("co", "x", "PAYS")], "src string, dst string, edge_type string")
-    return N.Sources(owners, direct, bridges)
-
-
-def test_network_levels(net):
-    n = N.person_network(net, "a", 3)
-    assert rows(n.persons, "vid", "degree") == {("a", 0), ("b", 1), ("c", 2), ("d", 2)}
-    got = {(r.p1, r.p2): (r.degree, r.via_count, r.confidence) for r in n.links().collect()}
-    # Two payments are two reasons on the level where they are first met.
-    assert got == {("a", "b"): (1, 1, 0.8), ("b", "c"): (2, 3, pytest.approx(0.994)), ("b", "d"): (2, 1, 0.4), ("c", "d"): (2, 1, 0.4)}
-    assert not n.truncated
-
-
-def test_network_threshold_and_truncation(net):
-    n = N.person_network(net, "a", 3, min_confidence=0.5)
-    assert rows(n.persons, "vid", "degree") == {("a", 0), ("b", 1), ("c", 2)}
-    n = N.person_network(net, "a", 3, max_persons=3)
-    assert n.truncated and rows(n.persons, "vid") == {("a",), ("b",), ("c",)}
-    assert rows(n.links(), "p1", "p2") == {("a", "b"), ("b", "c")}
-    n = N.person_network(net, "a", 1, max_fanout=1)
-    assert rows(n.hubs, "connector", "person_count") == {("ph", 2)} and n.persons.count() == 1
-
-
-def test_connection(net):
-    assert N.find_connection(net, "a", "d")["path"] == ["a", "b", "d"]
-    assert N.find_connection(net, "a", "a")["connected"] and not N.find_connection(net, "a", "zz")["connected"]
-
-
 def test_sources_of_a_graph(spark):
     v = spark.createDataFrame([("a", "person"), ("b", "person"), ("ph", "phone")], "vid string, tag string")
     e = spark.createDataFrame([("a", "ph", "HAS_PHONE"), ("ph", "b", "HAS_PHONE"), ("a", "b", "CITIZEN_OF"), ("a", "b", "PAYS")], "src string, dst string, edge_type string")
@@ -68,6 +36,17 @@ def test_sources_of_a_graph(spark):
     assert N.connector_types(["CITIZEN_OF", "PAYS"], [" citizen_of "]) == {"direct": [], "shared": ["CITIZEN_OF"], "bridge": []}
 
 
+def test_network_of_given_sources(spark):
+    owners = spark.createDataFrame([("ph", "phone", "a"), ("ph", "phone", "b"), ("co", "company", "b"), ("co", "company", "c"), ("x", "company", "d")], "connector string, tag string, person string")
+    direct = spark.createDataFrame([("c", "b", "PAYS"), ("b", "c", "PAYS")], "src string, dst string, edge_type string")
+    s = N.Sources(owners, direct, spark.createDataFrame([("co", "x", "PAYS")], "src string, dst string, edge_type string"))
+    n = N.person_network(s, "a", 3)
+    assert rows(n.persons, "vid", "degree") == {("a", 0), ("b", 1), ("c", 2), ("d", 2)}
+    got = {(r.p1, r.p2): (r.degree, r.via_count, r.confidence) for r in n.links().collect()}
+    # Two payments are two reasons on the level where they are first met.
+    assert got == {("a", "b"): (1, 1, 0.8), ("b", "c"): (2, 3, pytest.approx(0.994)), ("b", "d"): (2, 1, 0.4), ("c", "d"): (2, 1, 0.4)}
+
+
 def test_graph_neighbourhoods(spark):
     v = spark.createDataFrame([("a", "person", None), ("b", "person", None), ("s", "sanction_entry", None)], "vid string, tag string, label string")
     e = spark.createDataFrame([("a", "b", "KNOWS", 0), ("b", "a", "KNOWS", 0), ("s", "b", "LISTS", 0)], "src string, dst string, edge_type string, rank long")
