@@ -9,6 +9,9 @@ suffixes at anchors whose first 64 bytes are found again (by hash) are sorted.
   the prefix that it shares with the one before, and the rest.
 * Exchange: runs are cut at the same bounds everywhere. The order's first key is the
   hash of a suffix's first 64 bytes, which makes equal ranges equally full.
+  Suffixes that are equal with all that matters before them repeat whatever else there
+  is: a run tells their spans at once and keeps one of them, without its places, so the
+  copies of a passage never meet in one task.
 * Merge: a loser tree that keeps, with each loser, the prefix it shares with the last
   winner. Unequal lengths decide a match without reading a byte, and equal ones go on
   behind the shared prefix; what a run's front-coding tells is never compared again.
@@ -21,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -35,6 +40,8 @@ LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
 #: Window starts handled at once; suffixes in a run; suffixes resolved at once; rows handed to Python at once.
 SEGMENT, RUN, BLOCK, BATCH = 262_144, 40_000, 20_000, 256
+#: Suffixes that a range of the merge holds on average; the number of ranges follows their count.
+RANGE = 25_000
 
 _rng = np.random.default_rng(0xA9C)
 _CODES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -261,15 +268,24 @@ def resolve(shared: list[int], suffixes: list[bytes], lefts: list[bytes], severa
     return most, least
 
 
+def own_span(suffix: bytes, left: bytes, pos: int) -> tuple[int, int] | None:
+    """Start and end of the bytes around an anchor that an equal suffix with equal bytes before it repeats."""
+    most, least = min(len(left), WINDOW - 1), max(0, LENGTH - (len(suffix) - 8))
+    return (pos - most, pos - least + LENGTH) if least <= most else None
+
+
 def repeated_spans(runs: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
-    """(digest, start, end) of the repeated bytes around the anchors of one range's runs."""
+    """(digest, start, end) of the repeated bytes around the anchors of one range's runs.
+
+    An entry without members stands for several equal ones whose spans are told already.
+    """
     shared: list[int] = []
     suffixes: list[bytes] = []
     lefts: list[bytes] = []
     members: list[list] = []
 
     def flush() -> Iterator[tuple[bytes, int, int]]:
-        most, least = resolve(shared, suffixes, lefts, [len(m) > 1 for m in members])
+        most, least = resolve(shared, suffixes, lefts, [not m for m in members])
         for i in np.flatnonzero(most >= 0).tolist():
             for digest, pos in members[i]:
                 yield digest, pos - int(most[i]), pos - int(least[i]) + LENGTH
@@ -278,7 +294,10 @@ def repeated_spans(runs: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
 
     for h, suffix, left, mine in merge_runs([decode_run(r) for r in runs]):
         if suffixes and h == len(suffix) == len(suffixes[-1]) and left == lefts[-1]:
-            members[-1] += mine
+            for digest, pos in members[-1] + mine:
+                if span := own_span(suffix, left, pos):
+                    yield digest, *span
+            members[-1] = []
             continue
         if len(suffixes) >= BLOCK and h < 8 + GRAM:  # a group is never cut
             yield from flush()
@@ -297,15 +316,21 @@ def _runs(n_ranges: int):
         def flush() -> Iterator[pa.RecordBatch]:
             held.sort()
             ranges: dict[int, list] = {}
-            for suffix, left, digest, pos in held:
-                part = ranges.setdefault(int.from_bytes(suffix[:8], "big") * n_ranges >> 64, [])
-                if part and part[-1][0] == suffix and part[-1][1] == left:
-                    part[-1][2].append((digest, pos))
-                else:
-                    part.append((suffix, left, [(digest, pos)]))
+            told: dict[bytes, list[tuple[int, int]]] = {}
+            for (suffix, left), equal in groupby(held, key=itemgetter(0, 1)):
+                members = [(digest, pos) for _, _, digest, pos in equal]
+                if len(members) > 1:
+                    for digest, pos in members:
+                        if span := own_span(suffix, left, pos):
+                            told.setdefault(digest, []).append(span)
+                    members = []
+                ranges.setdefault(int.from_bytes(suffix[:8], "big") * n_ranges >> 64, []).append((suffix, left, members))
             held.clear()
-            for some in [list(ranges.items())[i : i + 64] for i in range(0, len(ranges), 64)]:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), pa.array([encode_run(e) for _, e in some], pa.binary())], names=["part", "run"])
+            rows = [(part, encode_run(entries), None, None) for part, entries in ranges.items()]
+            rows += [(int.from_bytes(d[:4], "big") % n_ranges, None, d, [x for span in union(spans) for x in span]) for d, spans in told.items()]
+            for some in [rows[i : i + 64] for i in range(0, len(rows), 64)]:
+                columns = zip(zip(*some, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["part", "run", "digest", "spans"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
@@ -329,7 +354,10 @@ def _runs(n_ranges: int):
 
 def _merge(frame: pd.DataFrame) -> pd.DataFrame:
     found: dict[bytes, list[tuple[int, int]]] = {}
-    for digest, start, end in repeated_spans(list(frame["run"])):
+    told = frame[frame["run"].isna()]
+    for digest, flat in zip(told["digest"], told["spans"], strict=True):
+        found.setdefault(digest, []).extend(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True))
+    for digest, start, end in repeated_spans(list(frame["run"].dropna())):
         found.setdefault(digest, []).append((start, end))
     rows = [(d, s, e) for d, spans in found.items() for s, e in union(spans)]
     return pd.DataFrame(rows, columns=["digest", "start", "end"])
@@ -383,14 +411,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     long = texts.where(F.octet_length("text") >= LENGTH).withColumn("cid", F.xxhash64("digest"))
     found = long.select("cid", "text").mapInArrow(_anchor_rows, "key bigint, cid bigint, pos int")
     place = F.xxhash64("cid", "pos")
-    again = found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key")
+    # written, so that both sides of the join are exchanged as they are and a common passage's key can be split
+    again = materialize(found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("key"), "suffix")
     places = found.join(again, "key", "left_semi").groupBy("cid").agg(F.collect_set("pos").alias("places"))
     sorted_texts = long.join(places.withColumnRenamed("cid", "_cid"), F.col("cid") == F.col("_cid")).dropDuplicates(["cid", "digest"]).select("digest", "text", "places")
     with arrow_batches(spark, BATCH):
         sorted_texts = materialize(sorted_texts, "suffix")
 
-    n_ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    runs = sorted_texts.mapInArrow(_runs(n_ranges), "part int, run binary")
+    n_suffixes = sorted_texts.agg(F.sum(F.size("places").cast("long"))).first()[0] or 0
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_suffixes // RANGE))
+    runs = sorted_texts.mapInArrow(_runs(n_ranges), "part int, run binary, digest binary, spans array<bigint>").repartition(n_ranges, "part")
     spans = runs.groupBy("part").applyInPandas(_merge, "digest binary, start bigint, end bigint")
     spans = spans.groupBy(F.col("digest").alias("_digest")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     cut = sorted_texts.join(spans, F.col("digest") == F.col("_digest")).select("digest", "text", "_spans")

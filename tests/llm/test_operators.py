@@ -267,3 +267,27 @@ def test_empty_tables(none):
     assert mixing.mix(none).count() == 0
     assert token_files.token_output(none, P.path("word_bpe_49k.json"), 2).count() == 0
     assert token_counts.token_counts(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_suffix_ranges_of_many_small_runs(monkeypatch):
+    """Copies told by runs, by the merge and by other contexts, in one process."""
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "RUN", 9)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 4)
+    rng = random.Random(8)
+    passage = bytes(rng.choices(b"abc", k=700))
+    noise = lambda n: bytes(rng.choices(b"xyz", k=n))
+    texts = [noise(rng.randint(0, 90)) + passage[rng.randint(0, 150) : rng.randint(380, 700)] + noise(rng.randint(0, 90)) for _ in range(25)]
+    texts += [passage + passage[:300], b"q" * 900, noise(500)]
+    places = [suffix_dedup.anchors(t)[0].tolist() for t in texts]
+    digests = [bytes([i]) * 32 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary()), pa.array(places, pa.list_(pa.int32()))], names=["digest", "text", "places"])
+    frame = pd.concat(b.to_pandas() for b in suffix_dedup._runs(5)(iter([batch])))
+    spans = {d: [] for d in digests}
+    for _, part in frame.groupby("part"):
+        for r in suffix_dedup._merge(part).itertuples():
+            spans[r.digest].append((r.start, r.end))
+    got = [sum(e - s for s, e in suffix_dedup.union(spans[d])) for d in digests]
+    assert got == [n for _, n, _, _ in brute.repeats([t.decode() for t in texts])]
