@@ -404,7 +404,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     base = materialize(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "suffix")
-    times = base.groupBy("digest").agg(F.count("*").alias("_times"))
 
     # Anchors whose strings are found at two places at least. A cid is a text; should two
     # texts share one, each gets the other's places too, where sorting finds what it finds.
@@ -427,11 +426,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     with arrow_batches(spark, BATCH):
         cut = materialize(cut.mapInArrow(_cut, "digest binary, _removed bigint, _cuts array<struct<start: bigint, end: bigint>>, _sha string"), "suffix")
 
-    whole = (F.col("_times") > 1) & (F.col("n_bytes") >= LENGTH)
+    # A row for each text that copies or cuts say something of, written: the rows of a text with many copies then
+    # meet it in one join, whose exchanged sides can be split.
+    copied = base.where(F.col("n_bytes") >= LENGTH).groupBy(F.col("digest").alias("_copied")).agg(F.count("*").alias("_times")).where("_times > 1")
+    told = cut.join(copied, F.col("digest") == F.col("_copied"), "full").select(F.coalesce("digest", "_copied").alias("_digest"), F.col("_times").isNotNull().alias("_whole"), "_removed", "_cuts", "_sha")
+    told = materialize(told, "suffix")
+    whole = F.coalesce("_whole", F.lit(False))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     return (
-        base.join(times.withColumnRenamed("digest", "_d1"), F.col("digest") == F.col("_d1"))
-        .join(cut.withColumnRenamed("digest", "_d2"), F.col("digest") == F.col("_d2"), "left")
+        base.join(told, F.col("digest") == F.col("_digest"), "left")
         .select(
             "doc_id",
             "n_bytes",
