@@ -259,6 +259,36 @@ def test_mixing(docs, texts):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_repeated_rows_and_names(spark):
+    table = [(1, "a b", "s", 1), (1, "a b", "s", 2), (2, "c d", "s", 3), (None, "e", None, 4), (None, None, None, 5)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string, `_copy` int")
+    docs = docs.select("*", *[F.lit("x").alias(c) for c in ("at", "row", "drawn", "times", "_n", "_doc", "_source", "_key", "_bucket")])
+    for options in ({"max_repeats": 1.0}, {"max_repeats": 3.0}):
+        drawn = mixing.mix(docs, **options)
+        got = mixing.mixed_documents(docs, **options)
+        assert got.columns == docs.columns and got.count() == drawn.count()
+        assert {r["_copy"] for r in got.collect()} == {1, 2, 3, 4, 5}
+    assert mixing.mixed_documents(docs, max_repeats=1.0).count() == 5
+
+
+def test_mixing_by_entropy_and_budget(spark):
+    docs = spark.createDataFrame([(i, "w " * 9, "abc"[min(2, i // 40)]) for i in range(120 + 200)], "doc_id long, text string, source string")
+    share = lambda rows: {s: sum(r.n_tokens for r in rows if r.source == s) / sum(r.n_tokens for r in rows) for s in "abc"}
+    got = mixing.mix(docs, max_repeats=None, entropy=math.log(3) - 1e-6, budget_tokens=1200).collect()
+    assert sum(r.n_tokens for r in got) <= 1200 and all(abs(x - 1 / 3) < 0.02 for x in share(got).values())
+    weights = {r.source: r.weight for r in got}
+    assert sum(weights.values()) == pytest.approx(1) and -sum(w * math.log(w) for w in weights.values()) >= math.log(3) - 1e-6
+    low = mixing.mix(docs, max_repeats=None, entropy=0.1).collect()  # less than the corpus has: shares stay
+    assert {r.source: round(r.weight, 6) for r in low} == {"a": 0.125, "b": 0.125, "c": 0.75}
+    twice = mixing.mix(docs, max_repeats=2.0, budget_tokens=6400, block_tokens=500).collect()
+    assert all(sum(r.n_tokens for r in twice if r.source == s) <= r_weight * 6400 + 1e-6 for s, r_weight in {r.source: r.weight for r in twice}.items())
+    assert {r.block for r in twice} == set(range(13)) and max(sum(r.n_tokens for r in twice if r.block == b) for b in range(13)) <= 500 + 30
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_repeats=None, entropy=1.0, budget_tokens=10**9)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, max_repeats=None)
+
+
 def test_empty_tables(none):
     assert near_duplicates.classes(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
