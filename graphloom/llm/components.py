@@ -11,14 +11,14 @@ from graphloom.llm.common import materialize
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours the least node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
+    least = materialize(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "components")
     return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "components")
     moved = down.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -26,8 +26,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(u, v); a component is its least node.
 
-    Both stars only group by a node and join its least neighbour back, so a hub's
-    neighbours never meet in one task's memory. The edges are written after each
+    Both stars only group by a node, with partial minima, and join its least neighbour
+    back. The minima are written first: the join's sides are then exchanged as they are,
+    and a hub's neighbours can be split over tasks. The edges are written after each
     round; the loop ends when neither star changes them, after a number of rounds that
     grows with the logarithm of the nodes. Loops and repeated edges change nothing;
     rows with a null end are left out; no edges give no rows.

@@ -187,14 +187,20 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     Words are lower-cased (A-Z) runs without ASCII white space. Sets are linked where
     100 * intersection >= percent * union, and a component's id is its least doc_id. A text
     of fewer words than a shingle is one shingle; texts without words, null ones
-    included, have empty sets and are linked with nothing. Rows without doc_id are left
-    out. Rows that share a doc_id are one node of the graph, each a row of the result.
+    included, have empty sets and are linked with nothing. Rows without doc_id are linked
+    with nothing too and have no component_id. Rows that share a doc_id are one node of the
+    graph, each a row of the result. An empty table gives no rows; other columns have no part.
+
+    What joins on a bucket, a hub or a text's digest is written before it is exchanged, so
+    that adaptive execution can split the rows of a hot key.
     """
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(docs.mapInArrow(_sign(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "minhash")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    every = materialize(docs.mapInArrow(_sign(shingle_words, bands, rows), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch array<bigint>"), "minhash")
     one = F.xxhash64("digest")
+    signed = every.where("doc_id IS NOT NULL")
     if not signed.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo < hi").isEmpty():
-        return _by_row(docs, shingle_words, percent, bands, rows)
+        none = every.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+        return _by_row(docs.where("doc_id IS NOT NULL"), shingle_words, percent, bands, rows).unionByName(none)
     same = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     same = materialize(same, "minhash")
     reps = signed.join(same.select(F.col("digest").alias("_d"), "rep"), (F.col("digest") == F.col("_d")) & (F.col("doc_id") == F.col("rep")), "left_semi").dropDuplicates(["doc_id"])
@@ -202,7 +208,7 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     reps = materialize(reps.select("doc_id", F.col("n_shingles").alias("n"), *[F.col("sketch")[i].alias(s) for i, s in enumerate(sketch)], "bands"), "minhash")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    full = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "minhash")
     members = materialize(keys.join(full, "key"), "minhash")
     weight = materialize(members.groupBy("doc_id").agg(F.sum("size").alias("weight")), "minhash")
     members = materialize(members.drop("size").join(weight, "doc_id").join(reps.drop("bands"), "doc_id"), "minhash")
@@ -216,8 +222,10 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
 
     # What shares a bucket but no component yet
     left = members.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component", "weight")
+    left = materialize(left, "minhash")
     mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = left.join(mixed, "key", "left_semi").join(hubs.select("_key", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), F.col("key") == F.col("_key")).drop("_key")
+    mixed = materialize(mixed.join(hubs.select(F.col("_key").alias("key"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), "key"), "minhash")
+    left = left.join(mixed, "key")
     left = left.join(held.drop("linked"), (F.col("hub") == F.col("u")) & (F.col("doc_id") == F.col("v")), "left").drop("u", "v")
     own = F.col("doc_id") == F.col("hub")  # the hub adds nothing and lacks nothing
     left = left.withColumns({c: F.when(own, F.lit(0)).otherwise(F.col(c)).cast("long") for c in held.columns[3:]})
@@ -228,7 +236,8 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
         found = materialize(components(edges.unionByName(more.select("u", "v"))), "minhash")
 
     ids = same.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(ids, F.col("digest") == F.col("_d"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = every.join(ids, F.col("digest") == F.col("_d"), "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _by_row(docs: DataFrame, *options) -> DataFrame:

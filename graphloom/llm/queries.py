@@ -22,7 +22,7 @@ from graphloom.llm.common import table
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.classes(table(spark, sf_dir, "documents"), shingle_words=2)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,6 +289,38 @@ def test_mixing_by_entropy_and_budget(spark):
         mixing.mix(docs, max_repeats=None)
 
 
+def test_rows_without_doc_id_and_repeated_rows(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    table = [(None, long), (None, long), (None, None), (3, long), (3, long), (7, long + " more"), (8, "")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").select("*", F.lit(1).alias("size"), F.lit("x").alias("key"))
+    got = [tuple(r) for r in near_duplicates.classes(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 56, None), (None, 56, None), (None, 0, None), (3, 56, 3), (3, 56, 3), (7, 57, 3), (8, 0, 8)], key=repr)
+    assert near_duplicates.representatives(docs).count() == 6
+    rows = token_files.token_output(docs, P.path("word_bpe_49k.json"), 2).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, None, 3, 3, 7, 8] and [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows[:-1]]).tolist()
+    cut = suffix_dedup.remove_repeats(docs).collect()
+    assert len(cut) == 7 and sum(r.n_bytes == r.n_removed for r in cut if r.n_bytes) == 4
+    assert sharding.shard_by_bytes(docs).count() == 7 and sorted(r.slot for r in sharding.shard_by_bytes(docs, 1).collect()) == list(range(7))
+    assert quality_rules.with_rules(docs).count() == 7 and decontaminate.contamination(docs, docs.selectExpr("'b' AS item_id", "text")).count() == 7
+    assert token_counts.token_counts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 7
+
+
+def test_near_copies_of_a_hub(spark):
+    """Many near copies of one text, copies of copies that are too far from it, and texts that share much but too little."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = {}
+    for i in range(120):
+        words = base[:]
+        for _ in range(rng.choice([1, 2, 14, 16, 18])):
+            words[rng.randrange(150)] = f"n{rng.random()}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(5)
+    for k in (2, 5):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.classes(docs, shingle_words=k).collect()}
+        assert got == brute.near_components(texts, k)
+
+
 def test_empty_tables(none):
     assert near_duplicates.classes(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
