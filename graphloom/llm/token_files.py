@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import arrow_batches, kept_in_worker, scratch
 
 MAGIC, HEAD = b"GLT1", struct.Struct("<4sIIQQ")
+#: Stands for no doc_id in a file.
+NO_ID = -(2**63)
 #: Ids in a block; ids in a file, beyond which the next document opens a new one.
 BLOCK, FILE_IDS = 65_536, 2_000_000
 #: Words whose ids a worker keeps in each of two generations; bytes of text that it encodes at once; rows handed to it at once.
@@ -250,8 +252,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = F
     is that of the documents; repeated rows are written each. A task holds a file's
     ids at most. The manifest (part, seq, name, n_ids, base: ids of all files before)
     is a written table; a task that is run again leaves a file that it doesn't name.
-    Null texts are empty; rows without doc_id aren't documents and raise no row. A
-    worker keeps the ids of at most 2 * kept_words words (and those of one slice).
+    Null texts are empty; rows without doc_id come first, as NO_ID in the files. An empty
+    table writes no file; other columns have no part. A worker keeps the ids of at most 2 * kept_words words (and those of one slice).
     """
     from tokenizers import Tokenizer
 
@@ -261,7 +263,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = F
     fs.create_dir(f"{root}/data")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = width(Tokenizer.from_file(tokenizer).get_vocab_size())
-    dealt = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = dealt.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
     files = dealt.mapInArrow(_write(f"{folder}/data", tokenizer, end_id, bits, file_ids, block, kept_words), "part int, seq bigint, name string, n_ids bigint")
     with arrow_batches(spark, BATCH):
@@ -275,7 +277,8 @@ def read_tokens(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32, from the files."""
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = manifest.select("name", "base").repartition(parts, "name")
-    return named.mapInPandas(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    found = named.mapInPandas(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return found.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def token_output(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
