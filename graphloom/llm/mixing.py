@@ -23,7 +23,7 @@ MAX_EPOCHS = 10_000
 #: Bisection: steps, and steps that one job looks ahead.
 STEPS, AHEAD = 20, 4
 #: Documents of a source whose running sum one task takes, at least; more where a source has more than their square.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 250
 
 
 def _bisect(totals: DataFrame, all_tokens: int, max_tokens: int, max_repeats: float | None, entropy: float | None) -> float:
@@ -76,22 +76,23 @@ def _mix(base: DataFrame, repeated: bool, max_repeats: float | None, entropy: fl
         quota = F.floor(F.col("_tokens") * F.pow(F.lit(float(max_tokens)) / F.col("_tokens"), F.lit(1 - alpha)))
     else:
         quota = F.floor(weight * F.lit(float(budget_tokens)))
-    quotas = totals.select(F.col("source").alias("_source"), "_tokens", weight.alias("weight"), quota.cast("long").alias("_quota"))
+    # a bucket's rows, and a source's buckets, stay near the root of its rows
+    buckets = F.expr(f"cast(ceil(_rows / {max(BUCKET_ROWS, math.isqrt(max_rows))}) as bigint)")
+    quotas = totals.select(F.col("source").alias("_source"), "_tokens", weight.alias("weight"), quota.cast("long").alias("_quota"), buckets.alias("_buckets"))
     total, epochs = quotas.agg(F.sum("_quota"), F.max(F.expr("(_quota - 1) div _tokens + 1"))).first()
     if epochs > MAX_EPOCHS:
         raise ValueError(f"a source would be repeated {epochs} times, more than {MAX_EPOCHS}: lower budget_tokens or entropy")
-    # a bucket's rows, and a source's buckets, stay near the root of its rows
-    n_blocks, buckets = max(1, -(-total // block_tokens)), -(-max_rows // max(BUCKET_ROWS, math.isqrt(max_rows)))
+    n_blocks = max(1, -(-total // block_tokens))
     apart = ["at"] if repeated else []  # else rows of one doc_id would all be in one bucket
     copies = (
         base.join(quotas, F.col("source").eqNullSafe(F.col("_source")))
         .where("_quota > 0")
         .withColumn("epoch", F.explode(F.expr("sequence(0, cast((_quota - 1) div _tokens as int))")))
         .withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), "epoch", "doc_id", *apart)))
-        .withColumn("_bucket", F.expr(f"cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * {buckets} div {1 << 32}"))
+        .withColumn("_bucket", F.expr(f"cast(conv(substr(_key, 1, 8), 16, 10) as bigint) * _buckets div {1 << 32}"))
     )
     sums = copies.groupBy("source", "epoch", "_bucket").agg(F.sum("n_tokens").alias("_sum"))
-    offsets = sums.select(  # `buckets` rows for each source and epoch
+    offsets = sums.select(  # `_buckets` rows for each source and epoch
         F.col("source").alias("_s"), F.col("epoch").alias("_e"), F.col("_bucket").alias("_b"), F.expr("coalesce(sum(_sum) OVER (PARTITION BY source, epoch ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)").alias("_offset")
     )
     inside = F.expr("sum(n_tokens) OVER (PARTITION BY source, epoch, _bucket ORDER BY _key, n_tokens, at ROWS UNBOUNDED PRECEDING)")
