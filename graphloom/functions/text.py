@@ -51,15 +51,17 @@ def normalize_email(c: Column) -> Column:
 
 def deterministic_key(entity_type: Column, props: dict[str, Column]) -> Column:
     """The key that identifies an entity for certain, or null."""
-    got = lambda name: blank_to_null(normalize_identifier(props.get(name, F.lit(None).cast("string"))))
-    kind = F.coalesce(F.upper(F.trim(props.get("document_type", F.lit(None).cast("string")))), F.lit("DOCUMENT"))
+    raw = lambda name: props.get(name, F.lit(None).cast("string"))
+    got = lambda name: blank_to_null(normalize_identifier(raw(name)))
+    kind = F.coalesce(blank_to_null(F.upper(F.trim(raw("document_type")))), F.lit("DOCUMENT"))
     return (
         F.when(entity_type == "Person", F.concat(F.lit("national_id:"), got("national_id")))
-        .when(entity_type == "Email", F.concat(F.lit("email:"), normalize_email(props.get("address", F.lit(None).cast("string")))))
+        .when(entity_type == "Email", F.concat(F.lit("email:"), normalize_email(raw("address"))))
         .when(entity_type == "Phone", F.concat(F.lit("phone:"), got("number")))
         .when(entity_type == "Document", F.concat(F.lit("document:"), kind, F.lit(":"), got("number")))
-        .when(entity_type == "BankAccount", F.concat(F.lit("account:"), F.coalesce(got("iban"), got("account_number"))))
-        .when(entity_type == "Vehicle", F.concat(F.lit("vehicle:"), blank_to_null(F.regexp_replace(F.upper(props.get("plate", F.lit(None).cast("string"))), "[^A-Z0-9]", ""))))
+        .when(entity_type == "BankAccount", F.concat(F.lit("account:"), F.coalesce(*[blank_to_null(F.upper(F.regexp_replace(raw(n), r"\s", ""))) for n in ("iban", "account_number")])))
+        .when(entity_type == "Vehicle", F.concat(F.lit("vehicle:"), blank_to_null(F.regexp_replace(F.upper(F.coalesce(blank_to_null(raw("plate")), raw("registration"))), "[^A-Z0-9]", ""))))
+        .when(entity_type == "Country", F.concat(F.lit("country:"), got("iso2")))
     )
 
 

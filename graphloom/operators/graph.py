@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.lineage import cut
+from graphloom.sinks.catalog import SchemaError
 
 
 @dataclass(frozen=True)
@@ -34,11 +36,59 @@ class PropertyGraph:
         return self.vertices.join(ids.limit(limit) if limit is not None else ids, "vid", "left_semi")
 
     def get(self, vids: DataFrame) -> DataFrame:
+        """The rows of vids(vid) that exist, of all their tags."""
         return self.vertices.join(vids.select("vid"), "vid", "left_semi")
 
-    def neighbors(self, vid: str, edge_type: str | None = None, direction: str = "out") -> DataFrame:
-        """Neighbours that have a vertex row."""
+    def vertex(self, vid: str, tag: str | None = None, registered: Collection[str] | None = None) -> DataFrame:
+        """The rows of one vertex, of a tag or all. SchemaError for a tag that isn't registered, if it is said which are."""
+        if tag is not None and registered is not None and tag not in registered:
+            raise SchemaError(f"unknown tag: {tag}")
+        v = self.vertices.where(F.col("vid") == vid)
+        return v if tag is None else v.where(F.col("tag") == tag)
+
+    def exists(self, vid: str, tag: str | None = None) -> bool:
+        return not self.vertex(vid, tag).isEmpty()
+
+    def edge(self, edge_type: str, src: str, dst: str, rank: int = 0) -> DataFrame:
+        e = self.edges.where((F.col("edge_type") == edge_type) & (F.col("src") == src) & (F.col("dst") == dst))
+        return e.where(F.col("rank") == rank)
+
+    def edge_exists(self, edge_type: str, src: str, dst: str, rank: int = 0) -> bool:
+        return not self.edge(edge_type, src, dst, rank).isEmpty()
+
+    def existing_edges(self, keys: DataFrame) -> DataFrame:
+        """Those of keys(edge_type, src, dst, rank) that exist."""
+        key = ["edge_type", "src", "dst", "rank"]
+        return keys.select(*key).distinct().join(self.edges.select(*key), key, "left_semi")
+
+    def find_by(self, tag: str, field: str, value: str) -> str | None:
+        """The least vid of a tag whose column, or property, equals a value."""
+        column = F.col(field) if field in self.vertices.columns else F.col("props")[field]
+        return self.vertices.where((F.col("tag") == tag) & (column == value)).agg(F.min("vid")).first()[0]
+
+    def candidates(self, tag: str, fields: tuple[str, ...] = ("label", "date_of_birth", "nationality")) -> DataFrame:
+        """vid and the fields of all vertices of a tag: what names are compared with."""
+        return self.vertices.where(F.col("tag") == tag).select("vid", *[F.col(f) if f in self.vertices.columns else F.col("props")[f].alias(f) for f in fields])
+
+    def one_step(self, vids: DataFrame, edge_type: str) -> DataFrame:
+        """vid, other: where edges of a type lead from each of vids(vid)."""
+        return self.edges.where(F.col("edge_type") == edge_type).join(vids.select(F.col("vid").alias("src")), "src", "left_semi").select(F.col("src").alias("vid"), F.col("dst").alias("other")).distinct()
+
+    def nodes(self) -> DataFrame:
+        """vid, tags, label (the vid where there is none), props (later tags by name prevail): one row a vertex."""
+        v = self.vertices if "props" in self.vertices.columns else self.vertices.withColumn("props", F.expr("map()").cast("map<string,string>"))
+        bags = v.select("vid", "tag", F.explode("props").alias("k", "v")).groupBy("vid", "k").agg(F.max_by("v", "tag").alias("v")).groupBy("vid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("props"))
+        one = v.groupBy("vid").agg(F.sort_array(F.collect_set("tag")).alias("tags"), F.min(F.when(F.trim("label") != "", F.col("label"))).alias("_l"))
+        return one.join(bags, "vid", "left").select("vid", "tags", F.coalesce("_l", "vid").alias("label"), F.coalesce("props", F.expr("map()").cast("map<string,string>")).alias("props"))
+
+    def schema(self) -> dict[str, list[str]]:
+        return {"tags": sorted(r[0] for r in self.vertices.select("tag").distinct().collect()), "edge_types": sorted(r[0] for r in self.edges.select("edge_type").distinct().collect())}
+
+    def neighbors(self, vid: str, edge_type: str | None = None, direction: str = "out", limit: int | None = None) -> DataFrame:
+        """Neighbours that have a vertex row: all, or the first `limit` by vid."""
         ids = self._from(direction, edge_type).where(F.col("a") == vid).select(F.col("b").alias("vid")).distinct()
+        if limit is not None:
+            ids = ids.join(self.vertices.select("vid"), "vid", "left_semi").orderBy("vid").limit(limit)
         return self.get(ids)
 
     def neighbors_batch(self, vids: DataFrame, edge_types: list[str] | None = None, direction: str = "both") -> DataFrame:
@@ -113,15 +163,34 @@ class PropertyGraph:
         return self.get(ids), e
 
     def walks(self, root: str, depth: int = 2, limit: int | None = 60) -> DataFrame:
-        """Ends of outgoing walks of 1 to depth steps, one row a walk: step, vid, edge_type."""
+        """Ends of outgoing walks of 1 to depth steps: step, vid, edge_type, a row a walk; the first `limit` in this order.
+
+        Walks that end alike are counted together, level by level, and drawn apart at the end
+        only, as far as the limit goes: a hub costs its edges, not its walks.
+        """
         e = self.edges.select("src", "dst", "edge_type")
-        at = e.where(F.col("src") == root).select(F.lit(1).alias("step"), F.col("dst").alias("vid"), "edge_type")
-        every = at
+        at = cut(e.where(F.col("src") == root).groupBy(F.col("dst").alias("vid"), "edge_type").agg(F.count("*").alias("n")))
+        every = at.select(F.lit(1).alias("step"), "vid", "edge_type", "n")
         for d in range(2, depth + 1):
-            at = at.select(F.col("vid").alias("src")).join(e, "src").select(F.lit(d).alias("step"), F.col("dst").alias("vid"), "edge_type")
-            every = every.unionByName(at)
+            here = at.groupBy(F.col("vid").alias("src")).agg(F.sum("n").alias("_n"))
+            at = cut(here.join(e, "src").groupBy(F.col("dst").alias("vid"), "edge_type").agg(F.sum("_n").alias("n")))
+            every = every.unionByName(at.select(F.lit(d).alias("step"), "vid", "edge_type", "n"))
+        if limit is not None:  # at most `limit` kinds of walk, each at most `limit` times
+            every = every.orderBy("step", "vid", "edge_type").limit(limit).withColumn("n", F.least("n", F.lit(limit)))
+        every = every.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "_i")
         return every if limit is None else every.orderBy("step", "vid", "edge_type").limit(limit)
 
+    def context(self, vid: str) -> dict:
+        """One entity's properties, its neighbours (vid, tags, label, props) and its edges' types with their numbers."""
+        hop = self.undirected().where(F.col("a") == vid)
+        nodes = PropertyGraph(self.get(hop.select(F.col("b").alias("vid")).distinct().unionByName(self.vertices.sparkSession.createDataFrame([(vid,)], "vid string"))), self.edges).nodes()
+        own = nodes.where(F.col("vid") == vid).first()
+        return {"properties": own.props if own else {}, "neighbours": nodes.where(F.col("vid") != vid), "edge_types": {r.edge_type: r["count"] for r in hop.groupBy("edge_type").count().collect()}}
+
+    def risk_context(self, vid: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+        """What expand gives, two steps around an entity."""
+        return self.expand(vid, depth)
+
     def entity_context(self) -> DataFrame:
         """vid, edge_type, n, neighbours: incident edges of each type with multiplicity, and distinct neighbours."""
         return self.undirected().groupBy(F.col("a").alias("vid"), "edge_type").agg(F.count("*").alias("n"), F.countDistinct("b").alias("neighbours"))

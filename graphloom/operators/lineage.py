@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and kept in spark.checkpoint.dir; a temporary folder stands in where that is unset (tests)."""
+    """df computed once and kept in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder stands in, but only on one machine: on a cluster
+    no executor would find what another wrote there, so it is an error.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not found:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="graphloom-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)

@@ -2,29 +2,133 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Gates on a fact's confidence; candidate threshold and count.
+from graphloom.operators.lineage import cut
+
+# Gates on a fact's confidence; candidate threshold and count; premiums for equal birth dates and nationalities.
 ACCEPTED, REVIEW = 0.85, 0.50
 CANDIDATE, CANDIDATES = 0.5, 5
+BIRTH, NATION = 0.07, 0.03
+# What merges two records and what a person should look at; the same of a cascade, and the confidence that a judge needs.
+MERGE_RECORD, REVIEW_RECORD = 0.92, 0.70
+AUTO, NEAR, JUDGED = 0.93, 0.75, 0.7
+#: Names of a block that one part of the comparison holds.
+BLOCK_ROWS = 5_000
 
 
 def confidence_gate(confidence: Column) -> Column:
     return F.when(confidence >= ACCEPTED, "accepted").when(confidence >= REVIEW, "in_review").otherwise("rejected")
 
 
-def fuzzy_candidates(mentions: DataFrame, registry: DataFrame, block: str = "block", least: float = CANDIDATE, top: int = CANDIDATES) -> DataFrame:
-    """mentions(mention, name, block) against registry(id, canonical, block): the top matches by edit similarity.
+def sorted_words(name: Column) -> Column:
+    """What token-sort similarity compares: a name's words in lower case, in order."""
+    return F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.lower(name), r"\s+", " ")), " ")), " ")
+
+
+def _with(df: DataFrame, **kinds: str) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
+
 
-    Only names of one block meet; choose a key that keeps blocks small.
+def name_scores(left: DataFrame, right: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """block, x, y, score: the names of left(block, x) and right(block, y) whose token-sort similarity is `least` or more.
+
+    Each distinct name of a block meets each of the other side once. A block is cut into
+    parts of about block_rows names of the right side, each of which meets all names of the
+    left: however large a block, no task holds it. Pairs whose lengths alone rule them out
+    are dropped before they reach Python.
     """
-    m, r = mentions.alias("m"), registry.alias("r")
-    longest = F.greatest(F.length("m.name"), F.length("r.canonical"), F.lit(1))
-    score = F.round(1 - F.levenshtein(F.lower("m.name"), F.lower("r.canonical")) / longest, 4)
-    found = m.join(r, F.col(f"m.{block}") == F.col(f"r.{block}")).select("mention", "id", score.alias("score")).where(F.col("score") >= least)
+    from graphloom.functions.records import token_sort_ratio
+
+    x = left.select("block", sorted_words(F.col("x")).alias("x")).where("x <> ''").distinct()
+    y = right.select("block", sorted_words(F.col("y")).alias("y")).where("y <> ''").distinct()
+    largest = y.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = -(-largest // block_rows) or 1
+    x = x.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    y = y.withColumn("_part", F.pmod(F.xxhash64("y"), F.lit(parts)).cast("int"))
+    n, m = F.length("x"), F.length("y")
+    pairs = x.join(y, ["block", "_part"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m))
+    return pairs.select("block", "x", "y", token_sort_ratio("x", "y").alias("score")).where(F.col("score") >= least)
+
+
+def fuzzy_candidates(mentions: DataFrame, registry: DataFrame, least: float = CANDIDATE, top: int = CANDIDATES, birth: float = BIRTH, nationality: float = NATION) -> DataFrame:
+    """mention, id, score, rank: the top scored_candidates of each mention; equal scores rank by id."""
     rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top)
+    return scored_candidates(mentions, registry, least, birth, nationality).withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def scored_candidates(mentions: DataFrame, registry: DataFrame, least: float, birth: float = BIRTH, nationality: float = NATION) -> DataFrame:
+    """mention, id, score: the entities of each mention's type that score `least` or more.
+
+    mentions(mention, type, name) and registry(id, type, name; aliases), both with birth and
+    nationality if known. The score is the best token-sort similarity to the name or an
+    alias, with a premium for each of the two that is equal and known, at most 1.
+    """
+    m = _with(mentions, birth="string", nationality="string").withColumn("_x", sorted_words(F.col("name")))
+    r = _with(registry, birth="string", nationality="string", aliases="array<string>")
+    named = r.select("id", "type", "birth", "nationality", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_n"))
+    named = named.select("id", "type", "birth", "nationality", sorted_words(F.col("_n")).alias("_y"))
+    scores = name_scores(m.select(F.col("type").alias("block"), F.col("_x").alias("x")), named.select(F.col("type").alias("block"), F.col("_y").alias("y")), least - birth - nationality)
+    m = m.select("mention", F.col("type").alias("block"), F.col("_x").alias("x"), F.col("birth").alias("_b"), F.col("nationality").alias("_c"))
+    named = named.withColumnsRenamed({"type": "block", "_y": "y"})
+    found = m.join(scores, ["block", "x"]).join(named, ["block", "y"])
+    more = lambda a, b, c: F.when((F.col(a) != "") & (F.col(a) == F.col(b)), F.lit(c)).otherwise(F.lit(0.0))
+    score = F.round(F.least(F.lit(1.0), F.col("score") + more("_b", "birth", birth) + more("_c", "nationality", nationality)), 4)
+    return found.select("mention", "id", score.alias("score")).where(F.col("score") >= least).groupBy("mention", "id").agg(F.max("score").alias("score"))
+
+
+def resolve_records(records: DataFrame, existing: DataFrame) -> DataFrame:
+    """record, action, id, score: merge into an entity, create, or leave to a review.
+
+    records(record, label) and existing(id, label), both with passport_number, national_id,
+    date_of_birth and nationality if known. An equal passport, else an equal national id, is
+    a match for certain; then names decide with premiums for birth and nationality.
+    """
+    known = dict.fromkeys(("passport_number", "national_id", "date_of_birth", "nationality"), "string")
+    r, e = _with(records, **known), _with(existing, **known)
+    exact = None
+    for order, column in enumerate(("passport_number", "national_id")):
+        given = e.where(F.col(column) != "").groupBy(F.col(column).alias("_v")).agg(F.min("id").alias("id"))
+        hit = r.join(given, F.col(column) == F.col("_v")).select("record", F.lit(order).alias("_o"), "id")
+        exact = hit if exact is None else exact.unionByName(hit)
+    exact = exact.groupBy("record").agg(F.min_by("id", "_o").alias("_exact"))
+    named = lambda df, key: df.select(F.col(key).alias("mention" if key == "record" else "id"), F.lit("").alias("type"), F.coalesce("label", F.lit("")).alias("name"), F.col("date_of_birth").alias("birth"), "nationality")
+    best = fuzzy_candidates(named(r, "record"), named(e, "id"), REVIEW_RECORD, 1, 0.10, 0.05).select(F.col("mention").alias("record"), "id", "score")
+    found = r.select("record").join(exact, "record", "left").join(best, "record", "left")
+    sure = F.col("_exact").isNotNull()
+    action = F.when(sure | (F.col("score") >= MERGE_RECORD), "merge").when(F.col("score") >= REVIEW_RECORD, "review").otherwise("create")
+    return found.select("record", action.alias("action"), F.when(sure, F.col("_exact")).when(F.col("score") >= MERGE_RECORD, F.col("id")).alias("id"), F.when(sure, F.lit(1.0)).otherwise(F.col("score")).alias("score"))
+
+
+def cascade(mentions: DataFrame, registry: DataFrame, similar: DataFrame | None = None, adjudicate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """mention, id, method, score: equal key, else a near-equal name, else what a judge confirms of the three best; the rest is new.
+
+    mentions and registry as for fuzzy_candidates, with a key if known. similar(mention, id,
+    score) are similarities of embeddings (see nearest); adjudicate takes (mention, id,
+    score) and returns them with same and confidence. Without a judge, nothing near merges.
+    """
+    m, r = _with(mentions, key="string"), _with(registry, key="string")
+    keyed = m.join(r.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id")), "key").select("mention", "id", F.lit("deterministic").alias("method"), F.lit(1.0).alias("score"))
+    near = cut(fuzzy_candidates(m.join(keyed.select("mention"), "mention", "left_anti"), r, top=3))
+    first = near.where("rank = 1")
+    done = keyed.unionByName(first.where(F.col("score") >= AUTO).select("mention", "id", F.lit("fuzzy").alias("method"), "score"))
+    if adjudicate is not None:
+        asked = near.join(first.where(F.col("score") < AUTO).select("mention", F.col("score").alias("_best")), "mention")
+        if similar is not None:
+            asked = asked.join(similar.select("mention", "id", F.col("score").alias("_s")), ["mention", "id"], "left")
+        else:
+            asked = asked.withColumn("_s", F.lit(None).cast("double"))
+        asked = asked.select("mention", "id", "rank", F.greatest("_best", F.coalesce("_s", F.lit(0.0))).alias("score")).where(F.col("score") >= NEAR)
+        said = adjudicate(asked.select("mention", "id", "score")).where("same").where(F.col("confidence") >= JUDGED).select("mention", "id", "confidence")
+        yes = asked.join(said, ["mention", "id"]).groupBy("mention").agg(F.min_by(F.struct("id", F.greatest("score", "confidence").alias("score")), "rank").alias("_y"))
+        done = done.unionByName(yes.select("mention", "_y.id", F.lit("embedding+llm").alias("method"), "_y.score"))
+    new = m.join(done.select("mention"), "mention", "left_anti").select("mention", F.lit(None).cast(dict(r.dtypes)["id"]).alias("id"), F.lit("new").alias("method"), F.lit(1.0).alias("score"))
+    return done.unionByName(new)
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -57,19 +161,56 @@ def wide_identifier_members(holders: DataFrame, max_fanout: int) -> DataFrame:
 
 
 def nearest(queries: DataFrame, rows: DataFrame, top: int, block: int = 2048) -> DataFrame:
-    """query, id, score: the top cosine neighbours of queries(id, vector) among rows(id, vector), themselves left out.
+    """query, id, score, rank: the top cosine neighbours of queries(id, vector) among rows(id, vector), themselves left out.
 
-    Queries meet all rows in blocks of at most `block` vectors, each small enough to
-    broadcast; a partition keeps its top rows of each query before the shuffle.
+    Queries meet all rows in blocks of at most `block` vectors, one pass over the rows and one
+    matrix product an Arrow batch each; a batch keeps its top rows of each query, so what is
+    shuffled grows with batches and queries, not with pairs. Vectors without length score 0;
+    null ones are left out. Equal scores rank by id.
     """
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    blocks = 2 * (queries.count() // block) + 1  # hashed blocks vary in size: twice as many keep each below the bound
-    unit = rows.withColumn("_l", F.sqrt(dot("vector", "vector")))
-    asked = queries.select(F.col("id").alias("query"), F.col("vector").alias("_q"), F.sqrt(dot("vector", "vector")).alias("_ql"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b"))
+    spark = rows.sparkSession
+    asked = queries.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    blocks = -(-asked.count() // block) or 1
+    if blocks > 1:  # near-equal blocks, by ranges of the ids' hashes
+        asked = cut(asked.withColumn("_h", F.xxhash64("id")))
+        bounds = asked.approxQuantile("_h", [k / blocks for k in range(1, blocks)], 0.0005)
+        asked = asked.withColumn("_b", sum((F.col("_h") > F.lit(b)).cast("int") for b in bounds))
+    else:
+        asked = asked.withColumn("_b", F.lit(0))
+    kind = dict(rows.dtypes)["id"]
+    vectors = rows.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
     found = None
     for b in range(blocks):
-        part = F.broadcast(asked.where(F.col("_b") == b))
-        one = unit.join(part, F.col("id") != F.col("query")).select("query", "id", (dot("_q", "vector") / (F.col("_ql") * F.col("_l"))).alias("score"))
+        mine = asked.where(F.col("_b") == b).select("id", "vector").toPandas()
+        if mine.empty:
+            continue
+        one = vectors.mapInArrow(_top_rows(mine["id"].tolist(), np.array(mine["vector"].tolist()), top), f"query {kind}, id {kind}, score double")
         found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], f"query {kind}, id {kind}, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def _top_rows(ids: list, vectors: np.ndarray, top: int):
+    def unit(x: np.ndarray) -> np.ndarray:
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = unit(vectors)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            theirs = batch.column(0).to_pylist()
+            scores = asked @ unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False))).T
+            at = {x: i for i, x in enumerate(theirs)}
+            for q, x in enumerate(ids):  # a query is no neighbour of its own
+                if x in at:
+                    scores[q, [i for i, y in enumerate(theirs) if y == x]] = -np.inf
+            k = min(top, len(theirs))
+            least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            q, i = np.nonzero((scores >= least) & np.isfinite(scores))  # ties stay until the ranking
+            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in q], batch.schema.field(0).type), batch.column(0).take(pa.array(i)), pa.array(scores[q, i])], names=["query", "id", "score"])
+
+    return run

@@ -222,11 +222,17 @@ def csv_import_vertices(spark, sf):
     return csv_import.run(rows, "customer", csv_import.Structure("customer", names, id="c_custkey")).vertices.select("vid", "tag", "label")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority[1]::BIGINT END AS value, o_orderstatus <> 'P' AS error FROM orders")
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority[1]::BIGINT END AS value, o_orderstatus <> 'P' AS error, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS amount, o_orderstatus = 'O' AS amount_error,
+CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 3 = 1 END AS flag, false AS flag_error FROM orders"""
+)
 def coerce_errors(spark, sf):
+    """Whole numbers, decimal ones and truth values, blank, right and wrong."""
     raw = F.when(F.col("o_orderstatus") == "P", F.substring("o_orderpriority", 1, 1)).otherwise(F.col("o_orderpriority"))
-    value, error = T.coerce(raw, "int")
-    return D.table(spark, sf, "orders").select("o_orderkey", value.alias("value"), error.alias("error"))
+    amount = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice").cast("string")).when(F.col("o_orderstatus") == "O", "much").otherwise(" ")
+    flag = F.when(F.col("o_orderkey") % 3 == 1, " TRUE").when(F.col("o_orderkey") % 3 == 2, "maybe").otherwise("")
+    (value, error), (x, y), (a, b) = T.coerce(raw, "int"), T.coerce(amount, "float"), T.coerce(flag, "bool")
+    return D.table(spark, sf, "orders").select("o_orderkey", value.alias("value"), error.alias("error"), x.alias("amount"), y.alias("amount_error"), a.alias("flag"), b.alias("flag_error"))
 
 
 @query("SELECT 'c:' || c_custkey AS vid, 'person' AS tag, 'confidence must be in 0..1' AS error FROM customer WHERE c_acctbal / 5000 NOT BETWEEN 0 AND 1")
@@ -241,9 +247,16 @@ def field_values_from_json(spark, sf):
     return D.table(spark, sf, "events").select("event_id", F.explode(records.properties(F.col("props"))).alias("field_key", "value"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+_DAYS = ("yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M/d")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 9 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def normalized_dates(spark, sf):
-    return D.table(spark, sf, "orders").select("o_orderkey", records.date(F.date_format("o_orderdate", "d/M/yyyy")).alias("day"))
+    """Days in each format that is read, and texts that are none."""
+    k, raw = F.col("o_orderkey") % 10, F.lit("soon")
+    for i, f in enumerate(_DAYS):
+        raw = F.when(k == i, F.date_format("o_orderdate", f)).otherwise(raw)
+    return D.table(spark, sf, "orders").select("o_orderkey", records.date(F.concat(F.lit(" "), raw)).alias("day"))
 
 
 # ---- evidence
@@ -317,13 +330,23 @@ def relationship_types(spark, sf):
     return E.valid_relationships(r, mentions).select("o_orderkey", "type", "label")
 
 
+def _lcs_sql(a: str, b: str) -> str:
+    """SQL for the length of the longest common subsequence of two texts: a row of the usual table for each letter of a."""
+    row = f"list_reduce(list_prepend([0::BIGINT], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda acc, j: list_append(acc, CASE WHEN ascii(substr({b}, j[1], 1)) = ch[1] THEN r[j[1]] + 1 ELSE greatest(acc[len(acc)], r[j[1] + 1]) END))"
+    letters = f"list_transform(range(1, length({a}) + 1), lambda i: [ascii(substr({a}, i, 1))::BIGINT])"
+    return f"list_last(list_reduce(list_prepend(list_transform(range(length({b}) + 1), lambda z: 0::BIGINT), {letters}), lambda r, ch: {row}))"
+
+
 @query(
-    """WITH c AS (SELECT a.s_suppkey AS mention, b.s_suppkey AS id, round(1 - levenshtein(lower(a.s_name), lower(b.s_name)) / greatest(length(a.s_name), length(b.s_name), 1), 4) AS score FROM supplier AS a JOIN supplier AS b ON a.s_nationkey = b.s_nationkey)
+    f"""WITH n AS (SELECT s_suppkey AS k, s_nationkey AS t, lower(split_part(s_name, '#', 2) || ' ' || split_part(s_name, '#', 1)) AS x FROM supplier),
+c AS (SELECT a.k AS mention, b.k AS id, round(least(1, 2.0::DOUBLE * {_lcs_sql("a.x", "b.x")} / (length(a.x) + length(b.x)) + CASE WHEN a.k % 3 = b.k % 3 THEN 0.07::DOUBLE ELSE 0 END), 4) AS score FROM n AS a JOIN n AS b USING (t))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS rank FROM c WHERE score >= 0.5) WHERE rank <= 5"""
 )
 def fuzzy_candidates(spark, sf):
-    s = D.table(spark, sf, "supplier")
-    return R.fuzzy_candidates(s.select(F.col("s_suppkey").alias("mention"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("block")), s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("canonical"), F.col("s_nationkey").alias("block")))
+    """Suppliers of a nation by the likeness of their names, whose words are in another order on one side."""
+    s = D.table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("type"), F.split("s_name", "#").alias("w"), (F.col("s_suppkey") % 3).cast("string").alias("birth"))
+    mentions = s.select(F.col("s_suppkey").alias("mention"), "type", F.concat_ws("  ", F.col("w")[1], F.col("w")[0]).alias("name"), "birth")
+    return R.fuzzy_candidates(mentions, s.select(F.col("s_suppkey").alias("id"), "type", F.concat_ws(" ", "w").alias("name"), "birth"))
 
 
 @query()

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators import network, risk, views
 from graphloom.operators import projection as P
 from graphloom.operators import resolution as R
-from graphloom.operators import risk
+from graphloom.operators.graph import PropertyGraph
 from graphloom.plans import driver_graph as D
+from graphloom.sinks import graph_store
 from graphloom.sources import csv_profile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,7 +120,7 @@ def substring_search(spark, sf):
 
 @query(f"WITH {_N} SELECT connector, n FROM n")
 def owners_per_connector(spark, sf):
-    return D.offer_owners(spark, sf).groupBy("connector").agg(F.countDistinct("person").alias("n"))
+    return P.counted(D.offer_owners(spark, sf)).select("connector", "n").distinct()
 
 
 @query("SELECT 'p:' || l_partkey AS connector, 'part' AS tag, count(DISTINCT o_custkey) AS person_count FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY l_partkey HAVING count(DISTINCT o_custkey) > 25")
@@ -178,18 +180,45 @@ def person_degrees(spark, sf):
     return P.person_degrees(shared_links(spark, sf), "c:1", 2)
 
 
-@query(f"WITH {_O} SELECT connector, string_agg(person, ',' ORDER BY person) AS shared_with FROM o GROUP BY connector")
+@query(
+    f"""WITH {_N} SELECT a.person, a.connector, 'company' AS tag, coalesce(string_agg(b.person, ',' ORDER BY b.person) FILTER (b.person <> a.person), '') AS shared_with FROM o AS a JOIN o AS b USING (connector) JOIN n USING (connector) WHERE n <= 25 GROUP BY ALL"""
+)
 def attributes_shared_with(spark, sf):
-    return D.offer_owners(spark, sf).groupBy("connector").agg(F.array_join(F.sort_array(F.collect_set("person")), ",").alias("shared_with"))
+    """What each person owns and who else does."""
+    persons = D.table(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("vid"))
+    none = spark.createDataFrame([], "src string, dst string, edge_type string")
+    found = network.attributes(network.Sources(D.offer_owners(spark, sf), none, persons=persons), tags=("company",))
+    return found.where("shared_with IS NOT NULL").select("person", "connector", "tag", F.array_join("shared_with", ",").alias("shared_with"))
 
 
 # ---- values, keys, resolution, risk
 
 
-@query("SELECT DISTINCT 'value:' || substr(sha1(lower(trim(c_mktsegment))), 1, 32) AS vid, lower(trim(c_mktsegment)) AS value, 'c:' || c_custkey AS owner FROM customer WHERE length(trim(c_mktsegment)) >= 3")
+_VALUES = r"""i AS (SELECT 'c:' || c_custkey AS owner, unnest(['segment', 'balance', 'full_name', 'gender', 'year']) AS field_key, unnest([c_mktsegment, c_acctbal::VARCHAR, c_name, 'female', '1990']) AS raw FROM customer),
+j AS (SELECT owner, field_key, lower(trim(regexp_replace(raw, '\s+', ' ', 'g'))) AS v FROM i), x AS (SELECT owner, field_key, CASE WHEN regexp_matches(v, '[0-9]') THEN regexp_replace(v, '[\s\-/.]', '', 'g') ELSE v END AS value FROM j WHERE field_key NOT IN ('gender')),
+y AS (SELECT DISTINCT * FROM x WHERE length(value) >= 3 AND NOT regexp_matches(value, '^[0-9]{4}$'))"""
+
+
+def _value_bags(spark, sf) -> DataFrame:
+    c = D.table(spark, sf, "customer")
+    bag = {"segment": F.col("c_mktsegment"), "balance": F.col("c_acctbal").cast("string"), "full_name": F.col("c_name"), "gender": F.lit("female"), "year": F.lit("1990")}
+    return c.select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("owner"), F.create_map(*[x for k, v in bag.items() for x in (F.lit(k), v)]).alias("props"))
+
+
+@query(f"WITH {_VALUES} SELECT 'value:' || substr(sha1(value), 1, 32) AS dst, owner AS src, field_key FROM y")
 def value_index(spark, sf):
-    v = D.table(spark, sf, "customer").select(T.normalize_value(F.col("c_mktsegment")).alias("value"), F.concat(F.lit("c:"), F.col("c_custkey")).alias("owner"))
-    return v.where(T.is_eligible(F.lit("segment"), F.col("value"))).select(T.value_vid(F.col("value")).alias("vid"), "value", "owner").distinct()
+    return graph_store.field_value_index(_value_bags(spark, sf))[1].select("src", "dst", "field_key")
+
+
+@query(f"WITH {_VALUES} SELECT DISTINCT 'value:' || substr(sha1(value), 1, 32) AS vid, value AS label FROM y")
+def value_vertices(spark, sf):
+    return graph_store.field_value_index(_value_bags(spark, sf))[0].select("vid", "label")
+
+
+@query(f"WITH {_VALUES} SELECT owner, string_agg(field_key || '=' || value, ';' ORDER BY field_key, value) AS pairs FROM y GROUP BY owner")
+def field_values(spark, sf):
+    pairs = F.transform(graph_store.field_values(F.col("props")), lambda f: F.concat(f["field_key"], F.lit("="), f["value"]))
+    return _value_bags(spark, sf).select("owner", F.array_join(pairs, ";").alias("pairs"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM (SELECT *, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS i FROM documents) WHERE i = 1")
@@ -209,9 +238,24 @@ def dedup_first(spark, sf):
     return R.first_wins(li, ["l_orderkey", "l_partkey"], "l_linenumber")
 
 
-@query("SELECT c_custkey, 'vehicle:' || regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key FROM customer")
+_KEYS = ("Person", "Email", "Phone", "Document", "BankAccount", "Vehicle", "Country", "Company")
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'national_id:AB' || c_custkey || 'X' WHEN 1 THEN 'email:c' || c_custkey || '@example.org' WHEN 2 THEN 'phone:+9715000' || c_custkey
+WHEN 3 THEN 'document:' || CASE WHEN c_custkey % 16 = 3 THEN 'PASSPORT' ELSE 'DOCUMENT' END || ':P' || c_custkey WHEN 4 THEN 'account:AE07-' || c_custkey WHEN 5 THEN 'vehicle:' || regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g')
+WHEN 6 THEN CASE WHEN c_custkey % 16 = 6 THEN 'country:AE' END END AS key FROM customer"""
+)
 def deterministic_keys(spark, sf):
-    return D.table(spark, sf, "customer").select("c_custkey", T.deterministic_key(F.lit("Vehicle"), {"plate": F.col("c_name")}).alias("key"))
+    """A key of each kind, and of a kind that has none."""
+    n = F.col("c_custkey").cast("string")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KEYS]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    every_other = F.col("c_custkey") % 16 < 8
+    given = {
+        "national_id": F.concat(F.lit("ab-"), n, F.lit(" x")), "address": F.concat(F.lit(" C"), n, F.lit("@Example.ORG ")), "number": F.when(kind == "Phone", F.concat(F.lit("+971 50-00"), n)).otherwise(F.concat(F.lit("p-"), n)),
+        "document_type": F.when(every_other, " passport "), "iban": F.when(every_other, F.concat(F.lit("ae07 -"), n)), "account_number": F.concat(F.lit("AE07-"), n), "plate": F.when(every_other, F.col("c_name")), "registration": F.col("c_name"), "iso2": F.when(every_other, "ae"),
+    }
+    return D.table(spark, sf, "customer").select("c_custkey", T.deterministic_key(kind, given).alias("key"))
 
 
 @query(
@@ -225,31 +269,83 @@ def cosine_topk(spark, sf):
     return R.nearest(a.where("id % 50 = 0"), a, 5).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
+#: A customer's answer about public office, by market segment.
+_PEP = {"AUTOMOBILE": "Yes - immediate Family of a PEP", "MACHINERY": "under assessment", "BUILDING": "None", "FURNITURE": "-"}
+_PEP_SQL = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'associate' WHEN 'MACHINERY' THEN 'self' END"
+
+
+def _pep_status():
+    return F.create_map(*[F.lit(x) for kv in _PEP.items() for x in kv])[F.col("c_mktsegment")]
+
+
+def _risk_graph(spark, sf) -> PropertyGraph:
+    """Customers, their nations as countries (the second one risky), listings of deep debtors, transfers between customers of consecutive orders."""
+    c = D.table(spark, sf, "customer")
+    vid = F.concat(F.lit("c:"), F.col("c_custkey"))
+    listed = c.where("c_acctbal < -900").select(F.concat(F.lit("x:"), F.col("c_custkey")).alias("src"), vid.alias("dst"))
+    bag = lambda k, v: F.create_map(F.lit(k), v)
+    v = c.select(vid.alias("vid"), F.lit("person").alias("tag"), F.col("c_name").alias("label"), bag("pep_status", _pep_status()).alias("props"))
+    v = v.unionByName(D.table(spark, sf, "nation").select(F.concat(F.lit("n:"), F.col("n_nationkey")).alias("vid"), F.lit("country").alias("tag"), F.col("n_name").alias("label"), bag("risk_classification", F.when(F.col("n_nationkey") == 1, risk.HIGH_RISK)).alias("props")))
+    v = v.unionByName(listed.select(F.col("src").alias("vid"), F.lit("sanction_entry").alias("tag"), F.col("src").alias("label"), bag("program", F.lit("debt")).alias("props")))
+    e = c.select(vid.alias("src"), F.concat(F.lit("n:"), F.col("c_nationkey")).alias("dst"), F.lit("CITIZEN_OF").alias("edge_type"), F.lit(0).cast("long").alias("rank"))
+    e = e.unionByName(listed.select("src", "dst", F.lit("LISTS").alias("edge_type"), F.lit(0).cast("long").alias("rank")))
+    paid = D.direct_edges(spark, sf).join(D.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("rank")), "rank")
+    return PropertyGraph(v, e.unionByName(paid.select("src", "dst", F.lit("TRANSFERRED_TO").alias("edge_type"), "rank")))
+
+
+_RISK = (
+    _S
+    + f""", y AS (SELECT p1 AS a, p2 AS b FROM s UNION SELECT p2, p1 FROM s), ls AS (SELECT 'c:' || c_custkey AS vid FROM customer WHERE c_acctbal < -900),
+h AS (SELECT vid, 0 AS d FROM ls UNION SELECT b, d + 1 FROM h JOIN y ON a = vid WHERE d < 3), g AS (SELECT vid, min(d) AS d FROM h GROUP BY vid HAVING min(d) > 0),
+tr AS (SELECT 'c:' || a.o_custkey AS src, 'c:' || b.o_custkey AS dst FROM orders AS a JOIN orders AS b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderstatus = 'P'),
+tc AS (SELECT vid, count(*) AS t FROM (SELECT src AS vid FROM tr UNION ALL SELECT dst FROM tr) GROUP BY vid),
+c AS (SELECT 'c:' || c_custkey AS vid, c_acctbal < -900 AS direct, CASE WHEN c_acctbal >= -900 THEN d END AS distance, coalesce(t, 0) AS transfers, {_PEP_SQL} AS pep, c_nationkey = 1 AS high_risk FROM customer LEFT JOIN g ON g.vid = 'c:' || c_custkey LEFT JOIN tc ON tc.vid = 'c:' || c_custkey)"""
+)
+
+
+@query(f"WITH RECURSIVE {_RISK} SELECT * FROM c")
+def risk_contexts(spark, sf):
+    return _risk_contexts(spark, sf).select("vid", "direct", "distance", "transfers", "pep", "high_risk")
+
+
+def _risk_contexts(spark, sf) -> DataFrame:
+    g = _risk_graph(spark, sf)
+    found = g.listed().select("vid").distinct()
+    near = risk.exposures(P.links(P.shared_reasons(D.offer_owners(spark, sf))), found)
+    return risk.contexts(g, g.vertices.where("tag = 'person'"), near)
+
+
 @query(
-    """SELECT 'c:' || c_custkey AS vid, round(least(1.0, CASE WHEN c_acctbal < -900 THEN 1.0 ELSE 0 END + CASE WHEN t > 0 THEN 0.5 * least(t / 3.0, 1.0) ELSE 0 END + CASE WHEN c_nationkey = 1 THEN 0.3 ELSE 0 END), 4)::DOUBLE AS score
-FROM customer JOIN (SELECT c_custkey AS k, count(o_orderkey) AS t FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY c_custkey) ON k = c_custkey"""
+    f"""WITH RECURSIVE {_RISK}, z AS (SELECT vid, round(least(1.0::DOUBLE, CASE WHEN direct THEN 1.0 ELSE 0 END + 0.8::DOUBLE * coalesce(greatest(0.0::DOUBLE, 0.8::DOUBLE - 0.2::DOUBLE * (distance - 1)), 0) + 0.5::DOUBLE * least(transfers / 3.0::DOUBLE, 1.0)
++ 0.7::DOUBLE * CASE pep WHEN 'self' THEN 1.0::DOUBLE WHEN 'associate' THEN 0.7 ELSE 0 END + CASE WHEN high_risk THEN 0.3::DOUBLE ELSE 0 END), 4) AS score,
+concat_ws(' ', CASE WHEN direct THEN 'Entity directly matches a sanctions record' END, 'Entity is connected within ' || distance || ' degree(s) to a sanctioned entity', CASE WHEN transfers > 0 THEN 'Entity shares bank account links with flagged entities' END,
+CASE pep WHEN 'self' THEN 'Entity is a politically exposed person — enhanced due diligence required' WHEN 'associate' THEN 'Entity is a relative or close associate of a politically exposed person' END, CASE WHEN high_risk THEN 'Entity is associated with a high-risk jurisdiction' END) AS said FROM c)
+SELECT vid, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.45 THEN 'medium' ELSE 'low' END AS level, CASE WHEN said = '' THEN '{risk.NOTHING_FOUND}' ELSE said END AS summary FROM z"""
 )
 def risk_scores(spark, sf):
-    t = D.table(spark, sf, "orders").where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("transfers"))
-    c = D.table(spark, sf, "customer").join(t, F.col("c_custkey") == F.col("o_custkey"), "left")
-    context = c.select(
-        F.concat(F.lit("c:"), F.col("c_custkey")).alias("vid"), (F.col("c_acctbal") < -900).alias("direct"), F.lit(None).cast("int").alias("distance"), F.coalesce("transfers", F.lit(0)).alias("transfers"), F.lit(None).cast("string").alias("pep"), (F.col("c_nationkey") == 1).alias("high_risk")
-    )
-    return risk.risk_scores(context).select("vid", "score")
+    """All five factors: listings, exposure through shared offers, transfers, public office, risky nations."""
+    return risk.risk_scores(_risk_contexts(spark, sf)).select("vid", "score", "level", risk.explanation(F.col("factors")).alias("summary"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('', 'no', 'none') THEN NULL WHEN event_type LIKE '%family%' THEN 'associate' ELSE 'self' END AS pep FROM events")
+@query(f"SELECT c_custkey, {_PEP_SQL} AS pep FROM customer")
 def pep_class(spark, sf):
-    return D.table(spark, sf, "events").select("event_id", T.classify_pep(F.col("event_type")).alias("pep"))
+    return D.table(spark, sf, "customer").select("c_custkey", T.classify_pep(_pep_status()).alias("pep"))
+
+
+_PROFILE = "SELECT '{0}' AS \"column\", '{1}' AS type, round(1 - count(v) / count(*), 4)::DOUBLE AS null_ratio, round(count(DISTINCT v) / greatest(1, count(v)), 4)::DOUBLE AS distinct_ratio FROM (SELECT {2} AS v FROM customer)"
 
 
 @query(
-    """SELECT 'c_custkey' AS "column", 'int' AS type, 0.0::DOUBLE AS null_ratio, 1.0::DOUBLE AS distinct_ratio UNION ALL SELECT 'c_acctbal', 'float', 0.0, round(count(DISTINCT c_acctbal) / count(*), 4) FROM customer
-UNION ALL SELECT 'c_mktsegment', 'string', 0.0, round(count(DISTINCT c_mktsegment) / count(*), 4) FROM customer"""
+    " UNION ALL ".join(_PROFILE.format(*x) for x in (
+        ("c_custkey", "int", "c_custkey"), ("c_acctbal", "float", "c_acctbal"), ("c_mktsegment", "string", "CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END"), ("in_debt", "bool", "CASE WHEN c_custkey % 5 > 0 THEN c_acctbal < 0 END"), ("blank", "string", "NULL::VARCHAR"),
+    ))
 )
 def csv_profile_columns(spark, sf):
-    c = D.table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    return csv_profile.profile(c)
+    """Columns of each type, with and without blanks, and one without a value."""
+    c = D.table(spark, sf, "customer").select(
+        "c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).otherwise(" ").alias("c_mktsegment"), F.when(F.col("c_custkey") % 5 > 0, F.when(F.col("c_acctbal") < 0, "Yes").otherwise("no")).alias("in_debt"), F.lit("").alias("blank")
+    )
+    return csv_profile.profile(c).drop("samples")
 
 
 @query(
@@ -258,5 +354,4 @@ def csv_profile_columns(spark, sf):
 def network_delta(spark, sf):
     """Pairs that the direct edges add to the shared ones."""
     persons = D.hierarchy(spark, sf).vertices.where("tag = 'person'").select("vid")
-    new = P.direct_reasons(D.direct_edges(spark, sf), persons).select("p1", "p2").distinct()
-    return new.join(P.shared_reasons(D.offer_owners(spark, sf)).select("p1", "p2"), ["p1", "p2"], "left_anti")
+    return views.delta(P.shared_reasons(D.offer_owners(spark, sf)), P.direct_reasons(D.direct_edges(spark, sf), persons))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from graphloom.functions import text as T
 
@@ -11,11 +12,12 @@ VERTEX_KEY, EDGE_KEY = ["vid", "tag"], ["src", "dst", "edge_type", "rank"]
 
 
 def insert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """New rows replace old ones of the same key whole; of new rows with one key, the greatest `order` stays."""
+    """New rows replace old ones of the same key whole; of new rows with one key, the greatest `order` stays, without one the greatest row."""
     if set(old.columns) - {order} != set(new.columns) - {order}:
         raise ValueError(f"columns differ: {sorted(old.columns)} and {sorted(new.columns)}")
     names = [c for c in new.columns if c not in keys and c != order]
-    last = new.groupBy(*keys).agg(F.max_by(F.struct(*names), F.col(order)).alias("_r")).select(*keys, "_r.*") if order else new.dropDuplicates(keys)
+    plain = [F.to_json(c) if isinstance(new.schema[c].dataType, MapType) else F.col(c) for c in names]  # maps have no order
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(*names), F.col(order) if order else F.struct(*plain)).alias("_r")).select(*keys, "_r.*") if names else new.select(*keys).distinct()
     return old.drop(order).join(last, keys, "left_anti").unionByName(last) if order else old.join(last, keys, "left_anti").unionByName(last)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = ",;\t|"
@@ -20,30 +20,53 @@ def sniff_delimiter(head: str) -> str:
     return max(DELIMITERS, key=rank)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """All columns as strings; the delimiter is sniffed from the first lines."""
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "utf-8") -> DataFrame:
+    """All columns as strings; the delimiter is sniffed from the first 64 KB's lines."""
     if sep is None:
-        sep = sniff_delimiter("\n".join(r[0] for r in spark.read.text(path).limit(20).collect()))
-    return spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE")
-
-
-def profile(df: DataFrame) -> DataFrame:
-    """column, type, null_ratio, distinct_ratio of string columns, in one aggregation."""
-    aggs = [F.count("*").alias("_n")]
-    for i, c in enumerate(df.columns):
-        v = F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.trim(F.col(f"`{c}`").cast("string")))
-        aggs += [
-            F.count(v).alias(f"_c{i}"), F.countDistinct(v).alias(f"_d{i}"), F.bool_and(F.lower(v).isin("true", "false", "yes", "no")).alias(f"_b{i}"),
-            F.bool_and(v.rlike(r"^[+-]?\d+$")).alias(f"_i{i}"), F.bool_and(v.try_cast("double").isNotNull()).alias(f"_f{i}"),
-        ]
-    one = df.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.when(F.col(f"_b{i}"), "bool").when(F.col(f"_i{i}"), "int").when(F.col(f"_f{i}"), "float").otherwise("string").alias("type"),
-            F.round(1 - F.col(f"_c{i}") / F.greatest(F.col("_n"), F.lit(1)), 4).alias("null_ratio"),
-            F.round(F.col(f"_d{i}") / F.greatest(F.col(f"_c{i}"), F.lit(1)), 4).alias("distinct_ratio"),
-        )
-        for i, c in enumerate(df.columns)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+        sep = sniff_delimiter("\n".join(r[0] for r in spark.read.text(path).limit(20).collect())[:65_536])
+    return spark.read.csv(path, header=True, sep=sep, mode="PERMISSIVE", encoding=encoding)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _row, their place in the input from 1, over all files in order of name.
+
+    Parts are counted first (a number each), so no sort and no shuffle; rows must come
+    straight from files, whose parts are the same each time they are read.
+    """
+    r = rows.withColumns({"_at": F.monotonically_increasing_id()})
+    part = F.shiftright("_at", 33)
+    before, sums = 0, {}
+    for k, n in sorted((x["p"], x["n"]) for x in r.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        sums[k], before = before, before + n
+    base = F.create_map(*[F.lit(x) for kv in sums.items() for x in kv]) if sums else F.expr("map(0L, 0)")
+    return r.withColumn("_row", base[part.cast("long")] + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
+
+
+def profile(df: DataFrame, samples: int = 5) -> DataFrame:
+    """column, type, null_ratio, distinct_ratio of string columns, samples (the least values).
+
+    A value and its column are one key, so distinct values are counted by partial sums over
+    all columns at once, and the table is read once whatever its width.
+    """
+    text = lambda c: F.trim(F.col(f"`{c}`").cast("string"))
+    n = df.count()
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(text(c) != "", text(c)).alias("v")) for i, c in enumerate(df.columns)])).alias("c")).select("c.*").where("v IS NOT NULL")
+    values = cells.groupBy("i", "v").agg(F.count("*").alias("n"))
+    v = F.col("v")
+    found = values.groupBy("i").agg(
+        F.sum("n").alias("count"), F.count("*").alias("distinct"), F.bool_and(F.lower(v).isin("true", "false", "yes", "no")).alias("is_bool"), F.bool_and(v.rlike(r"^[+-]?\d+$")).alias("is_int"), F.bool_and(v.try_cast("double").isNotNull()).alias("is_float"),
+    )
+    first = values.withColumn("_k", F.row_number().over(Window.partitionBy("i").orderBy("v"))).where(F.col("_k") <= samples).groupBy("i").agg(F.sort_array(F.collect_list("v")).alias("samples"))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "i int, column string")
+    kind = F.when(F.col("is_bool"), "bool").when(F.col("is_int"), "int").when(F.col("is_float"), "float").otherwise("string")
+    count = F.coalesce("count", F.lit(0))
+    out = names.join(found, "i", "left").join(first, "i", "left").select(
+        "column", kind.alias("type"), F.round(1 - count / F.lit(max(1, n)), 4).alias("null_ratio"), F.round(F.coalesce("distinct", F.lit(0)) / F.greatest(count, F.lit(1)), 4).alias("distinct_ratio"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "i"
+    )
+    return out.orderBy("i").drop("i")
+
+
+def inspect_csv(spark: SparkSession, path: str, sample: int | None = 500, encoding: str = "utf-8") -> DataFrame:
+    """The profile of a file's first `sample` rows, or of all."""
+    rows = read_csv(spark, path, encoding=encoding)
+    return profile(rows if sample is None else rows.limit(sample))

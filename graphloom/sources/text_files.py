@@ -2,12 +2,64 @@
 
 from __future__ import annotations
 
+import mimetypes
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions that are text, and how much of a file is evidence.
+# Extensions that are text, how much of a file is evidence, and how much of a table.
 TEXT = ("txt", "md", "log")
-MAX_CHARS = 120_000
+MAX_CHARS, MAX_ROWS, MAX_TABLE_CHARS = 120_000, 500, 60_000
+
+#: Readers of other kinds of file: extension to a function from bytes to text, run where the file is.
+#: A kind without a reader is refused; PDF, DOCX and image readers need libraries that aren't part of this one.
+READERS: dict[str, Callable[[bytes], str]] = {}
+
+
+def source_type(filename: str) -> str:
+    """text for what is read as text, a reader's extension, else ValueError."""
+    extension = filename.rsplit(".", 1)[-1].lower() if "." in filename else ""
+    if extension in READERS:
+        return extension
+    guess = mimetypes.guess_type(filename)[0] or ""
+    if extension in TEXT or guess.startswith("text/"):
+        return "text"
+    raise ValueError(f"unsupported file type: {filename}")
+
+
+def read_files(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> DataFrame:
+    """source, kind, text, error of each file: text, or what the extension's reader makes of it. Files that can't be read have an error."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    readers = dict(READERS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        READERS.update(readers)
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    kind = source_type(name)
+                    text = content.decode("utf-8", "replace") if kind == "text" else readers[kind](content)
+                    rows.append((name, kind, text[:max_chars], None))
+                except Exception as error:  # one file's fault
+                    rows.append((name, None, None, str(error)))
+            yield pd.DataFrame(rows, columns=["source", "kind", "text", "error"])
+
+    return f.mapInPandas(run, "source string, kind string, text string, error string")
+
+
+def table_text(rows: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_TABLE_CHARS) -> DataFrame:
+    """text, hint of the first rows of a table of strings with _row: a line "[row n] column=value; ..." each, without blanks. One row."""
+    names = [c for c in rows.columns if c != "_row"]
+    cell = lambda c: F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(f"{c}="), F.col(f"`{c}`")))
+    line = F.concat(F.lit("[row "), F.col("_row").cast("string"), F.lit("] "), F.concat_ws("; ", *[cell(c) for c in names]))
+    some = rows.select("_row", line.alias("line")).orderBy("_row").limit(max_rows)
+    one = some.agg(F.array_sort(F.collect_list(F.struct("_row", "line"))).alias("lines"))
+    text = F.substring(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 1, max_chars)
+    said = F.concat(F.lit(f"CSV with columns: {names}. "), F.size("lines").cast("string"), F.lit(" rows parsed. Each line is one record; treat repeated values across rows as the same entity."))
+    return one.select(text.alias("text"), said.alias("hint"))
 
 
 def read_texts(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> DataFrame:
