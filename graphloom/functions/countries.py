@@ -11,7 +11,7 @@ def countries(spark: SparkSession) -> DataFrame:
     locale = spark._jvm.java.util.Locale
     rows = []
     for code in locale.getISOCountries():
-        one = locale.of("", code)
+        one = locale("", code)
         name = one.getDisplayCountry(locale.ENGLISH)
         rows += [(alias.lower(), name, code) for alias in dict.fromkeys((name, code, one.getISO3Country()))]
     return spark.createDataFrame(rows, "alias string, name string, iso2 string")

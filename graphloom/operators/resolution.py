@@ -105,16 +105,17 @@ def resolve_records(records: DataFrame, existing: DataFrame) -> DataFrame:
     return found.select("record", action.alias("action"), F.when(sure, F.col("_exact")).when(F.col("score") >= MERGE_RECORD, F.col("id")).alias("id"), F.when(sure, F.lit(1.0)).otherwise(F.col("score")).alias("score"))
 
 
-def cascade(mentions: DataFrame, registry: DataFrame, similar: DataFrame | None = None, adjudicate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def cascade(mentions: DataFrame, registry: DataFrame, similar: DataFrame | None = None, adjudicate: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.0) -> DataFrame:
     """mention, id, method, score: equal key, else a near-equal name, else what a judge confirms of the three best; the rest is new.
 
     mentions and registry as for fuzzy_candidates, with a key if known. similar(mention, id,
     score) are similarities of embeddings (see nearest); adjudicate takes (mention, id,
     score) and returns them with same and confidence. Without a judge, nothing near merges.
+    Names below `least` are no candidates; at 0 all names of a type are held against each other.
     """
     m, r = _with(mentions, key="string"), _with(registry, key="string")
     keyed = m.join(r.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id")), "key").select("mention", "id", F.lit("deterministic").alias("method"), F.lit(1.0).alias("score"))
-    near = cut(fuzzy_candidates(m.join(keyed.select("mention"), "mention", "left_anti"), r, top=3))
+    near = cut(fuzzy_candidates(m.join(keyed.select("mention"), "mention", "left_anti"), r, least, 3))
     first = near.where("rank = 1")
     done = keyed.unionByName(first.where(F.col("score") >= AUTO).select("mention", "id", F.lit("fuzzy").alias("method"), "score"))
     if adjudicate is not None:

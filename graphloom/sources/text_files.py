@@ -18,10 +18,10 @@ MAX_CHARS, MAX_ROWS, MAX_TABLE_CHARS = 120_000, 500, 60_000
 READERS: dict[str, Callable[[bytes], str]] = {}
 
 
-def source_type(filename: str) -> str:
+def source_type(filename: str, readers: dict = READERS) -> str:
     """text for what is read as text, a reader's extension, else ValueError."""
     extension = filename.rsplit(".", 1)[-1].lower() if "." in filename else ""
-    if extension in READERS:
+    if extension in readers:
         return extension
     guess = mimetypes.guess_type(filename)[0] or ""
     if extension in TEXT or guess.startswith("text/"):
@@ -35,12 +35,11 @@ def read_files(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> Da
     readers = dict(READERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        READERS.update(readers)
         for frame in frames:
             rows = []
             for name, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    kind = source_type(name)
+                    kind = source_type(name, readers)
                     text = content.decode("utf-8", "replace") if kind == "text" else readers[kind](content)
                     rows.append((name, kind, text[:max_chars], None))
                 except Exception as error:  # one file's fault
