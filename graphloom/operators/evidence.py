@@ -451,7 +451,7 @@ def swept(evidence: DataFrame) -> DataFrame:
 
 def last_entries(log: DataFrame) -> DataFrame:
     """The last entry of each evidence in log(evidence_id, stage, at, detail)."""
-    last = log.groupBy("evidence_id").agg(F.max_by(F.struct("stage", "at", "detail"), F.struct("at", "stage")).alias("_l"))
+    last = log.groupBy("evidence_id").agg(F.max_by(F.struct("stage", "at", "detail"), F.struct("at", "stage", "detail")).alias("_l"))
     return last.select("evidence_id", "_l.*")
 
 
