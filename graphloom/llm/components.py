@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize
+from graphloom.llm.common import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours the least node of its neighbourhood."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node hands its larger neighbours the least node of its neighbourhood: (edges, the table of least nodes)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialize(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m")), "components")
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node hands its smaller neighbours, and itself, the least of them."""
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node hands its smaller neighbours, and itself, the least of them: (edges, the table of least nodes)."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = materialize(down.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "components")
     moved = down.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, was = materialize(edges, "components"), None
     while True:
-        edges = materialize(_small_star(_large_star(edges)), "components")
+        large, least = _large_star(edges)
+        large = materialize(large, "components")
+        small, least2 = _small_star(large)
+        old, edges = edges, materialize(small, "components")
+        discard(old, large, least, least2)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == was:
             break

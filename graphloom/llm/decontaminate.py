@@ -13,16 +13,18 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, release_kept
+from graphloom.llm.common import kept_columns, release_kept, scratch, unpacked
 
 WINDOW = 10
 #: Benchmark text (bytes) that one search table may hold; more text makes more tables.
 BLOCK_BYTES = 2_000_000
-#: Search tables chained in one job before the interim result is written.
-CHAINED = 4
+#: Search tables that a worker keeps; beyond, bytes of documents that it holds while it goes through them.
+KEPT_TABLES, HELD_BYTES = 4, 64_000_000
 
 _SEPARATORS = bytes(b for b in range(128) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 _FOLD = bytes.maketrans(_SEPARATORS + bytes(range(65, 91)), b" " * len(_SEPARATORS) + bytes(range(97, 123)))
@@ -81,102 +83,136 @@ def windows(item_words: list[bytes], size: int = WINDOW) -> Iterator[tuple[bytes
             yield tuple(item_words[i : i + size])
 
 
-def _search(rows: list[tuple[str, bytes]], size: int, last: bool):
-    """Function for mapInArrow that adds this table's hits to _spans and _items; the last one also counts them."""
+Rows = list[tuple[str, bytes]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_kept()
-        owners: dict[tuple, list[str]] = {}
+
+class Table:
+    """One block's search table, and which items own each window."""
+
+    def __init__(self, rows: Rows, size: int):
+        self.owners: dict[tuple, list[str]] = {}
         for item, text in rows:
             for w in set(windows(words(text), size)):
-                owners.setdefault(w, []).append(item)
-        search = WuManber(owners)
-        for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("_text")).cast(pa.binary()).to_pylist()
-            at_spans, at_items, at_n = (names.index(x) for x in ("_spans", "_items", "_n_words"))
-            spans, items, counts = [], [], []
-            for text, was, had in zip(texts, batch.column(at_spans).to_pylist(), batch.column(at_items).to_pylist(), strict=True):
-                w = words(text)
-                counts.append(len(w))
-                found, got = {(was[i], was[i + 1]) for i in range(0, len(was), 2)}, set(had)
-                for start, p in search.find(w):
-                    found.add((start, start + len(p)))
-                    got.update(owners[p])
-                spans.append([x for s in sorted(found) for x in s])
-                items.append(sorted(got))
-            columns = list(batch.columns)
-            for at, values, kind in ((at_spans, spans, pa.list_(pa.int64())), (at_items, items, pa.list_(pa.string())), (at_n, counts, pa.int64())):
-                columns[at] = pa.array(values, kind)
-            out = pa.RecordBatch.from_arrays(columns, names=names)
-            yield _finish(out) if last else out
+                self.owners.setdefault(w, []).append(item)
+        self.search = WuManber(self.owners)
+
+    def add(self, text: list[bytes], spans: set[tuple[int, int]], items: set[str]) -> None:
+        for start, p in self.search.find(text):
+            spans.add((start, start + len(p)))
+            items.update(self.owners[p])
+
+
+def _tables(given: Rows | None, folder: str, n_blocks: int, size: int):
+    """A function that gives the tables one by one; few are kept, many are made again from the folder, so that a worker holds one."""
+
+    def load(k: int) -> Table:
+        if given is not None:
+            return Table(given, size)
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        part = f"{root}/block={k}"
+        if fs.get_file_info(part).type == pyarrow.fs.FileType.NotFound:
+            return Table([], size)
+        rows = pyarrow.parquet.read_table(part, filesystem=fs, columns=["item_id", "text"], partitioning=None)
+        return Table(list(zip(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist(), strict=True)), size)
+
+    if n_blocks <= KEPT_TABLES:
+        kept = [load(k) for k in range(n_blocks)]
+        return lambda: iter(kept)
+    return lambda: (load(k) for k in range(n_blocks))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in runs of about n_bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= n_bytes:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _search(given: Rows | None, folder: str, n_blocks: int, size: int):
+    """Function for mapInArrow: (kept, text) to kept, n_words, n_hit, spans (flat), items and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
+        tables = _tables(given, folder, n_blocks, size)
+        for held in _runs(batches, HELD_BYTES if n_blocks > KEPT_TABLES else 0):
+            texts = [t for batch in held for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            spans: list[set] = [set() for _ in texts]
+            items: list[set] = [set() for _ in texts]
+            for table in tables():
+                for text, s, i in zip(texts, spans, items, strict=True):
+                    table.add(words(text), s, i)
+            at = 0
+            for batch in held:
+                n = batch.num_rows
+                rows = [_counted(*x) for x in zip(texts[at : at + n], spans[at : at + n], items[at : at + n], strict=True)]
+                at += n
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string())
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["kept", *_FOUND])
 
     return run
 
 
-def _finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """From spans and items to counts and digest, without the text."""
-    names = batch.schema.names
-    hits, digests, n_items = [], [], []
-    for flat, items in zip(batch.column(names.index("_spans")).to_pylist(), batch.column(names.index("_items")).to_pylist(), strict=True):
-        total, done = 0, 0
-        for s, e in zip(flat[::2], flat[1::2], strict=True):
-            total += max(0, e - max(s, done))
-            done = max(done, e)
-        hits.append(total)
-        n_items.append(len(items))
-        digests.append(hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
-    keep = [i for i, x in enumerate(names) if x != "_text"]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(hits, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests, pa.string())], names=[*(names[i] for i in keep), "_n_hit", "_n_items", "_sha"])
+_FOUND = ("n_words", "n_hit", "spans", "items", "items_sha256")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document row: keep columns, n_words, n_hit, spans, items, digest.
+def _counted(text: bytes | None, spans: set[tuple[int, int]], items: set[str]) -> tuple[int, int, list[int], list[str], str]:
+    total, done, ordered, named = 0, 0, sorted(spans), sorted(items)
+    for s, e in ordered:
+        total += max(0, e - max(s, done))
+        done = max(done, e)
+    return len(words(text)), total, [x for s in ordered for x in s], named, hashlib.sha256(",".join(named).encode()).hexdigest()
 
-    docs(text, ...), benchmark(item_id, text). Search runs where the documents
-    are: nothing is shuffled. The benchmark reaches the executors in tables of at
-    most block_bytes of text (one item may be larger), whose number follows its
-    measured size; each table is held against all documents.
 
-    Null or empty texts have no words and no hits; null or empty items match
-    nothing; repeated items count once by id; repeated documents give a row each.
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document row: keep columns, n_words, n_hit, n_items, items_sha256, contaminated, spans (flat starts and ends), items.
+
+    docs(text, ...), benchmark(item_id, text). Search runs where the documents are, in one
+    pass whatever the benchmark's size: nothing is shuffled. The benchmark is cut into blocks
+    of about block_bytes of text (one item may be larger), whose number follows its measured
+    size. One block goes with the tasks; more are written to the shared folder, and a worker
+    reads them in turn for each run of documents, holding one search table (or a few).
+
+    Null or empty texts have no words and no hits; null or empty items match nothing, nor do
+    items without id; repeated items count once by id; repeated documents give a row each;
+    an empty table of either kind is none found. A kept column named like an output gives
+    way to it; other columns, whatever their names, have no part.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     n_bytes = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-n_bytes // block_bytes))
-    state = docs.select(
-        *[F.col(c) for c in keep],
-        F.col("text").alias("_text"),
-        F.lit(0).cast("long").alias("_n_words"),
-        F.expr("cast(array() as array<bigint>)").alias("_spans"),
-        F.expr("cast(array() as array<string>)").alias("_items"),
-    )
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name != "_text")
-    done = f"{kept}, _n_hit bigint, _n_items bigint, _sha string"
-    for k in range(n_blocks):
-        rows = [(r[0], r[1].encode()) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()]
-        last = k + 1 == n_blocks
-        state = state.mapInArrow(_search(rows, size, last), done if last else state.schema)
-        if k % CHAINED == CHAINED - 1 and not last:
-            state = materialize(state, "decontaminate")
-    return state.select(
-        *[F.col(c) for c in keep],
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.col("_n_items").alias("n_items"),
-        F.col("_sha").alias("items_sha256"),
-        (F.col("_n_hit") > 0).alias("contaminated"),
-        F.col("_spans").alias("spans"),
-        F.col("_items").alias("items"),
-    )
+    given, folder = None, ""
+    if n_blocks == 1:
+        given = [(r[0], r[1].encode()) for r in bench.collect()]  # block_bytes of text at most
+    else:
+        folder = scratch(spark, "benchmark")
+        dealt = bench.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
+        dealt.repartition(min(n_blocks, 1_000), "block").write.partitionBy("block").parquet(folder)
+    state = docs.select(kept_columns(keep, _OUTPUTS), F.col("text"))
+    kind = state.schema["kept"].dataType.simpleString()
+    found = state.mapInArrow(_search(given, folder, n_blocks, size), f"kept {kind}, n_words bigint, n_hit bigint, spans array<bigint>, items array<string>, items_sha256 string")
+    return found.select(*unpacked(keep, _OUTPUTS), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans", "items")
+
+
+_OUTPUTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any benchmark window, columns as they were."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    found = contamination(packed, benchmark, keep=("_row",), **options)
-    return found.where("NOT contaminated").select("_row.*")
+    """The documents without any benchmark window, columns as they were, whatever their names.
+
+    Null and empty texts have none and stay; rows are judged one by one, so repeated rows
+    stay or go together; an empty table stays empty, and an empty benchmark removes nothing.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = contamination(packed, benchmark, keep=("row",), **options)
+    return found.where("NOT contaminated").select("row.*")
 
 
 _A = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import kept_columns, unpacked
+
 #: Lines in a sliding window; length of a window's text from which it surges.
 LINES, SURGE = 3, 80
 
@@ -276,8 +278,10 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> Dat
 
     Null and empty pages, and pages without text outside boilerplate, give ''. Pages
     are read whole, one by one; cut-off markup, comments and scripts end with the page.
-    Repeated rows give a row each, and nothing is shuffled.
+    Repeated rows give a row each, an empty table none, and nothing is shuffled. A kept
+    column named like an output gives way to it; other columns have no part.
     """
-    df = pages.select(*[F.col(c) for c in keep], F.col("html").alias("_html"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_html")
-    return df.mapInArrow(_extract, f"{kept}, text string, n_chars bigint")
+    outputs = ("text", "n_chars")
+    df = pages.select(kept_columns(keep, outputs), F.col("html"))
+    kind = df.schema["kept"].dataType.simpleString()
+    return df.mapInArrow(_extract, f"kept {kind}, text string, n_chars bigint").select(*unpacked(keep, outputs), *outputs)

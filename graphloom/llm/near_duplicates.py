@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialize, release_kept
+from graphloom.llm.common import discard, materialize, release_kept
 from graphloom.llm.components import components
 
 #: Rows and bands: at a similarity of 0.8, 48 bands of 6 minima all miss once in two million.
@@ -210,19 +210,21 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
     full = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "minhash")
     members = materialize(keys.join(full, "key"), "minhash")
+    discard(full)
     weight = materialize(members.groupBy("doc_id").agg(F.sum("size").alias("weight")), "minhash")
-    members = materialize(members.drop("size").join(weight, "doc_id").join(reps.drop("bands"), "doc_id"), "minhash")
+    buckets, members = members, materialize(members.drop("size").join(weight, "doc_id").join(reps.drop("bands"), "doc_id"), "minhash")
+    discard(buckets, reps)
     texts = materialize(docs.join(weight.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash")
     hubs = members.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", *sketch), F.struct("weight", -F.col("doc_id"))).alias("h")).select(F.col("key").alias("_key"), "h.*")
     hubs = materialize(hubs, "minhash")
     pairs = members.alias("a").join(hubs.alias("b"), F.expr(f"a.key = b._key AND a.doc_id <> b.doc_id AND {_agree('a', 'b', percent)}"))
-    held = materialize(_compared(pairs.selectExpr("b.doc_id AS u", "a.doc_id AS v"), texts, shingle_words, percent), "minhash")
+    held = _compared(pairs.selectExpr("b.doc_id AS u", "a.doc_id AS v"), texts, shingle_words, percent)
     edges = held.where("linked").select("u", "v")
     found = materialize(components(edges), "minhash")
 
     # What shares a bucket but no component yet
     left = members.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "doc_id")).drop("node", "component", "weight")
-    left = materialize(left, "minhash")
+    left = apart = materialize(left, "minhash")
     mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     mixed = materialize(mixed.join(hubs.select(F.col("_key").alias("key"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), "key"), "minhash")
     left = left.join(mixed, "key")
@@ -230,10 +232,13 @@ def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int =
     own = F.col("doc_id") == F.col("hub")  # the hub adds nothing and lacks nothing
     left = left.withColumns({c: F.when(own, F.lit(0)).otherwise(F.col(c)).cast("long") for c in held.columns[3:]})
     left = materialize(left, "minhash")
+    discard(apart, mixed)
     pairs = left.alias("a").join(left.alias("b"), F.expr(f"a.key = b.key AND a.c < b.c AND {_agree('a', 'b', percent)} AND {_may_share(percent)}"))
-    more = materialize(_compared(pairs.selectExpr("a.doc_id AS u", "b.doc_id AS v"), texts, shingle_words, percent), "minhash").where("linked")
+    rest = _compared(pairs.selectExpr("a.doc_id AS u", "b.doc_id AS v"), texts, shingle_words, percent)
+    more = rest.where("linked")
     if not more.isEmpty():
         found = materialize(components(edges.unionByName(more.select("u", "v"))), "minhash")
+    discard(members, weight, texts, hubs, held, left, rest)
 
     ids = same.join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_d"), F.coalesce("component", "rep").alias("component_id"))
     found = every.join(ids, F.col("digest") == F.col("_d"), "left")
@@ -253,12 +258,14 @@ def _by_row(docs: DataFrame, *options) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The candidate pairs (u, v) on their full sets; only their texts move."""
+    """The candidate pairs (u, v) on their full sets, written; only their texts move."""
     run, schema = _verify(k, percent)
     pairs = materialize(pairs.distinct(), "minhash")
     first = pairs.join(texts.withColumnsRenamed({"doc_id": "_v", "text": "text_v"}), F.col("v") == F.col("_v")).select("u", "v", "text_v")
     both = first.join(texts.withColumnsRenamed({"doc_id": "_u", "text": "text_u"}), F.col("u") == F.col("_u")).select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(run, schema)
+    found = materialize(both.mapInArrow(run, schema), "minhash")
+    discard(pairs)
+    return found
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

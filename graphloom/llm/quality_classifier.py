@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import kept_columns, unpacked
 from graphloom.llm.quality_rules import _BLANK, STOP_WORDS
 
 #: Labelled rows that a fit uses at most (those whose id hashes are least).
@@ -37,6 +38,8 @@ STATISTICS = {
     "line_words": "size(_w) / greatest(1, size(_l))",
 }
 
+_OUTPUTS = ("score", "predicted", *STATISTICS)
+
 Rule = tuple[tuple[str, str, float], ...]
 
 
@@ -57,10 +60,15 @@ class RuleEnsemble:
 
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    df = docs.select(*[F.col(c) for c in keep], F.expr("coalesce(text, '')").alias("_t"))
+    """keep columns and the STATISTICS of each row of docs(text, ...).
+
+    Null and empty texts have no words and lines: all their statistics are 0. A kept column
+    named like a statistic, a score or a prediction gives way to it; other columns have no part.
+    """
+    df = docs.select(kept_columns(keep, _OUTPUTS), F.expr("coalesce(text, '')").alias("_t"))
     df = df.withColumn("_w", F.expr("filter(split(_t, '[ \\\\t-\\\\r]+'), w -> w != '')"))
     df = df.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), l -> length(translate(l, {_BLANK}, '')) > 0)"))
-    return df.select(*[F.col(c) for c in keep], *[F.expr(e).alias(n) for n, e in STATISTICS.items()])
+    return df.select(*unpacked(keep, _OUTPUTS), *[F.expr(e).alias(n) for n, e in STATISTICS.items()])
 
 
 def _grow(x: np.ndarray, cuts: list[np.ndarray], target: np.ndarray, hessian: np.ndarray, names: list[str], rng: np.random.Generator) -> list[Rule]:
@@ -122,7 +130,11 @@ def _lasso(r: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> RuleEnsemble:
-    """An ensemble for statistics x and labels y (0 or 1), in memory."""
+    """An ensemble for statistics x and labels y (0 or 1), in memory.
+
+    Without rows, or with one label only, it has no rules, and its score is the label's share
+    (one of each is added). Equal rows and ties weigh as often as they are there.
+    """
     if not len(y) or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2)
         return RuleEnsemble(float(np.log(rate / (1 - rate))), ())
@@ -161,7 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     """Learn `label` from labels(doc_id, label), without the rows that are held out.
 
     Held out are rows whose CRC-32 of the doc_id as text is a multiple of 5. Statistics
-    are computed for `sample` labelled rows at most, those whose id hashes are least.
+    are computed for `sample` labelled rows at most, those whose id hashes are least. Labels
+    that are null, or of no document or a null doc_id, teach nothing; a doc_id with several
+    labels or rows counts with each pair of them.
     """
     order = [F.xxhash64(F.col("doc_id"), F.lit(SEED)), F.col("doc_id"), F.col("_y")]
     known = labels.select("doc_id", F.col(label).cast("double").alias("_y")).where("_y IS NOT NULL AND doc_id IS NOT NULL").where(~held_out("doc_id"))
@@ -181,20 +195,25 @@ def score(docs: DataFrame, model: RuleEnsemble, cut: float = CUT, keep: tuple[st
     """keep columns, score and predicted for each row of docs(text, ...): one projection.
 
     Null and empty texts have the statistics of a text without words, and a score.
-    Equal texts get equal scores; no other column has a part in them.
+    Equal texts get equal scores; no other column has a part in them. A kept column named
+    like an output or a statistic gives way to it; an empty table gives no rows.
     """
-    scored = with_statistics(docs, keep).select(*[F.col(c) for c in keep], model.score().alias("score"))
+    scored = with_statistics(docs, keep).select(*[F.col(f"`{c}`") for c in keep if c not in _OUTPUTS], model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Fit on the labelled rows, score all: doc_id, held_out, score, predicted."""
+    """Fit on the labelled rows, score all: doc_id, held_out, score, predicted. A null doc_id is not held out."""
     model = fit(docs, labels, **options)
     return score(docs, model).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier predicts to be of label 1, columns as they were."""
+    """The documents that the classifier predicts to be of label 1, columns as they were, whatever their names.
+
+    Null and empty texts are judged like others; rows with equal texts stay or go together;
+    an empty table stays empty. Without labels all have one score, and stay.
+    """
     model = fit(docs, labels, **options)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    return score(packed, model, keep=("_row",)).where("predicted = 1").select("_row.*")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return score(packed, model, keep=("row",)).where("predicted = 1").select("row.*")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import kept_columns, unpacked
+
 SYMBOLS = "#*$%&|<>"
 _BLANK = "' \\t\\n\\u000B\\u000C\\r'"
 
@@ -30,6 +32,7 @@ RULES = (
     ("capital letters", "100 * n_upper", "<=", "40 * word_chars"),
 )
 MIN_WORDS, MAX_REPEATED = 50, 50
+_OUTPUTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop", "n_upper", "base_failed", "kept")
 
 
 def with_rules(docs: DataFrame, rules=RULES, min_words: int = MIN_WORDS, max_repeated: int = MAX_REPEATED, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -39,10 +42,12 @@ def with_rules(docs: DataFrame, rules=RULES, min_words: int = MIN_WORDS, max_rep
     that equal an earlier line; n_repeat_words counts words inside a window of three
     words that the text holds twice or more (found by sorting the windows' 64-bit
     hashes inside the row). Null and empty texts have no words and fail the base
-    rule. Rows are judged one by one, so repeated rows and ties change nothing.
+    rule. Rows are judged one by one, so repeated rows and ties change nothing; an empty
+    table gives no rows. A kept column named like an output gives way to it; other
+    columns, whatever their names, have no part.
     """
     stop = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
-    df = docs.select(*[F.col(c) for c in keep], F.expr("coalesce(text, '')").alias("_t"))
+    df = docs.select(kept_columns(keep, _OUTPUTS), F.expr("coalesce(text, '')").alias("_t"))
     df = df.withColumn("_w", F.expr("filter(split(_t, '[ \\\\t-\\\\r]+'), w -> w != '')"))
     df = df.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), l -> length(translate(l, {_BLANK}, '')) > 0)"))
     # No lambda below refers to a column: a filter pushed into this projection then repeats an
@@ -52,7 +57,7 @@ def with_rules(docs: DataFrame, rules=RULES, min_words: int = MIN_WORDS, max_rep
     df = df.withColumn("_g", F.expr("array_sort(transform(slice(_h, 1, greatest(0, size(_h) - 2)), (h, i) -> struct(h, i)))"))
     df = df.withColumn("_r", F.expr("sort_array(array_distinct(flatten(filter(zip_with(_g, slice(_g, 2, size(_g)), (x, y) -> IF(x.h = y.h, array(x.i, y.i), null)), p -> p IS NOT NULL))))"))
     df = df.select(
-        *[F.col(c) for c in keep],
+        *unpacked(keep, _OUTPUTS),
         # the id's zero keeps Catalyst from pushing a filter on the verdict into the projections
         # below, where it would evaluate all of them again for each statistic that it names
         (F.expr("cast(size(_w) as bigint)") + 0 * F.monotonically_increasing_id()).alias("n_words"),

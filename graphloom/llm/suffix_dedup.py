@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import arrow_batches, materialize
+from graphloom.llm.common import arrow_batches, discard, materialize
 
 #: Bytes of a repeated string; of an anchor's own string; windows of the minimizer.
 LENGTH, GRAM = 200, 64
@@ -425,12 +425,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cut = sorted_texts.join(spans, F.col("digest") == F.col("_digest")).select("digest", "text", "_spans")
     with arrow_batches(spark, BATCH):
         cut = materialize(cut.mapInArrow(_cut, "digest binary, _removed bigint, _cuts array<struct<start: bigint, end: bigint>>, _sha string"), "suffix")
+    discard(again, sorted_texts)
 
     # A row for each text that copies or cuts say something of, written: the rows of a text with many copies then
     # meet it in one join, whose exchanged sides can be split.
     copied = base.where(F.col("n_bytes") >= LENGTH).groupBy(F.col("digest").alias("_copied")).agg(F.count("*").alias("_times")).where("_times > 1")
     told = cut.join(copied, F.col("digest") == F.col("_copied"), "full").select(F.coalesce("digest", "_copied").alias("_digest"), F.col("_times").isNotNull().alias("_whole"), "_removed", "_cuts", "_sha")
     told = materialize(told, "suffix")
+    discard(cut)
     whole = F.coalesce("_whole", F.lit(False))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     return (
