@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import components, decontaminate, html_extract, mixing, near_duplicates, quality_classifier, quality_rules, sharding, suffix_dedup, token_counts, token_files
+from graphloom.llm import components, decontaminate, html_extract, mixing, near_duplicates, quality_classifier, quality_rules, queries, sharding, suffix_dedup, token_counts, token_files
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, key string"
@@ -101,10 +101,15 @@ def test_decontamination(spark, docs, texts):
     assert len(got) == len(texts) and got[0].n_words == 0 and not got[1].contaminated
     assert got[5].n_hit >= 23 and got[5]["items"] == ["b1"]
     assert got[3].n_hit == got[4].n_hit == 1 and got[3]["items"] == ["b2"]
+    kept = decontaminate.KEPT_TABLES
     few = decontaminate.contamination(docs, bench, block_bytes=10).drop("spans").exceptAll(decontaminate.contamination(docs, bench).drop("spans"))
     assert few.isEmpty()
+    many = spark.createDataFrame([(f"m{i}", " ".join(texts[5].split()[i : i + 12])) for i in range(12)], "item_id string, text string")
+    n = many.agg(F.sum(F.octet_length("text"))).first()[0]
+    one, blocks = (decontaminate.contamination(docs, many, block_bytes=b) for b in (n, n // (kept + 3)))
+    assert one.exceptAll(blocks).isEmpty() and blocks.exceptAll(one).isEmpty() and one.where("contaminated").count() > 0
     assert decontaminate.decontaminate(docs, bench).columns == docs.columns
-    assert not decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count()
+    assert not decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() and decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
 def test_wu_manber_finds_all():
@@ -153,19 +158,109 @@ def test_classifier(spark):
 
 def test_token_counts(spark, docs, texts):
     counter = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    whole = lambda t: len(counter.encoding.encode_ordinary(t))
     rng = random.Random(9)
-    for _ in range(300):
-        d = token_counts.DocumentCount("".join(rng.choices(["a", " ", "\n", "'", "re", "ll", "12", ".", "é"], k=rng.randint(0, 200))), counter)
-        for _ in range(4):
-            a = rng.randint(0, len(d.text))
-            d.edit(a, min(len(d.text), a + rng.randint(0, 9)), "".join(rng.choices(["b", " ", "'", "s", "\n\n"], k=rng.randint(0, 4))))
-            assert d.n_tokens == len(counter.encoding.encode_ordinary(d.text))
-    edits = spark.createDataFrame([(5, 1, 0, 4, "mail me"), (5, 2, 0, 0, "x@y.zz ")], "doc_id long, seq int, start int, end int, new string")
+    for round_ in range(400):
+        text = "".join(rng.choices(["a", " ", "\n", "'", "re", "ll", "12", ".", "é", "   ", "word "], k=rng.choice([rng.randint(0, 60), rng.randint(0, 900)])))
+        d = token_counts.DocumentCount(text, counter)
+        for _ in range(5):
+            a = rng.randint(0, len(text))
+            b, new = min(len(text), a + rng.choice([0, 3, 9, 200])), "".join(rng.choices(["b", " ", "'", "s", "\n\n", "x y "], k=rng.choice([0, 1, 4, 300 if round_ % 40 == 0 else 2])))
+            d.edit(a, b, new)
+            text = text[:a] + new + text[b:]
+            assert d.text == text and d.n_tokens == whole(text)
+            assert [t for leaf in d.leaves for t in leaf] == counter.pattern.findall(text)
+            again = token_counts.DocumentCount(text, counter, d.pack())
+            assert again.n_tokens == d.n_tokens
+    edits = spark.createDataFrame([(5, 1, 0, 4, "mail me"), (5, 2, 0, 0, "x@y.zz "), (6, 1, 0, 10**6, "far"), (6, 2, 0, 2, "ok"), (7, 1, None, 2, "x"), (None, 1, 0, 0, "x")], "doc_id long, seq int, start int, end int, new string")
     got = {r.doc_id: r for r in token_counts.token_counts(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, edits).collect()}
-    assert got[5].n_edits == 2 and got[5].n_tokens_edited == len(counter.encoding.encode_ordinary("x@y.zz mail me" + texts[5][4:]))
+    assert got[5].n_edits == 2 and got[5].n_tokens_edited == whole("x@y.zz mail me" + texts[5][4:]) and got[5].error is None
+    assert got[6].n_edits == 1 and got[6].n_tokens_edited == whole("ok" + texts[6][2:]) and got[6].error.startswith("0: edit 0:1000000")
+    assert got[7].n_edits == 0 and got[7].n_tokens_edited == got[7].n_tokens == whole(texts[7]) and "without" in got[7].error
     assert got[0].n_tokens == 0 and len(got) == len(texts)
 
 
+def test_token_counts_of_the_registered_query(spark, tmp_path, texts):
+    """Redactions of whole texts, against encoding both texts whole."""
+    counter = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    whole = lambda t: len(counter.encoding.encode_ordinary(t))
+    mixed = [*texts, "Call +1 (663) 555-6869 or a.b@c.example.org, +44 20 7946 0958.", "x@y.zz" * 3, " ".join(f"p{i}@q{i}.org and 555 010{i % 10} 77 {i}" for i in range(400))]
+    spark.createDataFrame(rows(mixed), SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
+    kinds = dict(token_counts.REDACTED)
+    either = "|".join(f"(?:{p})" for p in kinds.values())
+    import re
+
+    for i, t in enumerate(mixed):
+        names = re.findall(either, t or "")
+        redacted = re.sub(either, lambda m: "<EMAIL>" if "@" in m.group() else "<PHONE>", t or "")
+        assert (got[i].n_tokens, got[i].n_edits, got[i].n_tokens_edited, got[i].error) == (whole(t or ""), len(names), whole(redacted), None), i
+
+
+def test_kept_trees(spark):
+    counter = token_counts.Counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    long = "some words, and more of them. " * 3000
+    docs = spark.createDataFrame([(1, long, "x"), (2, None, "y"), (3, "short", "z")], "doc_id long, text string, error string")
+    call = lambda d, e, **o: token_counts.token_counts(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, e, **o)
+    first = spark.createDataFrame([(1, 1, 500, 510, "X")], "doc_id long, seq int, start int, end int, new string")
+    kept = call(docs, first, keep=("doc_id", "error"), state=True).withColumnsRenamed({"text_edited": "text"})
+    assert kept.columns == ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_recounted", "error", "text", "tree"]
+    second = spark.createDataFrame([(1, 1, 80000, 80001, "Y"), (2, 1, 0, 0, "new")], first.schema)
+    got = {r.doc_id: r for r in call(kept, second, tree="tree", state=True).collect()}
+    now = long[:500] + "X" + long[510:]
+    assert got[1].n_tokens == len(counter.encoding.encode_ordinary(now)) and got[1].text_edited == now[:80000] + "Y" + now[80001:]
+    assert got[1].n_tokens_edited == len(counter.encoding.encode_ordinary(got[1].text_edited)) and got[1].n_recounted < 20
+    assert got[2].text_edited == "new" and got[2].n_tokens_edited == 1 and got[3].n_edits == 0 and got[3].error is None
+    wrong = call(kept.withColumn("text", F.concat("text", F.lit("!"))), second, tree="tree").where("doc_id = 1").first()
+    assert wrong.error.startswith("a tree of") and wrong.n_edits == 1
+
+
+def test_classifier_in_columns_and_numpy(spark):
+    """The compiled score equals the rules in numpy; rows that were held out are ranked by label."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(300)]
+
+    def text(good):
+        n = rng.randint(20, 120)
+        words = rng.choices(vocabulary if good or rng.random() < 0.3 else vocabulary[:12], k=n)
+        words = [w if good or rng.random() < 0.7 else w.upper() + rng.choice("#$%!") for w in words]
+        return " ".join(["the of and to a in is that"] * (rng.randint(1, 3) if good else rng.randint(0, 1)) + words)
+
+    label = {i: int(rng.random() < 0.6) for i in range(700)}
+    docs = spark.createDataFrame([(i, text(y)) for i, y in label.items()] + [(700, None), (701, " \n"), (702, "|" * 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y if rng.random() > 0.05 else 1 - y) for i, y in label.items()], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    assert model.rules
+    names = list(quality_classifier.STATISTICS)
+    stats = {r.doc_id: np.array([[float(r[n]) for n in names]]) for r in quality_classifier.with_statistics(docs).collect()}
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, labels).collect()}
+    for i, x in stats.items():
+        held = quality_classifier._holds([rule for rule, _ in model.rules], x, names)[0]
+        z = model.intercept + sum(w for (_, w), h in zip(model.rules, held, strict=True) if h)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), i
+    for i in (0, 5, 700, 701):  # statistics against plain ones
+        t = dict((r.doc_id, r.text) for r in docs.where(f"doc_id = {i}").collect())[i] or ""
+        w = t.split()
+        assert stats[i][0][names.index("words")] == len(w) and stats[i][0][names.index("distinct")] == pytest.approx(len(set(w)) / max(1, len(w)))
+        assert stats[i][0][names.index("capitals")] == pytest.approx(sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t) / max(1, len(t)))
+    out = [i for i in label if got[i].held_out]
+    good, bad = ([got[i].score for i in out if label[i] == y] for y in (1, 0))
+    auc = sum((a > b) + 0.5 * (a == b) for a in good for b in bad) / (len(good) * len(bad))
+    assert auc > 0.95
+    learnt = {i for i in label if zlib.crc32(str(i).encode()) % 5}  # labels of held out rows change nothing
+    flipped = labels.withColumn("quality", F.when(F.col("doc_id").isin([i for i in label if i not in learnt]), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert quality_classifier.fit(docs, flipped) == model
+
+
+def test_kept_columns_named_like_outputs(spark):
+    docs = spark.createDataFrame([(1, "a b", 9, "k", "t")], "doc_id long, text string, n_words int, _t string, _w string")
+    keep = ("doc_id", "n_words", "_t", "_w")
+    assert quality_rules.with_rules(docs, keep=keep).first().asDict()["n_words"] == 2 and quality_rules.with_rules(docs, keep=keep).columns[:3] == ["doc_id", "_t", "_w"]
+    assert quality_classifier.with_statistics(docs, keep).first()["words"] == 2 and decontaminate.contamination(docs, docs.selectExpr("'b' AS item_id", "text"), keep=keep).first()["n_words"] == 2
+    page = docs.selectExpr("'<p>Hi</p>' AS html", "'u' AS text", "1 AS page_id")
+    assert html_extract.extract(page, keep=("page_id", "text", "html")).first().asDict() == {"page_id": 1, "html": "<p>Hi</p>", "text": "Hi", "n_chars": 2}
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var a='</p><p>no';</script></head><body><nav><a href=x>Menu</a></nav><div class='ad'>Buy</div><article><h1>Head&amp;line</h1><p>One  <b>two</b>\nthree<br>four<p>Er.</p><div id=comments>Me too</div></article><footer>&copy;</footer>"
     assert html_extract.main_text(page) == "Head&line\n\nOne two three four\n\nEr."
@@ -325,6 +420,9 @@ def test_empty_tables(none):
     assert near_duplicates.classes(none).count() == 0
     assert suffix_dedup.remove_repeats(none).count() == 0
     assert sharding.shard_by_bytes(none).count() == 0
+    assert quality_classifier.classify(none, none.selectExpr("doc_id", "size AS quality")).count() == 0 and quality_classifier.accepted(none, none.selectExpr("doc_id", "size AS quality")).count() == 0
+    assert html_extract.extract(none.selectExpr("doc_id AS page_id", "text AS url", "text AS html")).count() == 0
+    assert mixing.mixed_documents(none).count() == 0 and near_duplicates.representatives(none).count() == 0 and components.components(none.selectExpr("doc_id AS u", "doc_id AS v")).count() == 0
     assert quality_rules.with_rules(none).count() == 0
     assert mixing.mix(none).count() == 0
     assert token_files.token_output(none, P.path("word_bpe_49k.json"), 2).count() == 0
