@@ -26,12 +26,12 @@ _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for
 #: Statistics of a text _t with words _w and lines _l.
 STATISTICS = {
     "words": "cast(size(_w) as double)",
-    "word_length": f"length(translate(_t, {_BLANK}, '')) / greatest(1, size(_w))",
-    "symbols": "(length(_t) - length(translate(_t, '#*$%&<>', ''))) / greatest(1, size(_w))",
-    "bars": "(length(_t) - length(translate(_t, '|', ''))) / greatest(1, size(_w))",
-    "bangs": "(length(_t) - length(translate(_t, '!?', ''))) / greatest(1, size(_w))",
-    "capitals": "(length(_t) - length(translate(_t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) / greatest(1, length(_t))",
-    "digits": "(length(_t) - length(translate(_t, '0123456789', ''))) / greatest(1, length(_t))",
+    "word_length": "length(array_join(_w, '')) / greatest(1, size(_w))",
+    "symbols": "regexp_count(_t, '[#*$%&<>]') / greatest(1, size(_w))",
+    "bars": "regexp_count(_t, '[|]') / greatest(1, size(_w))",
+    "bangs": "regexp_count(_t, '[!?]') / greatest(1, size(_w))",
+    "capitals": "regexp_count(_t, '[A-Z]') / greatest(1, length(_t))",
+    "digits": "regexp_count(_t, '[0-9]') / greatest(1, length(_t))",
     "stops": f"size(filter(_w, w -> lower(w) IN ({_STOP}))) / greatest(1, size(_w))",
     "distinct": "size(array_distinct(_w)) / greatest(1, size(_w))",
     "repeated_lines": "(size(_l) - size(array_distinct(_l))) / greatest(1, size(_l))",
@@ -67,7 +67,7 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
     """
     df = docs.select(kept_columns(keep, _OUTPUTS), F.expr("coalesce(text, '')").alias("_t"))
     df = df.withColumn("_w", F.expr("filter(split(_t, '[ \\\\t-\\\\r]+'), w -> w != '')"))
-    df = df.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), l -> length(translate(l, {_BLANK}, '')) > 0)"))
+    df = df.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), l -> trim(BOTH {_BLANK} FROM l) != '')"))
     return df.select(*unpacked(keep, _OUTPUTS), *[F.expr(e).alias(n) for n, e in STATISTICS.items()])
 
 

@@ -49,25 +49,25 @@ def with_rules(docs: DataFrame, rules=RULES, min_words: int = MIN_WORDS, max_rep
     stop = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
     df = docs.select(kept_columns(keep, _OUTPUTS), F.expr("coalesce(text, '')").alias("_t"))
     df = df.withColumn("_w", F.expr("filter(split(_t, '[ \\\\t-\\\\r]+'), w -> w != '')"))
-    df = df.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), l -> length(translate(l, {_BLANK}, '')) > 0)"))
+    df = df.withColumn("_l", F.expr(f"filter(split(_t, '\\n'), l -> trim(BOTH {_BLANK} FROM l) != '')"))
     # No lambda below refers to a column: a filter pushed into this projection then repeats an
     # expression a few times, never once an element.
     df = df.withColumn("_h", F.expr("transform(_w, w -> xxhash64(w))"))
     df = df.withColumn("_h", F.expr("zip_with(zip_with(_h, slice(_h, 2, size(_h)), (a, b) -> xxhash64(a, b)), slice(_h, 3, size(_h)), (p, c) -> xxhash64(p, c))"))
-    df = df.withColumn("_g", F.expr("array_sort(transform(slice(_h, 1, greatest(0, size(_h) - 2)), (h, i) -> struct(h, i)))"))
+    df = df.withColumn("_g", F.expr("sort_array(transform(slice(_h, 1, greatest(0, size(_h) - 2)), (h, i) -> struct(h, i)))"))
     df = df.withColumn("_r", F.expr("sort_array(array_distinct(flatten(filter(zip_with(_g, slice(_g, 2, size(_g)), (x, y) -> IF(x.h = y.h, array(x.i, y.i), null)), p -> p IS NOT NULL))))"))
     df = df.select(
         *unpacked(keep, _OUTPUTS),
         # the id's zero keeps Catalyst from pushing a filter on the verdict into the projections
         # below, where it would evaluate all of them again for each statistic that it names
         (F.expr("cast(size(_w) as bigint)") + 0 * F.monotonically_increasing_id()).alias("n_words"),
-        F.expr(f"cast(length(translate(_t, {_BLANK}, '')) as bigint)").alias("word_chars"),
-        F.expr(f"cast(length(_t) - length(translate(_t, '{SYMBOLS}', '')) as bigint)").alias("n_symbols"),
+        F.expr("cast(length(array_join(_w, '')) as bigint)").alias("word_chars"),
+        F.expr(f"cast(regexp_count(_t, '[{SYMBOLS}]') as bigint)").alias("n_symbols"),
         F.expr("cast(size(_l) - size(array_distinct(_l)) as bigint)").alias("n_dup_lines"),
         F.expr("aggregate(_r, struct(0L AS n, -3 AS last), (a, i) -> struct(a.n + cast(least(3, i - a.last) as bigint) AS n, i AS last), a -> a.n)").alias("n_repeat_words"),
         F.expr("cast(size(_l) as bigint)").alias("n_lines"),
         F.expr(f"cast(size(filter(_w, w -> lower(w) IN ({stop}))) as bigint)").alias("n_stop"),
-        F.expr("cast(length(_t) - length(translate(_t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) as bigint)").alias("n_upper"),
+        F.expr("cast(regexp_count(_t, '[A-Z]') as bigint)").alias("n_upper"),
     )
     df = df.withColumn("base_failed", F.expr(f"n_words < {min_words} OR 100 * n_repeat_words > {max_repeated} * n_words"))
     return df.withColumn("kept", F.expr("NOT base_failed AND " + " AND ".join(f"({a} {op} {b})" for _, a, op, b in rules)))
