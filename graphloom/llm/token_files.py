@@ -245,9 +245,12 @@ def _read(folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS, block: int = BLOCK, kept_words: int = PARTS) -> tuple[str, DataFrame]:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = FILE_IDS, block: int = BLOCK, kept_words: int = PARTS, path: str | None = None) -> tuple[str, DataFrame]:
     """Write docs(doc_id, text) as token files; (folder, manifest).
 
+    They go to a new folder at the URI `path` that all executors can write; without it, to
+    scratch space that goes with this process.
+
     The texts are dealt and sorted by doc_id, then by text, so that the files' order
     is that of the documents; repeated rows are written each. A task holds a file's
     ids at most. The manifest (part, seq, name, n_ids, base: ids of all files before)
@@ -258,7 +261,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, file_ids: int = F
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    folder = scratch(spark, "tokens")
+    folder = path.rstrip("/") if path else scratch(spark, "tokens")
     fs, root = pyarrow.fs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/data")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
+from html.parser import HTMLParser
 from io import BytesIO
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -189,8 +192,6 @@ def test_token_counts_of_the_registered_query(spark, tmp_path, texts):
     got = {r.doc_id: r for r in queries.op5_token_counts(spark, str(tmp_path)).collect()}
     kinds = dict(token_counts.REDACTED)
     either = "|".join(f"(?:{p})" for p in kinds.values())
-    import re
-
     for i, t in enumerate(mixed):
         names = re.findall(either, t or "")
         redacted = re.sub(either, lambda m: "<EMAIL>" if "@" in m.group() else "<PHONE>", t or "")
@@ -308,6 +309,80 @@ def test_html_articles_beside_the_text():
     assert html_extract.main_text("<div>Some words</div><article><p>Short.</p></article>") == "Short."
 
 
+class _Article(HTMLParser):
+    """The text of a simple page by another way: everything but what its elements say is none of it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.out = [""], 0
+
+    def handle_starttag(self, tag, attrs):
+        off = tag in ("head", "nav", "footer", "script", "style", "aside", "form") or tag == "div" and dict(attrs).get("class") in ("ad", "comments")
+        if self.out:
+            self.out += tag not in ("br", "meta", "img", "p", "li")  # these may be left open
+        elif off:
+            self.out = 1
+        elif tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in ("b", "i", "a", "em", "span"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if self.out:
+            self.out -= tag not in ("br", "p", "li")
+        elif tag not in ("b", "i", "a", "em", "span"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if not self.out:
+            self.blocks[-1] += data
+
+
+def _by_parser(html):
+    parser = _Article()
+    parser.feed(html or "")
+    return "\n\n".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t)
+
+
+def test_html_pages_against_a_parser():
+    """Whole pages, as they are and without elements that say where the article is."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choices("abcdeéñß", k=rng.randint(2, 9))) for _ in range(80)]
+    prose = lambda a, b: " ".join(rng.choices(vocabulary, k=rng.randint(a, b))).capitalize() + "."
+    for k in range(60):
+        menu = "".join(f"<li><a href=/{i}>{prose(1, 2)}</a></li>" for i in range(rng.randint(2, 8)))
+        parts = [f"<h1>{prose(3, 9)}</h1>"]
+        for i in range(rng.randint(2, 7)):
+            parts.append(f"<p>{prose(25, 60)}<br>&amp; <i>{prose(2, 5)}</i></p>" if i % 3 else f"<p>{prose(30, 70)}")
+            if rng.random() < 0.2:
+                parts.append(f"<div class=ad>{prose(3, 8)}</div>")
+        page = f"<html><head><title>{prose(3, 6)}</title><style>p{{}}</style></head><body><nav><ul>{menu}</ul></nav><div class=ad>{prose(4, 9)}</div><article>{''.join(parts)}</article><!-- x --><footer>&copy; {prose(4, 9)}</footer><script>var a='<p>';</script></body></html>"
+        want = _by_parser(page)
+        for other in (page, page.replace("article>", "main>"), page.replace("article>", "div>"), page.replace("<article>", "<section id=story>").replace("</article>", "</section>")):
+            assert html_extract.main_text(other) == want, (k, other)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_html_given_pages(size):
+    """All pages of the given tables: as a parser reads them, and the same without article elements."""
+    import pyarrow.parquet as pq
+
+    path = Path("/root/testdata") / size / "pages.parquet"
+    if not path.exists():
+        pytest.skip("no given tables here")
+    for html in pq.read_table(path).column("html").to_pylist():
+        text = html_extract.main_text(html)
+        assert text == _by_parser(html) and text
+        assert html_extract.main_text(re.sub("(</?)(article|main)\\b", "\\1div", html)) == text
+
+
+def test_html_whole_articles_of_odd_names():
+    long = ("A long line of running text. " * 5).strip()
+    body, want = f"<h1>Head</h1><p>{long}</p><p>{long}</p><p>Its end.</p>", f"Head\n\n{long}\n\n{long}\n\nIts end."
+    for open_, close in (("<div class='social-science-article'>", "</div>"), ("<article class='social-science-article'>", "</article>"), ("<div class='post related-post'>", "</div>"), ("<form id=aspnetForm action=x><div>", "</div></form>"), ("<main>", "</main>")):
+        assert html_extract.main_text(f"<body>{open_}{body}{close}</body>") == want, open_
+
+
 def test_html_quoted_angle_brackets():
     tags = ("<div data-t=\"a > b\">", "<div data-t='a > b' id=x>", "<div data-t='<b>c</b>'>", "<div title=\"never closed>", "<div title='it\"s > \"' >")
     for tag in tags:

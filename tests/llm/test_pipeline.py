@@ -28,10 +28,17 @@ def test_stages(spark, tmp_path, monkeypatch):
     put([(i, int(i % 4 > 0), 0) for i in range(240)], "doc_id long, quality int, toxic int", "labels")
     put([("b", passage)], "item_id string, text string", "benchmark")
 
-    stages, write = [], corpus_pipeline.materialize
-    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, tag: stages.append(write(df, tag)) or stages[-1])
-    corpus_pipeline.run(spark, str(tmp_path))
-    got = [Counter(r.doc_id for r in s.select("doc_id").collect()) for s in stages]
+    got, columns, write = [], [], corpus_pipeline.materialize
+
+    def seen(df, tag):
+        out = write(df, tag)
+        got.append(Counter(r.doc_id for r in out.select("doc_id").collect()))
+        columns.append(out.columns)
+        return out
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", seen)
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert columns[:4] == [["doc_id", "text", "lang", "source", "n_chars"]] * 4 and result.count() == sum(got[4].values())
 
     good = [i for i in texts if not texts[i].startswith("BUY")]
     assert got[0] == Counter(good)
@@ -55,3 +62,29 @@ def test_stages(spark, tmp_path, monkeypatch):
         mixed[i] += at <= quota
     assert got[3] == mixed and max(mixed.values()) == 2
     assert got[4] == mixed
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing names and empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put([], "doc_id long, quality int, toxic int", "labels")
+    put([(None, "a b"), ("x", None)], "item_id string, text string", "benchmark")
+    text = " ".join(f"word{i}" for i in range(40))
+    odd = [(None, None, None, None, None), (None, None, None, None, None), (1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, None, None, 1), (3, "", "en", "s", 0), (4, " \n ", "en", "s", 0), (None, text, "en", "s", 1)]
+    docs = spark.createDataFrame(odd, schema)
+    for c in ("row", "kept", "at", "score", "n_words", "words", "_t", "_kept", "drawn", "times", "component_id", "part"):
+        docs = docs.withColumn(c, docs["n_chars"])
+    names = docs.columns
+    ids = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "odd")
+        ids.append(Counter(r.doc_id for r in docs.collect()))
+        assert name == "token output" or docs.columns == names
+    whole = Counter([None] * 3 + [1, 1, 2, 3, 4])
+    assert ids[0] == whole  # without labels all have one score
+    assert ids[1] == ids[2] == Counter([None] * 3 + [1, 1, 3, 4])
+    assert ids[3] >= ids[2] and ids[4] == ids[3]
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
