@@ -160,6 +160,7 @@ def registry(mentions: DataFrame) -> DataFrame:
     """
     order = F.struct("evidence_id", "local_id")
     m = mentions.withColumns({c: F.lit(None).cast(t) for c, t in {"props": "map<string,string>", "key": "string"}.items() if c not in mentions.columns})
+    m = cut(m.select("entity_id", "type", "name", "confidence", "evidence_id", "local_id", "props", "key"))  # read thrice, extracted once
     names = m.groupBy("entity_id", "type", "name").agg(F.min(order).alias("_o"), F.max("confidence").alias("_c"), F.min("key").alias("_k"))
     head = names.groupBy("entity_id", "type").agg(F.min_by("name", "_o").alias("canonical_name"), F.sort_array(F.collect_set("name")).alias("names"), F.max("_c").alias("confidence"), F.min("_k").alias("key"))
     seen = m.groupBy("entity_id").agg(F.countDistinct("evidence_id").alias("evidence_count"))

@@ -107,6 +107,26 @@ def direct_connection(spark, sf):
     return at.orderBy("target").limit(1).select(F.lit("c:1").alias("source"), "target", "confidence", "via_count")
 
 
+_MOST = 2_000  # persons of a network whose links a path search may hold
+
+
+@query(
+    f"""WITH RECURSIVE net AS MATERIALIZED ({_network_sql(_S + ", " + _DR, "o", True, 2)}), n AS MATERIALIZED (SELECT p1 AS a, p2 AS b, confidence AS c FROM net UNION ALL SELECT p2, p1, confidence FROM net),
+t AS (SELECT max(b) AS vid FROM n WHERE b <> 'c:1' AND b NOT IN (SELECT b FROM n WHERE a = 'c:1')),
+w(vid, conf) USING KEY (vid) AS (SELECT 'c:1', 1.0::DOUBLE UNION SELECT n.b, max(w.conf * n.c) FROM w JOIN n ON n.a = w.vid LEFT JOIN recurring.w AS r ON r.vid = n.b WHERE w.conf * n.c > coalesce(r.conf, 0) GROUP BY n.b)
+SELECT 'c:1' AS source, vid AS target, true AS connected, round(conf, 9) AS confidence FROM w JOIN t USING (vid)"""
+)
+def strongest_connection(spark, sf):
+    """How strong the best path is from c:1 to the last person, by id, two links away."""
+    s = _sources(spark, sf).prepared()
+    far = N.person_network(s, "c:1", 2, max_persons=_MOST).persons.where("degree = 2").agg(F.max("vid")).first()[0]
+    rows = []
+    if far:
+        found = N.find_connection(s, "c:1", far, 2, max_persons=_MOST)
+        rows = [("c:1", far, found["connected"], round(found["confidence"], 9))]
+    return spark.createDataFrame(rows, "source string, target string, connected boolean, confidence double")
+
+
 @query()
 def strongest_path(spark, sf):
     """The strongest path from c:1 to the last person, by id, two links away."""
