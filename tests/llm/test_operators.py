@@ -526,3 +526,38 @@ def test_suffix_ranges_of_many_small_runs(monkeypatch):
             spans[r.digest].append((r.start, r.end))
     got = [sum(e - s for s, e in suffix_dedup.union(spans[d])) for d in digests]
     assert got == [n for _, n, _, _ in brute.repeats([t.decode() for t in texts])]
+
+
+def test_texts_beyond_a_segment_and_a_block(spark):
+    rng = random.Random(14)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage, at = noise(500), suffix_dedup.SEGMENT - 250
+    texts = [noise(at) + passage + noise(20_000), noise(30) + passage, noise(suffix_dedup.SEGMENT + 300) + passage[:260]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(brute.repeats(texts)))
+    from tokenizers import Tokenizer
+
+    tokenizer, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    rows_ = sorted(token_files.token_output(docs, P.path("word_bpe_49k.json"), 2).collect())
+    assert max(r.n_tokens for r in rows_) > token_files.BLOCK
+    for r, t in zip(rows_, texts, strict=True):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_shards_of_repeated_rows_and_ties(spark):
+    table = [(1, "same")] * 40 + [(None, "same")] * 5 + [(2, None)] * 20 + [(3, "x" * 2000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(table, "doc_id long, text string").repartition(4), 4).collect()
+    assert len(got) == 66 and sorted((r.doc_id or 0) for r in got) == sorted((d or 0) for d, _ in table)
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    order = [r.doc_id or 0 for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+    assert order == sorted(order) and all(r.law == "bytes" and r.grown_shard is None for r in got)
+
+
+def test_mixing_ties(spark):
+    docs = spark.createDataFrame([(i, "w", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
+    first, again = ([tuple(r) for r in mixing.mix(d, block_tokens=20).orderBy("block", "position").collect()] for d in (docs, docs.repartition(7)))
+    assert first == again and len({r[0] for r in first}) == 60
