@@ -16,6 +16,15 @@ HIGH_RISK = "High-risk jurisdiction"
 FACTORS = {"direct_sanction_match": 1.0, "indirect_sanction_exposure": 0.8, "shared_bank_account": 0.5, "pep_exposure": 0.7, "high_risk_country": 0.3}
 LEVELS = (("high", 0.8), ("medium", 0.45))
 EXPOSURE_DEGREE = 3
+# What is said of each factor (exposure with its degrees between two halves), and where there is none.
+SAID = {
+    "direct_sanction_match": "Entity directly matches a sanctions record",
+    "indirect_sanction_exposure": ("Entity is connected within ", " degree(s) to a sanctioned entity"),
+    "shared_bank_account": "Entity shares bank account links with flagged entities",
+    "pep_self": "Entity is a politically exposed person — enhanced due diligence required",
+    "pep_associate": "Entity is a relative or close associate of a politically exposed person",
+    "high_risk_country": "Entity is associated with a high-risk jurisdiction",
+}
 NOTHING_FOUND = "No significant risk indicators were detected based on the current graph evidence."
 
 
@@ -69,16 +78,17 @@ def _factors() -> dict[str, tuple[Column, Column, Column]]:
     """code: (value, explanation, evidence) of each factor; a null value is no factor."""
     direct, d = F.coalesce(F.col("direct"), F.lit(False)), F.col("distance")
     pep = F.col("pep")
+    near, away = SAID["indirect_sanction_exposure"]
     return {
-        "direct_sanction_match": (F.when(direct, 1.0), F.lit("Entity directly matches a sanctions record"), F.col("listings")),
-        "indirect_sanction_exposure": (F.when(~direct & d.isNotNull(), F.greatest(F.lit(0.0), 0.8 - 0.2 * (d - 1))), F.concat(F.lit("Entity is connected within "), d.cast("string"), F.lit(" degree(s) to a sanctioned entity")), F.col("path")),
-        "shared_bank_account": (F.when(F.col("transfers") > 0, F.least(F.col("transfers") / 3, F.lit(1.0))), F.lit("Entity shares bank account links with flagged entities"), F.lit(None)),
+        "direct_sanction_match": (F.when(direct, 1.0), F.lit(SAID["direct_sanction_match"]), F.col("listings")),
+        "indirect_sanction_exposure": (F.when(~direct & d.isNotNull(), F.greatest(F.lit(0.0), 0.8 - 0.2 * (d - 1))), F.concat(F.lit(near), d.cast("string"), F.lit(away)), F.col("path")),
+        "shared_bank_account": (F.when(F.col("transfers") > 0, F.least(F.col("transfers") / 3, F.lit(1.0))), F.lit(SAID["shared_bank_account"]), F.lit(None)),
         "pep_exposure": (
             F.when(pep == "self", 1.0).when(pep == "associate", 0.7),
-            F.when(pep == "self", "Entity is a politically exposed person — enhanced due diligence required").otherwise("Entity is a relative or close associate of a politically exposed person"),
+            F.when(pep == "self", SAID["pep_self"]).otherwise(SAID["pep_associate"]),
             F.array(F.col("vid").cast("string")),
         ),
-        "high_risk_country": (F.when(F.col("high_risk"), 1.0), F.lit("Entity is associated with a high-risk jurisdiction"), F.col("countries")),
+        "high_risk_country": (F.when(F.col("high_risk"), 1.0), F.lit(SAID["high_risk_country"]), F.col("countries")),
     }
 
 

@@ -10,6 +10,9 @@ from graphloom.functions import text as T
 # Words in capitals; keys that say what a document is, in reading order; keys of the record, not of its subject.
 ACRONYMS = ("id", "uae")
 IDENTITY_KEYS = ("document_type", "number", "name", "label", "issuing_country", "issue_date", "expiry_date")
+# Headings of the kinds of reason, and what begins, joins and ends their details.
+HEADINGS = {"direct": "Direct relationship", "attribute": "Shared ", "field": "Matching ", "fields": "Matching value across different fields", "organisations": "Linked organisations"}
+DETAILS = {"attribute": "Both people hold ", "field": "Both documents give ", "and": " and ", "fields": " both give ", "quotes": ("“", "”.")}
 SYSTEM_KEYS = ("confidence", "entity_type", "created_at", "updated_at", "evidence_ids", "props", "degree", "is_new")
 
 
@@ -88,17 +91,17 @@ def described(reasons: DataFrame, readable: DataFrame | None = None) -> DataFram
         said = said.join(raw, "_vid").where(F.expr("_norm = connector_label AND array_contains(field_keys, _key)"))
         said = said.groupBy("_id").agg(F.min_by("_raw", F.struct("_at", "_key")).alias("_said"))
         r, value = r.join(said, "_id", "left").drop("_id"), F.coalesce("_said", "connector_label")
-    kind, quoted = F.col("kind"), F.concat(F.lit("“"), value, F.lit("”."))
-    fields = F.array_join(F.transform("field_keys", title_words), " and ")
+    kind, quoted = F.col("kind"), F.concat(F.lit(DETAILS["quotes"][0]), value, F.lit(DETAILS["quotes"][1]))
+    fields = F.array_join(F.transform("field_keys", title_words), DETAILS["and"])
     heading = (
-        F.when(kind == "direct", "Direct relationship")
-        .when(kind == "shared_attribute", F.concat(F.lit("Shared "), F.lower(title_words(F.col("connector_tag")))))
-        .when(kind == "shared_field", F.when(F.col("same_key"), F.concat(F.lit("Matching "), F.lower(title_words(F.col("field_key"))))).otherwise("Matching value across different fields"))
-        .otherwise("Linked organisations")
+        F.when(kind == "direct", HEADINGS["direct"])
+        .when(kind == "shared_attribute", F.concat(F.lit(HEADINGS["attribute"]), F.lower(title_words(F.col("connector_tag")))))
+        .when(kind == "shared_field", F.when(F.col("same_key"), F.concat(F.lit(HEADINGS["field"]), F.lower(title_words(F.col("field_key"))))).otherwise(HEADINGS["fields"]))
+        .otherwise(HEADINGS["organisations"])
     )
     detail = (
-        F.when(kind == "shared_attribute", F.concat(F.lit("Both people hold "), F.col("connector_label"), F.lit(".")))
-        .when(kind == "shared_field", F.when(F.col("same_key"), F.concat(F.lit("Both documents give "), quoted)).otherwise(F.concat(fields, F.lit(" both give "), quoted)))
+        F.when(kind == "shared_attribute", F.concat(F.lit(DETAILS["attribute"]), F.col("connector_label"), F.lit(".")))
+        .when(kind == "shared_field", F.when(F.col("same_key"), F.concat(F.lit(DETAILS["field"]), quoted)).otherwise(F.concat(fields, F.lit(DETAILS["fields"]), quoted)))
         .otherwise(F.col("label"))
     )
     return r.withColumn("heading", heading).withColumn("detail", detail).drop("_said")

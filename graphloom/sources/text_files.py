@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 TEXT = ("txt", "md", "log")
 MAX_CHARS, MAX_ROWS, MAX_TABLE_CHARS = 120_000, 500, 60_000
 
+# A table's line and what is said of the table.
+LINE, HINT = ("[row ", "] ", "=", "; "), ("CSV with columns: ", ". ", " rows parsed. Each line is one record; treat repeated values across rows as the same entity.")
+
 #: Readers of other kinds of file: extension to a function from bytes to text, run where the file is.
 #: A kind without a reader is refused; PDF, DOCX and image readers need libraries that aren't part of this one.
 READERS: dict[str, Callable[[bytes], str]] = {}
@@ -52,12 +55,12 @@ def read_files(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> Da
 def table_text(rows: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_TABLE_CHARS) -> DataFrame:
     """text, hint of the first rows of a table of strings with _row: a line "[row n] column=value; ..." each, without blanks. One row."""
     names = [c for c in rows.columns if c != "_row"]
-    cell = lambda c: F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(f"{c}="), F.col(f"`{c}`")))
-    line = F.concat(F.lit("[row "), F.col("_row").cast("string"), F.lit("] "), F.concat_ws("; ", *[cell(c) for c in names]))
+    cell = lambda c: F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(c + LINE[2]), F.col(f"`{c}`")))
+    line = F.concat(F.lit(LINE[0]), F.col("_row").cast("string"), F.lit(LINE[1]), F.concat_ws(LINE[3], *[cell(c) for c in names]))
     some = rows.select("_row", line.alias("line")).orderBy("_row").limit(max_rows)
     one = some.agg(F.array_sort(F.collect_list(F.struct("_row", "line"))).alias("lines"))
     text = F.substring(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 1, max_chars)
-    said = F.concat(F.lit(f"CSV with columns: {names}. "), F.size("lines").cast("string"), F.lit(" rows parsed. Each line is one record; treat repeated values across rows as the same entity."))
+    said = F.concat(F.lit(f"{HINT[0]}{names}{HINT[1]}"), F.size("lines").cast("string"), F.lit(HINT[2]))
     return one.select(text.alias("text"), said.alias("hint"))
 
 
