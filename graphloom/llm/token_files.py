@@ -37,7 +37,7 @@ BLOCK, FILE_IDS = 65_536, 2_000_000
 #: Words whose ids a worker keeps in each of two generations; bytes of text that it encodes at once; rows handed to it at once.
 PARTS, SLICE, BATCH = 700_000, 8_000_000, 3_000
 #: ASCII punctuation that a pre-token pattern takes in one piece (the apostrophe opens contractions).
-CLOSING = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def width(vocabulary: int) -> int:
@@ -115,17 +115,42 @@ class TokenFile:
             yield int(self.doc_ids[k]), a, held[a - lo : b - lo]
 
 
-def _parts(word: bytes) -> tuple[bytes, ...]:
-    """Letters and closing punctuation, which the tokenizer encodes alone; else the word as it is."""
-    if word.isascii():
-        word = word.lower()
-        body = word.rstrip(CLOSING)
-        return (body, word[len(body) :]) if body.isalpha() and len(body) < len(word) else (word,)
-    text = word.decode()
-    body = text.rstrip(CLOSING.decode())
-    if len(body) < len(text) and body.isalpha() and body.lower().isalpha():
-        return body.encode(), text[len(body) :].encode()
-    return (word,)
+def _letters_and_closing(word: str) -> tuple[str, ...]:
+    body = word.rstrip(CLOSING)
+    return (body, word[len(body) :]) if len(body) < len(word) and body.isalpha() and body.lower().isalpha() else (word,)
+
+
+def _pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct pieces of words, which of them make up the words in order, and how many each word has.
+
+    Letters and the punctuation that closes them are two pieces, as the tokenizer encodes
+    them alone; any other word is one. ASCII words, in lower case, are cut all at once.
+    """
+    low = pc.ascii_lower(words)
+    body = pc.ascii_rtrim(low, CLOSING)
+    plain = pc.string_is_ascii(words)
+    two = pc.and_(plain, pc.and_(pc.ascii_is_alpha(body), pc.less(pc.binary_length(body), pc.binary_length(low))))
+    closing = pc.replace_substring_regex(low.filter(two), "^[a-z]+", "")
+    others = [_letters_and_closing(w) for w in words.filter(pc.invert(plain)).to_pylist()]
+    first = pc.replace_with_mask(pc.if_else(two, body, low), pc.invert(plain), pa.array([x[0] for x in others], words.type))
+    coded = pa.concat_arrays([first, closing, pa.array([x[1] for x in others if len(x) == 2], words.type)]).dictionary_encode()
+    n = np.where(two.to_numpy(zero_copy_only=False), 2, 1)
+    rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+    n[rest] = [len(x) for x in others]
+    at = np.cumsum(n) - n
+    cut = n == 2
+    cut[rest] = False
+    order, index = np.empty(int(n.sum()), np.int64), coded.indices.to_numpy(zero_copy_only=False)
+    order[at] = index[: len(n)]
+    order[np.concatenate([at[cut], at[rest[n[rest] == 2]]]) + 1] = index[len(n) :]
+    return coded.dictionary, order, n
+
+
+def _joined(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs `at` of ids, whose runs have these sizes, one after another; and where each begins and the last ends."""
+    n = sizes[at]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return ids[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n) + np.arange(ends[-1])], ends
 
 
 class WordEncoder:
@@ -150,11 +175,11 @@ class WordEncoder:
         lowers = any(x.get("type") == "Lowercase" for x in (made.get("normalizer") or {}).get("normalizers") or [])
         self.by_word = lowers and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and bool(steps[0].get("invert"))
         self.kept_words = kept_words
-        self.parts: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}  # what was kept before; a word that is used again moves on
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was kept before; a word that is used again moves on
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null texts have none."""
@@ -163,28 +188,27 @@ class WordEncoder:
             return [np.frombuffer(x, "<u4") for x in self._raw(texts.to_pylist())]
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        at, raw = coded.indices.to_numpy(zero_copy_only=False), self._words(coded.dictionary.cast(pa.binary()).to_pylist())
-        sizes = np.array([len(x) // 4 for x in raw], np.int64)
-        ids, starts = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        flat = ids[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])]
+        pieces, order, n = _pieces(coded.dictionary)
+        raw = self._known(pieces.to_pylist())
+        ids, ends = _joined(np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64), order)
+        sizes = np.diff(ends[np.concatenate([[0], np.cumsum(n)])])  # of words
+        flat, ends = _joined(ids, sizes, coded.indices.to_numpy(zero_copy_only=False))
         bounds = ends[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))])].tolist()
         return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word."""
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each piece."""
         if len(self.parts) > self.kept_words:
             self.older, self.parts = self.parts, {}
         parts, older = self.parts, self.older
-        cut = [_parts(w) for w in words]
+        unknown = [p for p in pieces if p not in parts]
         if older:
-            parts.update([(p, older[p]) for ps in cut for p in ps if p not in parts and p in older])
-        unknown = list({p for ps in cut for p in ps if p not in parts})
+            parts.update([(p, older[p]) for p in unknown if p in older])
+            unknown = [p for p in unknown if p not in older]
         for i in range(0, len(unknown), 10_000):
             some = unknown[i : i + 10_000]
-            parts.update(zip(some, self._raw([p.decode() for p in some]), strict=True))
-        return [parts[ps[0]] if len(ps) == 1 else parts[ps[0]] + parts[ps[1]] for ps in cut]
+            parts.update(zip(some, self._raw(some), strict=True))
+        return [parts[p] for p in pieces]
 
 
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -404,6 +404,21 @@ def test_token_files(docs, texts):
         start += len(ids)
 
 
+def test_words_in_pieces():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    words = ["Hello,", "HELLO", "it's", "don't!", "'", "...", "a1,", "x-y.", "Straße!", "İstanbul.", "naïve", "日本語。", "Δ,,", "ªb)", "ǅ:", "\u200b,", "e\u0301.", "[SEP]", "🙂!", "a" * 5000 + "!?"]
+    given = [*words, " ".join(words), "\t".join(reversed(words)), "", None, " \x0b\x0c ", "a\x1cb\x85c\u00a0d.", *(a + b for a in words for b in words)]
+    encode, tokenizer = token_files.WordEncoder(P.path("word_bpe_49k.json"), 5), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    for _ in range(3):  # words are kept, moved on and forgotten
+        for kind in (pa.string(), pa.large_string()):
+            got = encode(pa.array(given, kind))
+            for g, t in zip(got, given, strict=True):
+                assert g.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert [x.tolist() for x in encode(pa.array([None, ""], pa.string()))] == [[], []] and encode(pa.array([], pa.string())) == []
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_bit_packing(bits):
     rng = np.random.default_rng(bits)
