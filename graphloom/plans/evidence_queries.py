@@ -335,6 +335,12 @@ def shared_identifier_members(spark, sf):
     return R.wide_identifier_members(_holders(spark, sf), 25)
 
 
+@query(f"WITH {_Y}, h AS (SELECT DISTINCT entity_id, type, doc_id::VARCHAR AS d FROM y), n AS (SELECT entity_id, min(d) AS least FROM h GROUP BY entity_id HAVING count(*) > 1) SELECT entity_id AS connector, 'shares_' || lower(type) AS label, least AS representative, d AS person FROM h JOIN n USING (entity_id)")
+def identifier_members(spark, sf):
+    """All identifiers of two holders or more, however many hold them."""
+    return R.wide_identifier_members(_holders(spark, sf), 1)
+
+
 @query("SELECT min(source) AS source, sha256(t) AS sha256 FROM (SELECT source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE length(t) > 0 GROUP BY t")
 def evidence_ingest(spark, sf):
     return E.ingest(D.table(spark, sf, "documents").select("source", "text")).select("source", "sha256")

@@ -230,3 +230,15 @@ def test_wide_identifiers_keep_all_links(spark, tmp_path):
     both = rows(pairs, "p1", "p2") | set(itertools.combinations(sorted(m["person"] for m in members), 2))
     assert both == {(a, b) for a, b in itertools.product(map(str, range(41)), repeat=2) if a < b and (max(int(a), int(b)) < 30 or {a, b} == {"3", "40"})}
     assert "shared_identifier_members" in queries.QUERIES
+
+
+def test_members_of_all_shared_identifiers(spark, tmp_path):
+    from graphloom.plans import evidence_queries
+
+    texts = [(i, "mail wide@example.org", "en") for i in range(30)] + [(i, "mail slim@example.org", "en") for i in (3, 40)] + [(50, "mail own@example.org", "en")]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    members = evidence_queries.identifier_members(spark, str(tmp_path)).collect()
+    held = {}
+    for m in members:
+        held.setdefault((m["connector"], m["representative"]), []).append(int(m["person"]))
+    assert sorted((r, sorted(p)) for (_, r), p in held.items()) == [("0", list(range(30))), ("3", [3, 40])]
