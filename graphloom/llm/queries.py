@@ -10,6 +10,7 @@ from graphloom.llm import (
     html_extract,
     mixing,
     near_duplicates,
+    pieces,
     quality_classifier,
     quality_rules,
     sharding,
@@ -67,7 +68,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_token_counts, op6_suffix_dedup, op7_decontamination, op8_html_extraction, op9_token_output, op10_mixing)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_token_counts, op6_suffix_dedup, op7_decontamination, op8_html_extraction, op9_token_output, op10_mixing, op11_sentencepiece)}
 ORACLES = {
     "op1_minhash": near_duplicates.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
