@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import (
+    conversations,
     decontaminate,
     html_extract,
     mixing,
@@ -74,7 +75,11 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_token_counts, op6_suffix_dedup, op7_decontamination, op8_html_extraction, op9_token_output, op10_mixing, op11_sentencepiece)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_token_counts, op6_suffix_dedup, op7_decontamination, op8_html_extraction, op9_token_output, op10_mixing, op11_sentencepiece, op13_conversation_repair)}
 ORACLES = {
     "op1_minhash": near_duplicates.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
