@@ -271,6 +271,13 @@ class PieceEncoder:
             if s != " " and (t if s[:1] == " " else t[1:]) != o.tolist():
                 raise RuntimeError(f"segment {s[:80]!r}: {o.tolist()[:40]}, but the library gives {t[:40]}")
 
+    def merged(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments, checked, one after another, and how many each has."""
+        ids, sizes = self.pieces.segment_ids(some)
+        if self.check != "none":
+            self._compare(some, ids, sizes)
+        return ids, sizes
+
     def segment_ids(self, some: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each segment."""
         if len(self.known) > self.kept:
@@ -282,9 +289,7 @@ class PieceEncoder:
         passing: dict[str, bytes] = {}
         for i in range(0, len(fresh), 50_000):
             part = fresh[i : i + 50_000]
-            ids, sizes = self.pieces.segment_ids(part)
-            if self.check != "none":
-                self._compare(part, ids, sizes)
+            ids, sizes = self.merged(part)
             raw, ends = ids.tobytes(), np.concatenate([[0], 4 * np.cumsum(sizes)]).tolist()
             for s, a, b in zip(part, ends, ends[1:], strict=False):
                 (known if len(s) <= SHORT else passing)[s] = raw[a:b]

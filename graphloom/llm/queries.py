@@ -16,6 +16,7 @@ from graphloom.llm import (
     quality_rules,
     sharding,
     suffix_dedup,
+    token_alignment,
     token_counts,
     token_files,
 )
@@ -75,11 +76,17 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_token_counts, op6_suffix_dedup, op7_decontamination, op8_html_extraction, op9_token_output, op10_mixing, op11_sentencepiece, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_quality_rules, op3_sharding, op4_quality_classifier, op5_token_counts, op6_suffix_dedup, op7_decontamination, op8_html_extraction, op9_token_output, op10_mixing, op11_sentencepiece, op12_token_alignment, op13_conversation_repair)}
 ORACLES = {
     "op1_minhash": near_duplicates.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
