@@ -154,7 +154,7 @@ def _unpack(x: bytes) -> np.ndarray:
 # Blocks: a row for the documents, and one for each bucket of distinct segments
 
 
-def _coded(a: str, b: str, buckets: int, kept: pa.DataType):
+def _coded(a: str, b: str, buckets: int, most: int, kept: pa.DataType):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kept", pa.list_(kept)), ("n", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def _coded(a: str, b: str, buckets: int, kept: pa.DataType):
         cuts = aligner(a, b).cuts
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for some in slices(batch, 1, BLOCK):
+            for some in slices(batch, 1, most):
                 cut, n = segments(some.column(1), cuts)
                 coded = cut.dictionary_encode()
                 found = coded.dictionary.to_pylist()
@@ -258,7 +258,7 @@ _STATS = ("n_a", "n_b", "n_groups", "n_links")
 _COMPOSED = f"block long, {{kept}}, {', '.join(f'{c} array<long>' for c in _STATS)}, sha array<string>, links binary, a array<int>, b array<int>, holders array<int>"
 
 
-def _compose(buckets: int, kept: pa.DataType):
+def _compose(buckets: int, some: int, kept: pa.DataType):
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
     schema = pa.schema([("block", pa.int64()), ("kept", pa.list_(kept)), *((c, longs) for c in _STATS), ("sha", pa.list_(pa.string())), ("links", pa.binary()), ("a", ints), ("b", ints), ("holders", ints)])
 
@@ -270,7 +270,7 @@ def _compose(buckets: int, kept: pa.DataType):
                 if bucket[k].as_py() < buckets:
                     packed.append(data[k].as_py())
                     continue
-                out = _documents(_Segments(packed), np.array(n[k].as_py(), np.int64), _unpack(data[k].as_py()).astype(np.int64))
+                out = _documents(_Segments(packed), np.array(n[k].as_py(), np.int64), _unpack(data[k].as_py()).astype(np.int64), some)
                 packed = []
                 kinds = [x.type for x in schema][2:]
                 yield pa.RecordBatch.from_arrays([block.slice(k, 1), docs.slice(k, 1), *(pa.array([x], t) for x, t in zip(out, kinds, strict=True))], schema=schema)
@@ -278,7 +278,7 @@ def _compose(buckets: int, kept: pa.DataType):
     return run
 
 
-def _documents(s: _Segments, n: np.ndarray, codes: np.ndarray) -> tuple:
+def _documents(s: _Segments, n: np.ndarray, codes: np.ndarray, some: int) -> tuple:
     """Counts, digests and packed links of a block's documents; the block's pairs and how many documents hold each."""
     bounds = np.concatenate([[0], np.cumsum(n)])
     of = np.repeat(np.arange(len(n)), n)
@@ -293,7 +293,7 @@ def _documents(s: _Segments, n: np.ndarray, codes: np.ndarray) -> tuple:
     per_doc, pairs, weights = np.zeros(len(n), np.int64), [], []
     n_links, holders, at = np.zeros(len(n), np.int64), np.zeros(len(s.a), np.int64), 0
     while at < len(n):
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SOME, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + some, side="right")) - 1)
         mine = slice(bounds[at], bounds[to])
         keep = there[of[mine]]
         keys, times = np.unique(of[mine][keep] * len(s.good) + codes[mine][keep], return_counts=True)
@@ -306,10 +306,11 @@ def _documents(s: _Segments, n: np.ndarray, codes: np.ndarray) -> tuple:
         per_doc += np.bincount(doc, minlength=len(n))
         n_links += np.bincount(doc, weights=total, minlength=len(n)).astype(np.int64)
         holders += np.bincount(code, minlength=len(s.a))
-        pairs.append(np.diff(code, prepend=0) % (1 << 32))
+        pairs.append(code)
         weights.append(total)
         at = to
-    packed = _pack(np.concatenate([[len(n)], per_doc, *pairs, *weights]))
+    steps = np.diff(np.concatenate([np.zeros(1, np.int64), *pairs])) % (1 << 32)
+    packed = _pack(np.concatenate([[len(n)], per_doc, steps, *weights]))
     return *(x.tolist() for x in (*stats, n_links)), sha, packed, s.a, s.b, holders
 
 
@@ -346,7 +347,7 @@ def _finish(kept: pa.DataType):
 _OUTPUTS = (*_STATS, "n_best", "count_sum", "groups_sha256")
 
 
-def align(docs: DataFrame, a: str, b: str, keep: tuple[str, ...] = ("doc_id",), buckets: int | None = None) -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, keep: tuple[str, ...] = ("doc_id",), buckets: int | None = None, block: int = BLOCK, some: int = SOME) -> DataFrame:
     """keep columns, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row's text.
 
     a: a byte-level vocabulary of the tokenizers library, which gets ' ' + text; b: a
@@ -361,7 +362,8 @@ def align(docs: DataFrame, a: str, b: str, keep: tuple[str, ...] = ("doc_id",),
     other columns have no part.
 
     Distinct segments are dealt to `buckets` (the shuffle partitions, if not told); a task holds a
-    block (BLOCK bytes of text, or one text), and at most 2 * KEPT aligned segments.
+    block (so many bytes of text, or one text), `some` places of segments of documents that are
+    composed at once, and at most 2 * KEPT aligned segments.
     """
     spark = docs.sparkSession
     buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -371,12 +373,12 @@ def align(docs: DataFrame, a: str, b: str, keep: tuple[str, ...] = ("doc_id",),
 
     kept = to_arrow_type(df.schema["kept"].dataType)
     with arrow_batches(spark, BLOCK_ROWS):
-        blocks = materialize(df.mapInArrow(_coded(a, b, buckets, kept), f"block long, bucket int, kept array<{kind}>, n array<long>, data binary"), "alignment-blocks")
+        blocks = materialize(df.mapInArrow(_coded(a, b, buckets, block, kept), f"block long, bucket int, kept array<{kind}>, n array<long>, data binary"), "alignment-blocks")
     asked = blocks.where(F.col("bucket") < buckets).select("block", "bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     aligned = materialize(asked.mapInArrow(_align(a, b), "block long, bucket int, data binary"), "alignment-segments")
     told = blocks.where(F.col("bucket") == buckets).unionByName(aligned, allowMissingColumns=True).select("block", "bucket", "kept", "n", "data")
     told = told.repartition("block").sortWithinPartitions("block", "bucket")
-    composed = materialize(told.mapInArrow(_compose(buckets, kept), _COMPOSED.format(kept=f"kept array<{kind}>")), "alignment-documents")
+    composed = materialize(told.mapInArrow(_compose(buckets, some, kept), _COMPOSED.format(kept=f"kept array<{kind}>")), "alignment-documents")
     discard(blocks, aligned)
     pairs = composed.select("block", F.posexplode(F.arrays_zip("a", "b", "holders")).alias("code", "p")).select("block", "code", "p.a", "p.b", "p.holders")
     counts = pairs.groupBy("a", "b").agg(F.sum("holders").alias("count"))

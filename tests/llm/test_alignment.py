@@ -76,11 +76,12 @@ def odd_texts(n: int) -> list[str | None]:
     return [*made, *made[:20], None, "", " ", "  ", "▁", "a ▁ b", "\n", "a" * 2_000, "the" * 1_000, " " * 1_500, "字" * 500]
 
 
-@pytest.mark.parametrize("block", [2_000, token_alignment.BLOCK])
-def test_query_equals_plain_loops(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize("sizes", [(2_000, 50), (30_000, 200), None])
+def test_query_equals_plain_loops(spark, tmp_path, monkeypatch, sizes):
     """Small blocks meet in many buckets; and a run of a thousand equal letters is one group."""
-    monkeypatch.setattr(token_alignment, "BLOCK", block)
-    monkeypatch.setattr(token_alignment, "SOME", 50)
+    if sizes:
+        whole = token_alignment.align
+        monkeypatch.setattr(token_alignment, "align", lambda *a: whole(*a, block=sizes[0], some=sizes[1], buckets=7))
     texts = odd_texts(250)
     docs = spark.createDataFrame([(None if i == 3 else i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_a int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
