@@ -31,9 +31,9 @@ from graphloom.llm.pieces import PieceEncoder
 from graphloom.llm.segments import cut_bytes, joined, segments, slices
 
 #: Bytes of text in a block (a single text may have more), and rows that Python is handed at once for one.
-BLOCK, BLOCK_ROWS = 16 << 20, 50_000
+BLOCK, BLOCK_ROWS = 12 << 20, 50_000
 #: Documents composed at once by their segments, and segments that a worker keeps aligned in each of two generations.
-SOME, KEPT = 1_000_000, 300_000
+SOME, KEPT = 400_000, 100_000
 ID = (1 << 30) - 1
 
 
@@ -158,7 +158,6 @@ def _coded(a: str, b: str, buckets: int, most: int, kept: pa.DataType):
     schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kept", pa.list_(kept)), ("n", pa.list_(pa.int64())), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_kept()
         cuts = aligner(a, b).cuts
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -263,6 +262,7 @@ def _compose(buckets: int, some: int, kept: pa.DataType):
     schema = pa.schema([("block", pa.int64()), ("kept", pa.list_(kept)), *((c, longs) for c in _STATS), ("sha", pa.list_(pa.string())), ("links", pa.binary()), ("a", ints), ("b", ints), ("holders", ints)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()  # what the stages before keep isn't used here
         packed: list[bytes] = []
         for batch in batches:
             block, bucket, docs, n, data = (batch.column(c) for c in range(5))
@@ -285,9 +285,9 @@ def _documents(s: _Segments, n: np.ndarray, codes: np.ndarray, some: int) -> tup
     lost = np.bincount(of[~s.good[codes]], minlength=len(n)) > 0
     there = (n > 0) & ~lost
     stats = [(np.bincount(of, weights=x[codes], minlength=len(n)) * there).astype(np.int64) for x in (s.n_a, s.n_b, s.n_groups)]
-    cut, sequence, sha = bounds.tolist(), codes.tolist(), []
+    cut, sha = bounds.tolist(), []
     for k, good in enumerate(there.tolist()):
-        sha.append(hashlib.sha256(b"".join([s.text[c] for c in sequence[cut[k] : cut[k + 1]]])[:-1]).hexdigest() if good else "")
+        sha.append(hashlib.sha256(b"".join([s.text[c] for c in codes[cut[k] : cut[k + 1]].tolist()])[:-1]).hexdigest() if good else "")
     # Links by document and pair, some documents at a time.
     start = np.cumsum(s.links) - s.links
     per_doc, pairs, weights = np.zeros(len(n), np.int64), [], []
