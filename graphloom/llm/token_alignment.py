@@ -31,7 +31,9 @@ from graphloom.llm.pieces import PieceEncoder
 from graphloom.llm.segments import cut_bytes, joined, segments, slices
 
 #: Bytes of text in a block (a single text may have more), and rows that Python is handed at once for one.
-BLOCK, BLOCK_ROWS = 12 << 20, 50_000
+BLOCK, BLOCK_ROWS = 8 << 20, 50_000
+#: Rows of blocks that Python is handed at once to compose documents.
+COMPOSED_ROWS = 64
 #: Documents composed at once by their segments, and segments that a worker keeps aligned in each of two generations.
 SOME, KEPT = 400_000, 100_000
 ID = (1 << 30) - 1
@@ -220,36 +222,46 @@ class _Segments:
     def __init__(self, packed: list[bytes]):
         parts = [_unpack(x) for x in packed]
         sizes = np.concatenate([[], *(x[1 : 1 + x[0]] for x in parts)]).astype(np.int64)
-        words = np.concatenate([np.zeros(0, np.uint32), *(x[1 + x[0] :] for x in parts)]).astype(np.int64)
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        ids, follows = words & ID, words >> 30
-        ends = follows == 2
-        group = np.cumsum(ends) - ends
-        side = np.cumsum(follows == 1) - (follows == 1) - group
+        words = np.concatenate([np.zeros(0, np.uint32), *(x[1 + x[0] :] for x in parts)])
+        del parts, packed
         self.good = sizes > 0
-        self.n_a = np.bincount(of[side == 0], minlength=len(sizes))
-        self.n_b = np.bincount(of[side == 1], minlength=len(sizes))
-        self.n_groups = np.bincount(of[ends], minlength=len(sizes))
-        kinds, which = np.unique(words, return_inverse=True)
-        signs = [b"%d%b" % (w & ID, b",|;"[w >> 30 : (w >> 30) + 1]) for w in kinds.tolist()]
-        told = [signs[k] for k in which.tolist()]
-        cut = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        self.text = [b"".join(told[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+        self.text = self._texts(words, sizes)
+        of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        follows = words >> 30
+        ends = follows == 2
+        group = np.cumsum(ends, dtype=np.int32) - ends
+        of_group = of[ends]
+        side = np.cumsum(follows == 1, dtype=np.int32) - (follows == 1) - group == 1
+        del follows, ends
+        self.n_a = np.bincount(of[~side], minlength=len(sizes))
+        self.n_b = np.bincount(of[side], minlength=len(sizes))
+        self.n_groups = np.bincount(of_group, minlength=len(sizes))
+        del of
         # Distinct ids of each group and side with their numbers: each meets each of the other side.
-        left, right = (_counted(group[side == k], ids[side == k]) for k in (0, 1))
+        words &= ID
+        left, right = (_counted(group[k], words[k]) for k in (~side, side))
+        del group, side, words
         first = np.searchsorted(right[0], left[0])
         many = np.searchsorted(right[0], left[0], side="right") - first
         at = np.repeat(np.arange(len(left[0])), many)
         to = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(len(at))
-        pairs, self.code = np.unique(left[1][at] << 32 | right[1][to], return_inverse=True)
-        self.a, self.b = pairs >> 32, pairs & 0xFFFFFFFF
         self.weight = left[2][at] * right[2][to]
-        of_group = of[ends]
         self.links = np.bincount(of_group[left[0][at]], minlength=len(sizes)) if len(at) else np.zeros(len(sizes), np.int64)
+        keys = left[1][at] << 32 | right[1][to]
+        del at, to, left, right
+        pairs, code = np.unique(keys, return_inverse=True)
+        self.code, self.a, self.b = code.astype(np.int32), pairs >> 32, pairs & 0xFFFFFFFF
+
+    @staticmethod
+    def _texts(words: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        kinds, which = np.unique(words, return_inverse=True)
+        signs = [b"%d%b" % (w & ID, b",|;"[w >> 30 : (w >> 30) + 1]) for w in kinds.tolist()]
+        which, cut = which.astype(np.int32), np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        return [b"".join([signs[k] for k in which[x:y].tolist()]) for x, y in zip(cut, cut[1:], strict=False)]
 
 
 def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keys, n = np.unique(group << 32 | ids, return_counts=True)
+    keys, n = np.unique(group.astype(np.int64) << 32 | ids, return_counts=True)
     return keys >> 32, keys & 0xFFFFFFFF, n
 
 
@@ -378,7 +390,8 @@ def align(docs: DataFrame, a: str, b: str, keep: tuple[str, ...] = ("doc_id",),
     aligned = materialize(asked.mapInArrow(_align(a, b), "block long, bucket int, data binary"), "alignment-segments")
     told = blocks.where(F.col("bucket") == buckets).unionByName(aligned, allowMissingColumns=True).select("block", "bucket", "kept", "n", "data")
     told = told.repartition("block").sortWithinPartitions("block", "bucket")
-    composed = materialize(told.mapInArrow(_compose(buckets, some, kept), _COMPOSED.format(kept=f"kept array<{kind}>")), "alignment-documents")
+    with arrow_batches(spark, COMPOSED_ROWS):
+        composed = materialize(told.mapInArrow(_compose(buckets, some, kept), _COMPOSED.format(kept=f"kept array<{kind}>")), "alignment-documents")
     discard(blocks, aligned)
     pairs = composed.select("block", F.posexplode(F.arrays_zip("a", "b", "holders")).alias("code", "p")).select("block", "code", "p.a", "p.b", "p.holders")
     counts = pairs.groupBy("a", "b").agg(F.sum("holders").alias("count"))
