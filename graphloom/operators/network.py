@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.records import humanize
 from graphloom.functions.scoring import match_confidence, noisy_or
 from graphloom.operators.lineage import cut
-from graphloom.operators.projection import strongest_path
+from graphloom.operators.projection import best_path
 from graphloom.schema import BRIDGE, BRIDGE_CONFIDENCE, BRIDGE_TAGS, CONNECTION_CAP, DEGREE_CAP, DIRECT, DIRECT_CONFIDENCE, EXPANDABLE_TAGS, FIELD_EDGE, FIELD_TAG, MAX_FANOUT, MAX_PERSONS, SHARED, WEAK
 
 #: Columns of a reason, and their types; those that a kind of reason lacks are null.
@@ -68,6 +68,27 @@ class Sources:
     def has_person(self, vid: str) -> bool:
         return not self.persons.where(F.col("vid") == vid).isEmpty()
 
+    def held_by(self, persons: DataFrame) -> DataFrame:
+        """What persons(person) own."""
+        return self.members.join(persons, "person", "left_semi")
+
+    def holders(self, connectors: DataFrame) -> DataFrame:
+        """The owners of connectors(connector)."""
+        return self.members.join(connectors, "connector", "left_semi")
+
+    def edges_at(self, persons: DataFrame) -> DataFrame:
+        """src, dst, edge_type, rank, label of direct edges with an end among persons(person), once each."""
+        direct = self.direct.where("src <> dst")
+        out = direct.join(persons.withColumnRenamed("person", "src"), "src", "left_semi")
+        into = direct.join(persons.withColumnRenamed("person", "dst"), "dst", "left_semi").join(persons.withColumnRenamed("person", "src"), "src", "left_anti")
+        return out.unionByName(into)
+
+    def bridges_at(self, connectors: DataFrame) -> DataFrame:
+        """this, other, edge_type, said of bridges from connectors(connector) to connectors that aren't among them."""
+        b = self.bridges.where("src <> dst")
+        b = b.select(F.col("src").alias("this"), F.col("dst").alias("other"), "edge_type", F.col("label").alias("said")).unionByName(b.select(F.col("dst").alias("this"), F.col("src").alias("other"), "edge_type", F.col("label").alias("said")))
+        return b.join(connectors.withColumnRenamed("connector", "this"), "this", "left_semi").join(connectors.withColumnRenamed("connector", "other"), "other", "left_anti")
+
 
 @dataclass(frozen=True)
 class Network:
@@ -153,8 +174,8 @@ def _reasons(found: DataFrame, **columns: Column) -> DataFrame:
 def _level(s: Sources, frontier: DataFrame, max_fanout: int) -> tuple[DataFrame, DataFrame]:
     """(reasons, hubs) through what the frontier(vid) touches."""
     at = frontier.select(F.col("vid").alias("person"))
-    near = s.members.join(at, "person", "left_semi").select("connector").distinct()
-    mine = s.members.join(near, "connector", "left_semi")
+    near = cut(s.held_by(at).select("connector").distinct())
+    mine = s.holders(near)
     hubs = mine.where(F.col("n") > max_fanout).groupBy("connector").agg(F.min("tag").alias("tag"), F.min("label").alias("label"), F.max("n").alias("person_count"))
     band = mine.where(F.col("n") <= max_fanout)
     two = band.where("n >= 2")
@@ -169,21 +190,18 @@ def _level(s: Sources, frontier: DataFrame, max_fanout: int) -> tuple[DataFrame,
         edge_types=F.when(field, F.array(F.lit(FIELD_EDGE))).otherwise(F.col("every_type")), field_key=key, field_keys=F.when(field, union), same_key=same,
         document_ids=F.when(field, F.array_sort(F.array_union("a.document_ids", "b.document_ids"))), confidence=match_confidence(F.coalesce(key, F.col("a.tag")), F.col("a.n"), F.coalesce(same, F.lit(True))),
     )
-    direct = s.direct.where("src <> dst")
     # an edge between two frontier persons is found from both ends, and counts once
-    out = direct.join(at.withColumnRenamed("person", "src"), "src", "left_semi")
-    into = direct.join(at.withColumnRenamed("person", "dst"), "dst", "left_semi").join(at.withColumnRenamed("person", "src"), "src", "left_anti")
+    direct = s.edges_at(at)
     reasons = reasons.unionByName(
-        _reasons(out.unionByName(into), p1=F.least("src", "dst"), p2=F.greatest("src", "dst"), kind=F.lit("direct"), edge_types=F.array("edge_type"), label=F.col("label"), confidence=F.lit(DIRECT_CONFIDENCE))
+        _reasons(direct, p1=F.least("src", "dst"), p2=F.greatest("src", "dst"), kind=F.lit("direct"), edge_types=F.array("edge_type"), label=F.col("label"), confidence=F.lit(DIRECT_CONFIDENCE))
     )
     if s.bridges is None:
         return reasons, hubs
     org = F.col("tag").isin(*BRIDGE_TAGS)
     here = band.where(org).select(F.col("connector").alias("this"), F.col("person").alias("x"), F.col("tag").alias("_tag"), F.col("label").alias("_label"))
-    b = s.bridges.where("src <> dst")
-    b = b.select(F.col("src").alias("this"), F.col("dst").alias("other"), "edge_type", F.col("label").alias("said")).unionByName(b.select(F.col("dst").alias("this"), F.col("src").alias("other"), "edge_type", F.col("label").alias("said")))
-    b = b.join(near.select(F.col("connector").alias("this")), "this", "left_semi").join(near.select(F.col("connector").alias("other")), "other", "left_anti")
-    there = s.members.where(org & (F.col("n") <= max_fanout)).select(F.col("connector").alias("other"), F.col("person").alias("y"), F.col("tag").alias("_tag2"), F.col("label").alias("_label2"))
+    b = cut(s.bridges_at(near))
+    there = s.holders(b.select(F.col("other").alias("connector")).distinct()).where(org & (F.col("n") <= max_fanout))
+    there = there.select(F.col("connector").alias("other"), F.col("person").alias("y"), F.col("tag").alias("_tag2"), F.col("label").alias("_label2"))
     found = here.join(b, "this").join(there, "other").where("x <> y")
     bridged = _reasons(
         found, p1=F.least("x", "y"), p2=F.greatest("x", "y"), kind=F.lit("linked_organisation"), connector=F.col("this"), connector_tag=F.col("_tag"), connector_label=F.col("_label"),
@@ -231,34 +249,63 @@ def person_network(s: Sources, root: str, degree: int = 1, min_confidence: float
     return Network(persons, kept.select("degree", *REASON), hubs.distinct(), truncated)
 
 
+def connection(s: Sources, source: str, target: str, max_degree: int = CONNECTION_CAP, max_persons: int = MAX_PERSONS) -> DataFrame | None:
+    """source, target, connected, confidence, path, truncated, hops of the strongest path in source's network; one row. None where source is no person.
+
+    The network's links stay tables, and so do the paths until the best one is known. hops:
+    the path's links in order. truncated tells that persons were left out by max_persons, so
+    that "not connected" may be wrong.
+    """
+    net = person_network(s, source, max_degree, max_persons=max_persons, cap=max_degree)
+    if net is None:
+        return None
+    found = cut(net.links())
+    best = best_path(found, source, target)
+    ends = F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(i, least(path[i - 1], path[i]) AS p1, greatest(path[i - 1], path[i]) AS p2))"))
+    hops = best.where("size(path) > 1").select(ends.alias("e")).select("e.*").join(found, ["p1", "p2"])
+    hops = hops.agg(F.array_sort(F.collect_list(F.struct("i", "p1", "p2", "degree", "via_count", "confidence", "label"))).alias("hops"))
+    asked = s.direct.sparkSession.createDataFrame([(source, target, net.truncated)], "source string, target string, truncated boolean")
+    row = asked.join(best.drop("hops").withColumnRenamed("vid", "target"), "target", "left").withColumn("k", F.lit(1)).join(hops.withColumn("k", F.lit(1)), "k")
+    none = F.array().cast("array<string>")
+    return row.select("source", "target", F.col("path").isNotNull().alias("connected"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("path", none).alias("path"), "truncated", "hops")
+
+
 def find_connection(s: Sources, source: str, target: str, max_degree: int = CONNECTION_CAP, max_persons: int = MAX_PERSONS) -> dict | None:
-    """The strongest path between two persons of a network of at most max_persons, whose links fit the driver.
+    """`connection` as a client gets it: the path and its links.
 
     An error for one person asked twice, or a target that is no person; None where the source is none.
-    truncated tells that persons were left out, so that "not connected" may be wrong.
     """
     if source == target:
         return {"error": "same_person"}
     s = s.prepared()
     if not s.has_person(target):
         return {"error": "target_not_found"}
-    net = person_network(s, source, max_degree, max_persons=max_persons, cap=max_degree)
-    if net is None:
-        return None
-    rows = {(r.p1, r.p2): r for r in net.links().collect()}
-    found = strongest_path(source, target, [(r.p1, r.p2, r.confidence) for r in rows.values()])
+    found = connection(s, source, target, max_degree, max_persons)
     if found is None:
-        return {"connected": False, "path": [], "links": [], "confidence": 0.0, "truncated": net.truncated, "max_degree_searched": max_degree}
-    hops = [rows[min(a, b), max(a, b)] for a, b in zip(found[0], found[0][1:], strict=False)]
-    return {"connected": True, "path": found[0], "links": [h.asDict() for h in hops], "confidence": found[1], "truncated": net.truncated}
+        return None
+    r = found.first()
+    if not r.connected:
+        return {"connected": False, "path": [], "links": [], "confidence": 0.0, "truncated": r.truncated, "max_degree_searched": max_degree}
+    hops = [{k: v for k, v in h.asDict().items() if k != "i"} for h in r.hops]
+    return {"connected": True, "path": r.path, "links": hops, "confidence": r.confidence, "truncated": r.truncated}
 
 
 def attributes(s: Sources, persons: DataFrame | None = None, tags: tuple[str, ...] = EXPANDABLE_TAGS) -> DataFrame:
-    """person, connector, tag, label, edge_type, shared_with: what persons(vid), or all, own of the tags, and who else does.
+    """person, connector, tag, label, edge_type, n, shared_with: what persons(vid), or all, own of the tags, and who else does: everybody, in order.
 
-    Others are listed up to the fan-out; beyond it shared_with is null and n tells how many there are.
+    That is what one asks of a few persons. For all persons at once `holders` has the same in as many
+    rows as there are owners, where a connector of n owners would be told n times here.
     """
+    s = s.prepared()
+    mine = s.held_by(persons.select(F.col("vid").alias("person"))) if persons is not None else s.members
+    mine = mine.where(F.col("tag").isin(*tags))
+    near = mine.select("connector").distinct()
+    every = (s.holders(near) if persons is not None else mine).groupBy("connector").agg(F.sort_array(F.collect_set("person")).alias("_all"))
+    return mine.join(every, "connector").select("person", "connector", "tag", "label", F.col("edge_types")[0].alias("edge_type"), "n", F.array_except("_all", F.array("person")).alias("shared_with"))
+
+
+def holders(s: Sources, tags: tuple[str, ...] = EXPANDABLE_TAGS) -> DataFrame:
+    """connector, tag, label, person, representative, n: all owners of connectors with the tags, each with the least owner; no hub is left out."""
     own = s.prepared().members.where(F.col("tag").isin(*tags))
-    mine = own if persons is None else own.join(persons.select(F.col("vid").alias("person")), "person", "left_semi")
-    few = own.where(F.col("n") <= MAX_FANOUT).join(mine.select("connector").distinct(), "connector", "left_semi").groupBy("connector").agg(F.sort_array(F.collect_set("person")).alias("_all"))
-    return mine.join(few, "connector", "left").select("person", "connector", "tag", "label", F.col("edge_types")[0].alias("edge_type"), "n", F.array_except("_all", F.array("person")).alias("shared_with"))
+    least = own.groupBy("connector").agg(F.min("person").alias("representative"))
+    return own.join(least, "connector").select("connector", "tag", "label", "person", "representative", "n")

@@ -7,14 +7,11 @@ max_fanout * (max_fanout - 1) / 2 pairs at most, whatever the input.
 
 from __future__ import annotations
 
-import heapq
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.scoring import match_confidence, noisy_or
-from graphloom.operators.lineage import cut
+from graphloom.operators.lineage import cut, discard
 from graphloom.schema import BRIDGE_CONFIDENCE, DEGREE_CAP, DIRECT_CONFIDENCE, MAX_FANOUT
 
 
@@ -90,21 +87,32 @@ def person_degrees(found: DataFrame, root: str, degree: int, cap: int = DEGREE_C
     return seen
 
 
-def strongest_path(source: str, target: str, rows: list[tuple[str, str, float]]) -> tuple[list[str], float] | None:
-    """The path of greatest confidence over a bounded network's links; then fewest hops, then least ids."""
-    near: dict[str, list[tuple[str, float]]] = {}
-    for a, b, c in rows:
-        near.setdefault(a, []).append((b, c))
-        near.setdefault(b, []).append((a, c))
-    heap, done = [(0.0, 0, source, [source])], set()
-    while heap:
-        cost, hops, at, path = heapq.heappop(heap)
-        if at == target:
-            return path, math.exp(-cost)
-        if at in done:
-            continue
-        done.add(at)
-        for other, c in near.get(at, ()):
-            if other not in done:
-                heapq.heappush(heap, (cost - math.log(max(c, 1e-9)), hops + 1, other, [*path, other]))
-    return None
+def best_path(found: DataFrame, source: str, target: str) -> DataFrame:
+    """vid (the target), confidence, hops, path: the path of greatest product of confidence over links found(p1, p2, confidence); then fewest hops, then least ids. No row without a path.
+
+    Labels are corrected in rounds: what a round improves goes one link further, and what is
+    weaker than the target's best so far goes nowhere. A label loses or keeps confidence and gains a hop with
+    each link, so the labels that no link improves are the best ones, whatever the order. A
+    confidence of 0 counts as the least above it, so that it still connects.
+    """
+    c = F.greatest("confidence", F.lit(1e-9)).alias("c")
+    both = cut(found.select(F.col("p1").alias("a"), F.col("p2").alias("b"), c).unionByName(found.select(F.col("p2").alias("a"), F.col("p1").alias("b"), c)))
+    kind = "vid string, l struct<c: double, hops: int, path: array<string>>"
+    labels = frontier = found.sparkSession.createDataFrame([(source, (-1.0, 0, [source]))], kind)
+    bound = 0.0
+    while True:
+        step = frontier.where(F.col("vid") != target).join(both, F.col("vid") == F.col("a"))
+        label = F.struct((F.col("l.c") * F.col("c")).alias("c"), (F.col("l.hops") + 1).alias("hops"), F.concat("l.path", F.array("b")).alias("path"))
+        step = step.select(F.col("b").alias("vid"), label.alias("l")).where(F.col("l.c") <= bound)
+        best = step.groupBy("vid").agg(F.min("l").alias("l"))
+        old = labels.select(F.col("vid").alias("_v"), F.col("l").alias("_l"))
+        better = cut(best.join(old, F.col("vid") == F.col("_v"), "left").where(F.col("_v").isNull() | (F.col("l") < F.col("_l"))).select("vid", "l"))
+        if better.isEmpty():
+            break
+        before, gone = labels, frontier
+        labels = cut(labels.join(better, "vid", "left_anti").unionByName(better))
+        discard(before, gone)
+        frontier = better
+        at = labels.where(F.col("vid") == target).select("l.c").first()
+        bound = at[0] if at else 0.0
+    return labels.where(F.col("vid") == target).select("vid", (-F.col("l.c")).alias("confidence"), F.col("l.hops").alias("hops"), F.col("l.path").alias("path"))

@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import PropertyGraph
-from graphloom.sinks import graph_store
+from graphloom.operators.network import Sources
+from graphloom.sinks import adjacency, graph_store
+
+#: Names of the adjacencies that a session has stored: by kind and the files they come from.
+_stored: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, kind: str, made: Callable[[], Sources]) -> adjacency.Stored:
+    """The adjacency of a kind over the tables' files as they are now: stored when a session first asks for it, then opened."""
+    files = []
+    for name in ("customer", "orders", "lineitem"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        files += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+    key = (spark.sparkContext.applicationId, kind, *files)
+    if key not in _stored:
+        _stored[key] = f"graphloom_{kind}_{len(_stored)}"
+        try:
+            adjacency.store(made(), _stored[key])
+        except Exception:
+            del _stored[key]
+            raise
+    return adjacency.opened(spark, _stored[key])
+
+
 def _id(prefix: str, *columns: str):
     return F.concat(F.lit(prefix), F.concat_ws(":", *[F.col(c).cast("string") for c in columns]))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,12 @@ from graphloom.operators import network as N
 from graphloom.operators import projection as P
 from graphloom.operators import resolution as R
 from graphloom.operators import views
+from graphloom.operators.lineage import scratch
 from graphloom.operators.graph import PropertyGraph
 from graphloom.plans import driver_graph as D
 from graphloom.plans.queries import _DR, _E, _L, _S, _U, _V, query
 from graphloom.sinks import catalog, graph_store
-from graphloom.sources import csv_import
+from graphloom.sources import csv_import, csv_profile
 
 _ALL = 2_000_000_000  # persons: no truncation
 
@@ -25,10 +28,16 @@ _ALL = 2_000_000_000  # persons: no truncation
 
 
 def _sources(spark, sf, bridges: bool = False) -> N.Sources:
-    direct = D.direct_edges(spark, sf).withColumn("edge_type", F.lit("RELATED_TO"))
-    between = D.bridge_edges(spark, sf).withColumn("edge_type", F.lit("PAYS")) if bridges else None
-    persons = D.table(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("vid"))
-    return N.Sources(D.offer_owners(spark, sf), direct, between, persons)
+    """Customers, the offers they share, and how orders and line numbers connect them, stored by buckets once a session."""
+
+    def made() -> N.Sources:
+        direct = D.direct_edges(spark, sf).withColumn("edge_type", F.lit("RELATED_TO"))
+        between = D.bridge_edges(spark, sf).withColumn("edge_type", F.lit("PAYS"))
+        persons = D.table(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("vid"))
+        return N.Sources(D.offer_owners(spark, sf), direct, between, persons)
+
+    found = D.stored(spark, sf, "offers", made)
+    return found if bridges else replace(found, bridges=None)
 
 
 def _links(net: N.Network) -> DataFrame:
@@ -80,8 +89,11 @@ SELECT p1, p2, degree, count(*) AS via_count, round(1 - product(1 - confidence),
 
 
 def _field_sources(spark, sf, direct: bool = False) -> N.Sources:
-    g = D.field_graph(spark, sf, direct)
-    return N.sources(g.vertices, g.edges)
+    def made() -> N.Sources:
+        g = D.field_graph(spark, sf, direct)
+        return N.sources(g.vertices, g.edges)
+
+    return D.stored(spark, sf, "fields_and_orders" if direct else "fields", made)
 
 
 @query(_network_sql(_F, "fo", False, 2))
@@ -107,33 +119,28 @@ def direct_connection(spark, sf):
     return at.orderBy("target").limit(1).select(F.lit("c:1").alias("source"), "target", "confidence", "via_count")
 
 
-_MOST = 2_000  # persons of a network whose links a path search may hold
+_BEST = f"""net AS MATERIALIZED ({_network_sql(_S + ", " + _DR, "o", True, 2)}), n AS MATERIALIZED (SELECT p1 AS a, p2 AS b, greatest(confidence, 1e-9) AS c FROM net UNION ALL SELECT p2, p1, greatest(confidence, 1e-9) FROM net),
+t AS (SELECT max(b) AS vid FROM n WHERE b <> 'c:1' AND b NOT IN (SELECT b FROM n WHERE a = 'c:1')),
+w(vid, l) USING KEY (vid) AS (SELECT 'c:1', {{'c': -1.0::DOUBLE, 'h': 0, 'p': ['c:1']}} UNION SELECT vid, l FROM (SELECT n.b AS vid, min({{'c': w.l.c * n.c, 'h': w.l.h + 1, 'p': list_append(w.l.p, n.b)}}) AS l FROM w JOIN n ON n.a = w.vid GROUP BY n.b) AS x
+WHERE NOT EXISTS (SELECT 1 FROM recurring.w AS r WHERE r.vid = x.vid AND r.l <= x.l))"""
 
 
-@query(
-    f"""WITH RECURSIVE net AS MATERIALIZED ({_network_sql(_S + ", " + _DR, "o", True, 2)}), n AS MATERIALIZED (SELECT p1 AS a, p2 AS b, confidence AS c FROM net UNION ALL SELECT p2, p1, confidence FROM net),
-t AS (SELECT max(b) AS vid FROM n WHERE b <> 'c:1' AND b NOT IN (SELECT b FROM n WHERE a = 'c:1')),
-w(vid, conf) USING KEY (vid) AS (SELECT 'c:1', 1.0::DOUBLE UNION SELECT n.b, max(w.conf * n.c) FROM w JOIN n ON n.a = w.vid LEFT JOIN recurring.w AS r ON r.vid = n.b WHERE w.conf * n.c > coalesce(r.conf, 0) GROUP BY n.b)
-SELECT 'c:1' AS source, vid AS target, true AS connected, round(conf, 9) AS confidence FROM w JOIN t USING (vid)"""
-)
+@query(f"WITH RECURSIVE {_BEST} SELECT 'c:1' AS source, vid AS target, true AS connected, round(-l.c, 9) AS confidence, array_to_string(l.p, ' ') AS path FROM w JOIN t USING (vid)")
 def strongest_connection(spark, sf):
-    """How strong the best path is from c:1 to the last person, by id, two links away."""
-    s = _sources(spark, sf).prepared()
-    far = N.person_network(s, "c:1", 2, max_persons=_MOST).persons.where("degree = 2").agg(F.max("vid")).first()[0]
-    rows = []
-    if far:
-        found = N.find_connection(s, "c:1", far, 2, max_persons=_MOST)
-        rows = [("c:1", far, found["connected"], round(found["confidence"], 9))]
-    return spark.createDataFrame(rows, "source string, target string, connected boolean, confidence double")
+    """The best path, and how strong it is, from c:1 to the last person, by id, two links away, over the whole network."""
+    s = _sources(spark, sf)
+    far = N.person_network(s, "c:1", 2, max_persons=_ALL).persons.where("degree = 2").agg(F.max("vid")).first()[0]
+    if far is None:
+        return spark.createDataFrame([], "source string, target string, connected boolean, confidence double, path string")
+    found = N.connection(s, "c:1", far, 2, max_persons=_ALL)
+    return found.select("source", "target", "connected", F.round("confidence", 9).alias("confidence"), F.array_join("path", " ").alias("path"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_BEST} SELECT i - 1 AS hop, l.p[i] AS vid FROM (SELECT l, unnest(range(1, len(l.p) + 1)) AS i FROM w JOIN t USING (vid))")
 def strongest_path(spark, sf):
-    """The strongest path from c:1 to the last person, by id, two links away."""
-    s = _sources(spark, sf).prepared()
-    far = N.person_network(s, "c:1", 2).persons.where("degree = 2").agg(F.max("vid")).first()[0]
-    found = N.find_connection(s, "c:1", far or "c:1", 2) or {}
-    return spark.createDataFrame([(found.get("connected"), ">".join(found.get("path", [])), found.get("confidence"), found.get("truncated"))], "connected boolean, path string, confidence double, truncated boolean")
+    """The persons on that path, in order."""
+    path = strongest_connection(spark, sf).select(F.split("path", " ").alias("p"))
+    return path.select(F.posexplode("p").alias("hop", "vid")).select(F.col("hop").cast("long").alias("hop"), "vid")
 
 
 @query(f"WITH {_S}, {_L.format('s')} SELECT vid, count(*) AS n, max(confidence) AS strongest FROM (SELECT p1 AS vid, confidence FROM l UNION ALL SELECT p2, confidence FROM l) GROUP BY vid")
@@ -228,6 +235,30 @@ def delete_cascade(spark, sf):
     return graph_store.delete_vertices(g.vertices, g.edges, gone, with_edges=True)[1].select("src", "dst", "edge_type")
 
 
+@query(
+    """SELECT c_custkey::VARCHAR AS id, 'say "' || c_name || '", please' AS said, c_mktsegment || chr(10) || c_name || CASE WHEN c_custkey % 7 = 0 THEN chr(10) || chr(10) || '"' ELSE '' END AS lines FROM customer"""
+)
+def csv_quoted_rows(spark, sf):
+    """Customers written as CSV with delimiters, quotes and line breaks within fields, read again from several files and splits."""
+    c = D.table(spark, sf, "customer")
+    said = F.concat(F.lit('say "'), "c_name", F.lit('", please'))
+    broken = F.concat("c_mktsegment", F.lit("\n"), "c_name", F.when(F.col("c_custkey") % 7 == 0, '\n\n"').otherwise(""))
+    path = scratch(spark, "csv")
+    c.select(F.col("c_custkey").alias("id"), said.alias("said"), broken.alias("lines")).repartition(3).write.csv(path, header=True, quote='"', escape='"')
+    return csv_profile.read_csv(spark, path, ",")
+
+
+_RATIOS = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, count(DISTINCT {c}) / count(*) AS r FROM lineitem" for i, c in enumerate(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")))
+
+
+@query(f"WITH v AS (SELECT c, row_number() OVER (ORDER BY round(r, 4) DESC, i) AS k FROM ({_RATIOS}) WHERE r < 0.98) SELECT max(c) FILTER (k = 1) AS source, max(c) FILTER (k = 2) AS target, NULL::VARCHAR AS type, NULL::VARCHAR AS id FROM v")
+def csv_structure(spark, sf):
+    """The roles of a table's columns, whose headers say nothing: the two that vary most are its ends."""
+    rows = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    found = csv_profile.profile(rows).withColumn("i", F.array_position(F.array(*[F.lit(c) for c in rows.columns]), F.col("column")))
+    return csv_import.assigned(found.select("i", "column", "distinct_ratio"))
+
+
 @query("SELECT o_custkey::VARCHAR AS src, o_orderstatus AS dst, 'ORDERS' AS edge_type, count(*) - 1 AS copies FROM orders GROUP BY ALL")
 def csv_import_edges(spark, sf):
     rows = D.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("o_custkey"), "o_orderstatus")

@@ -181,14 +181,24 @@ def person_degrees(spark, sf):
 
 
 @query(
-    f"""WITH {_N} SELECT a.person, a.connector, 'company' AS tag, coalesce(string_agg(b.person, ',' ORDER BY b.person) FILTER (b.person <> a.person), '') AS shared_with FROM o AS a JOIN o AS b USING (connector) JOIN n USING (connector) WHERE n <= 25 GROUP BY ALL"""
+    f"""WITH {_N} SELECT a.person, a.connector, 'company' AS tag, coalesce(string_agg(b.person, ',' ORDER BY b.person) FILTER (b.person <> a.person), '') AS shared_with FROM o AS a JOIN o AS b USING (connector) GROUP BY ALL"""
 )
 def attributes_shared_with(spark, sf):
     """What each person owns and who else does."""
     persons = D.table(spark, sf, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey")).alias("vid"))
     none = spark.createDataFrame([], "src string, dst string, edge_type string")
     found = network.attributes(network.Sources(D.offer_owners(spark, sf), none, persons=persons), tags=("company",))
-    return found.where("shared_with IS NOT NULL").select("person", "connector", "tag", F.array_join("shared_with", ",").alias("shared_with"))
+    return found.select("person", "connector", "tag", F.array_join("shared_with", ",").alias("shared_with"))
+
+
+@query(
+    "WITH w AS (SELECT DISTINCT 'n:' || c_nationkey AS connector, 'c:' || c_custkey AS person FROM customer) SELECT connector, person, min(person) OVER (PARTITION BY connector) AS representative, count(*) OVER (PARTITION BY connector) AS n FROM w"
+)
+def attribute_holders(spark, sf):
+    """All customers of a nation, far beyond any fan-out, each with the least of them."""
+    own = D.table(spark, sf, "customer").select(F.concat(F.lit("n:"), "c_nationkey").alias("connector"), F.lit("country").alias("tag"), F.concat(F.lit("c:"), "c_custkey").alias("person"))
+    none = spark.createDataFrame([], "src string, dst string, edge_type string")
+    return network.holders(network.Sources(own, none), ("country",)).select("connector", "person", "representative", "n")
 
 
 # ---- values, keys, resolution, risk

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import heapq
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from os.path import commonprefix
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import coerce
 from graphloom.sinks.graph_store import first_occurrences
-from graphloom.sources.csv_profile import numbered, profile, read_csv
+from graphloom.sources.csv_profile import numbered, profile, read_rows
 
 # Header parts that tell the two ends of an edge, types, ids and labels.
 PAIRS = (("source", "target"), ("src", "dst"), ("from", "to"), ("sender", "receiver"), ("start", "end"), ("node1", "node2"), ("entity1", "entity2"), ("person1", "person2"))
@@ -48,41 +47,64 @@ def _plain(text: str, fallback: str) -> str:
     return f"_{s}" if s[0].isdigit() else s
 
 
-def _proposals(columns: list[Column]) -> Iterator[tuple[tuple, int, int]]:
-    """(rank, source, target) of each pair of columns that may be an edge's ends; the least rank is the best.
+#: What a header says of its column: (role, how the header must match, the words, weight). A pair's two
+#: ends share a weight; the heavier rule wins, then the column further left.
+RULES = (
+    *(("source", "within", (a,), len(PAIRS) - k) for k, (a, _) in enumerate(PAIRS)),
+    *(("target", "within", (b,), len(PAIRS) - k) for k, (_, b) in enumerate(PAIRS)),
+    ("type", "within", TYPE_HINTS, 1),
+    ("id", "whole", ID_HINTS, 1),
+)
 
-    A header pair ranks by its place in PAIRS and counts only if each of its two parts is in
-    one header alone (a header with both is the source's). Behind all of these come the two
-    columns that vary most without identifying rows; of equally varied ones, the first.
+
+def assigned(columns: DataFrame) -> DataFrame:
+    """source, target, type, id: the columns of each role in a table, one row. Roles that no column has are null.
+
+    columns(i, column, distinct_ratio): place, header, share of distinct values. All rules are
+    scored for all columns in one projection. A pair of ends needs one column for either end (a header
+    that has both words is the source's); without a pair, ends are the two columns that vary most without telling
+    rows apart; without these, the table has an id: a header that says so, or what varies most.
     """
-    names = [c.name.lower() for c in columns]
-    holding = {part: {i for i, n in enumerate(names) if part in n} for pair in PAIRS for part in pair}
-    for rank, (source, target) in enumerate(PAIRS):
-        ends = holding[source], holding[target] - holding[source]
-        if [len(e) for e in ends] == [1, 1]:
-            yield (rank,), *(i for e in ends for i in e)
-    usable = {i: c.distinct_ratio for i, c in enumerate(columns) if 0 < c.distinct_ratio < (0.9 + 1e-9 if names[i] in ID_HINTS else NEAR_UNIQUE)}
-    if len(usable) > 1:
-        yield (len(PAIRS),), *heapq.nsmallest(2, usable, key=lambda i: (-usable[i], i))
-
-
-def infer(columns: list[Column], stem: str) -> Structure:
-    """An edge list if some pair of columns is proposed as ends, else a table of nodes. ValueError without columns."""
+    head = F.lower("column")
+    rules = F.array(*[F.struct(F.lit(role).alias("role"), _matches(head, how, words).alias("fits"), F.lit(weight).alias("weight")) for role, how, words, weight in RULES])
+    scored = columns.select("i", "column", "distinct_ratio", F.filter(rules, lambda r: r["fits"]).alias("rules"))
+    weights = lambda role: F.transform(F.filter("rules", lambda r: r["role"] == role), lambda r: r["weight"])
+    scored = scored.select("i", "column", "distinct_ratio", weights("source").alias("source"), weights("target").alias("target"), (F.size(weights("type")) > 0).alias("typed"), (F.size(weights("id")) > 0).alias("named"))
+    # Ends by header: a weight that one column has as source and one other as target.
+    sides = scored.select("i", "column", F.explode("source").alias("weight"), F.lit(True).alias("left")).unionByName(scored.select("i", "column", F.explode(F.array_except("target", "source")).alias("weight"), F.lit(False).alias("left")))
+    one = lambda left: F.when(F.count_if(F.col("left") == left) == 1, F.max(F.when(F.col("left") == left, F.col("column"))))
+    pairs = sides.groupBy("weight").agg(one(True).alias("source"), one(False).alias("target")).where("source IS NOT NULL AND target IS NOT NULL")
+    by_name = pairs.agg(F.max_by(F.struct("source", "target"), "weight").alias("named_ends"))
+    # Ends by variety.
+    most = F.when(F.col("named"), F.col("distinct_ratio") <= 0.9).otherwise(F.col("distinct_ratio") < NEAR_UNIQUE)
+    varied = scored.where((F.col("distinct_ratio") > 0) & most).agg(F.array_sort(F.collect_list(F.struct((-F.col("distinct_ratio")).alias("r"), "i", "column"))).alias("v"))
+    rest = scored.agg(
+        F.array_sort(F.collect_list(F.when(F.col("typed"), F.struct("i", "column")))).alias("types"),
+        F.min(F.struct((~F.col("named")).alias("n"), F.when(~F.col("named"), -F.col("distinct_ratio")).alias("r"), F.col("i"), F.col("column"))).alias("key"),
+    )
+    found = by_name.withColumn("k", F.lit(1)).join(varied.withColumn("k", F.lit(1)), "k").join(rest.withColumn("k", F.lit(1)), "k")  # a row each
+    ends = F.coalesce("named_ends", F.when(F.size("v") > 1, F.struct(F.col("v")[0]["column"].alias("source"), F.col("v")[1]["column"].alias("target"))))
+    found = found.select(ends.alias("ends"), "types", "key")
+    spare = F.filter("types", lambda t: ~t["column"].isin(F.col("ends.source"), F.col("ends.target")))
+    return found.select("ends.source", "ends.target", F.when(F.col("ends").isNotNull(), F.get(spare, F.lit(0))["column"]).alias("type"), F.when(F.col("ends").isNull(), F.col("key.column")).alias("id"))
+
+
+def _matches(head, how: str, words: tuple[str, ...]):
+    return head.isin(*words) if how == "whole" else reduce(or_, (head.contains(w) for w in words))
+
+
+def infer(spark: SparkSession, columns: list[Column], stem: str) -> Structure:
+    """An edge list if two columns can be its ends, else a table of nodes. ValueError without columns."""
     if not columns:
         raise ValueError("a file without columns has no structure")
-    best = min(_proposals(columns), default=None)
-    if best is None:
-        hinted = {i: 1.0 for i, c in enumerate(columns) if c.name.lower() in ID_HINTS}
-        scores = hinted or {i: c.distinct_ratio for i, c in enumerate(columns)}
-        key = min(scores, key=lambda i: (-scores[i], i))
-        return Structure(_plain(stem, "entity"), tuple(c.name for i, c in enumerate(columns) if i != key), id=columns[key].name)
-    _, *at = best
-    ends = tuple(columns[i].name for i in at)
-    spare = [c.name for i, c in enumerate(columns) if i not in at]
-    typed_by = next(filter(re.compile("|".join(TYPE_HINTS), re.I).search, spare), None)
-    stems = commonprefix([e.lower() for e in ends]).strip("_ ")
-    tag = _plain(stems, "entity") if len(stems) >= MIN_TAG else "entity"
-    return Structure(tag, tuple(n for n in spare if n != typed_by), ends=ends, type=typed_by, edge_type=_plain(stem, "related_to").upper())
+    table = spark.createDataFrame([(i, c.name, float(c.distinct_ratio)) for i, c in enumerate(columns)], "i int, column string, distinct_ratio double")
+    role = assigned(table).first()
+    names = [c.name for c in columns if c.name not in (role.source, role.target, role.type, role.id)]
+    if role.id:
+        return Structure(_plain(stem, "entity"), tuple(names), id=role.id)
+    shared = commonprefix([role.source.lower(), role.target.lower()]).strip("_ ")
+    tag = _plain(shared, "entity") if len(shared) >= MIN_TAG else "entity"
+    return Structure(tag, tuple(names), ends=(role.source, role.target), type=role.type, edge_type=_plain(stem, "related_to").upper())
 
 
 def label_column(columns: list[Column]) -> str | None:
@@ -130,7 +152,7 @@ def run(rows: DataFrame, stem: str, structure: Structure | None = None) -> Impor
     give it for rows that don't come straight from files.
     """
     columns = columns_of(rows.drop("_row"))
-    s = structure or infer(columns, stem)
+    s = structure or infer(rows.sparkSession, columns, stem)
     t = typed(rows if "_row" in rows.columns else numbered(rows), columns)
     text = lambda n: F.col(f"`{n}`").cast("string")
     props = F.map_filter(F.create_map(*[x for n in s.properties for x in (F.lit(n), text(n))]), lambda _, v: v.isNotNull()) if s.properties else F.expr("map()").cast("map<string,string>")
@@ -147,4 +169,4 @@ def run(rows: DataFrame, stem: str, structure: Structure | None = None) -> Impor
 
 
 def import_csv(spark: SparkSession, path: str, sep: str | None = None) -> Import:
-    return run(read_csv(spark, path, sep), path.rsplit("/", 1)[-1].rsplit(".", 1)[0])
+    return run(read_rows(spark, path, sep), path.rsplit("/", 1)[-1].rsplit(".", 1)[0])

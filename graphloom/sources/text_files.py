@@ -32,8 +32,11 @@ def source_type(filename: str, readers: dict = READERS) -> str:
     raise ValueError(f"unsupported file type: {filename}")
 
 
-def read_files(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """source, kind, text, error of each file: text, or what the extension's reader makes of it. Files that can't be read have an error."""
+def read_files(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+    """source, kind, text, error of each file: text, or what the extension's reader makes of it. Files that can't be read have an error.
+
+    Texts are whole unless max_chars (such as MAX_CHARS) is given.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     readers = dict(READERS)
 
@@ -52,23 +55,35 @@ def read_files(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> Da
     return f.mapInPandas(run, "source string, kind string, text string, error string")
 
 
-def table_text(rows: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_TABLE_CHARS) -> DataFrame:
-    """text, hint of the first rows of a table of strings with _row: a line "[row n] column=value; ..." each, without blanks. One row."""
+def table_texts(rows: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """part, text, hint of a table of strings with _row: a line "[row n] column=value; ..." for each row, without blanks.
+
+    A text has the lines of max_rows rows, so that all rows are in some text and none grows with the table.
+    """
     names = [c for c in rows.columns if c != "_row"]
     cell = lambda c: F.when(F.trim(F.col(f"`{c}`")) != "", F.concat(F.lit(c + LINE[2]), F.col(f"`{c}`")))
     line = F.concat(F.lit(LINE[0]), F.col("_row").cast("string"), F.lit(LINE[1]), F.concat_ws(LINE[3], *[cell(c) for c in names]))
-    some = rows.select("_row", line.alias("line")).orderBy("_row").limit(max_rows)
-    one = some.agg(F.array_sort(F.collect_list(F.struct("_row", "line"))).alias("lines"))
-    text = F.substring(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 1, max_chars)
+    part = F.floor((F.col("_row") - 1) / max_rows).cast("long").alias("part")
+    parts = rows.select(part, "_row", line.alias("line")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("_row", "line"))).alias("lines"))
     said = F.concat(F.lit(f"{HINT[0]}{names}{HINT[1]}"), F.size("lines").cast("string"), F.lit(HINT[2]))
-    return one.select(text.alias("text"), said.alias("hint"))
+    return parts.select("part", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"), said.alias("hint"))
+
+
+def table_text(rows: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_TABLE_CHARS) -> DataFrame:
+    """text, hint of the first max_rows rows of a table, max_chars of them: what a prompt takes. `table_texts` has all rows."""
+    first = table_texts(rows.where(F.col("_row") <= max_rows), max_rows)
+    return first.select(F.substring("text", 1, max_chars).alias("text"), "hint")
+
 
+def read_texts(spark: SparkSession, path: str, max_chars: int | None = None) -> DataFrame:
+    """source, text of each text file; bytes that aren't UTF-8 are replaced. Other kinds of file are left out.
 
-def read_texts(spark: SparkSession, path: str, max_chars: int = MAX_CHARS) -> DataFrame:
-    """source, text of each text file; bytes that aren't UTF-8 are replaced. Other kinds of file are left out."""
+    Texts are whole unless max_chars is given.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
-    return f.where(kind.isin(*TEXT)).select(F.col("path").alias("source"), F.substring(F.col("content").cast("string"), 1, max_chars).alias("text"))
+    text = F.col("content").cast("string")
+    return f.where(kind.isin(*TEXT)).select(F.col("path").alias("source"), (text if max_chars is None else F.substring(text, 1, max_chars)).alias("text"))
 
 
 def records(rows: DataFrame, source: str) -> DataFrame:

@@ -86,23 +86,23 @@ def test_catalog(spark):
 
 def test_import(spark, tmp_path):
     C = csv_import.Column
-    s = csv_import.infer([C("sender_id", "int", 0.5), C("receiver_id", "int", 0.5), C("relation", "string", 0.1), C("amount", "float", 1.0)], "my file")
+    s = csv_import.infer(spark, [C("sender_id", "int", 0.5), C("receiver_id", "int", 0.5), C("relation", "string", 0.1), C("amount", "float", 1.0)], "my file")
     assert (s.ends, s.type, s.edge_type, s.properties) == (("sender_id", "receiver_id"), "relation", "MY_FILE", ("amount",))
-    s = csv_import.infer([C("person_a", "string", 0.6), C("person_b", "string", 0.8), C("since", "int", 0.6)], "friends")
+    s = csv_import.infer(spark, [C("person_a", "string", 0.6), C("person_b", "string", 0.8), C("since", "int", 0.6)], "friends")
     assert (s.ends, s.tag, s.properties) == (("person_b", "person_a"), "person", ("since",))
-    s = csv_import.infer([C("x", "string", 0.5), C("y", "string", 0.5), C("z", "string", 0.5)], "9 lives")
+    s = csv_import.infer(spark, [C("x", "string", 0.5), C("y", "string", 0.5), C("z", "string", 0.5)], "9 lives")
     assert (s.ends, s.tag, s.edge_type) == (("x", "y"), "entity", "_9_LIVES")
-    s = csv_import.infer([C("source", "string", 1.0), C("target", "string", 1.0), C("relationship", "string", 0.3), C("since", "int", 0.9)], "calls")
+    s = csv_import.infer(spark, [C("source", "string", 1.0), C("target", "string", 1.0), C("relationship", "string", 0.3), C("since", "int", 0.9)], "calls")
     assert (s.ends, s.type, s.properties) == (("source", "target"), "relationship", ("since",))
     with pytest.raises(ValueError):
-        csv_import.infer([], "none")
-    s = csv_import.infer([C("id", "int", 1.0), C("full name", "string", 1.0)], "people")
+        csv_import.infer(spark, [], "none")
+    s = csv_import.infer(spark, [C("id", "int", 1.0), C("full name", "string", 1.0)], "people")
     assert (s.id, s.tag) == ("id", "people")
     (tmp_path / "people.csv").write_text("id,name,age\n1,Ann,30\n2,Bob,x\n1,Again,5\n")
     made = csv_import.import_csv(spark, str(tmp_path / "people.csv"))
     assert made.structure.id == "id" or made.structure.ends
     s = csv_import.Structure("people", ("name", "age"), id="id")
-    made = csv_import.run(csv_import.read_csv(spark, str(tmp_path / "people.csv")), "people", s)
+    made = csv_import.run(csv_import.read_rows(spark, str(tmp_path / "people.csv")), "people", s)
     assert rows(made.vertices, "vid", "label", "copies") == {("1", "Ann", 1), ("2", "Bob", 0)}
     assert made.report()["rows"] == 3 and made.report()["duplicates"] == 1
 

@@ -405,7 +405,7 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         text_files.source_type("x.docx")
     (tmp_path / "p.csv").write_text("name,age,entity_type\nAnn,30,person\nBob,,person\nZed,1,Car \n")
-    rows_ = csv_profile.numbered(csv_profile.read_csv(spark, str(tmp_path / "p.csv")))
+    rows_ = csv_profile.read_rows(spark, str(tmp_path / "p.csv"))
     assert rows(rows_, "_row", "name") == {(1, "Ann"), (2, "Bob"), (3, "Zed")}
     said = text_files.table_text(rows_).first()
     assert said.text.split("\n")[:2] == ["[row 1] name=Ann; age=30; entity_type=person", "[row 2] name=Bob; entity_type=person"] and said.hint.startswith("CSV with columns: ['name', 'age', 'entity_type']. 3 rows")
@@ -418,11 +418,11 @@ def test_files(spark, tmp_path):
 def test_import_lines_and_first_rows(spark, tmp_path):
     lines = [f"{i % 40},{'x' if i == 7 else i},n{i}" for i in range(400)]
     (tmp_path / "t.csv").write_text("id,age,name\n" + "\n".join(lines) + "\n")
-    made = csv_import.run(csv_profile.read_csv(spark, str(tmp_path / "t.csv")).repartition(1), "t", csv_import.Structure("t", ("age", "name"), id="id"))
+    made = csv_import.run(csv_profile.read_rows(spark, str(tmp_path / "t.csv")).repartition(1), "t", csv_import.Structure("t", ("age", "name"), id="id"))
     assert {r.vid: r.label for r in made.vertices.collect()} == {str(i): f"n{i}" for i in range(40)}
-    typed = csv_import.run(csv_profile.numbered(csv_profile.read_csv(spark, str(tmp_path / "t.csv"))), "t", csv_import.Structure("t", ("age", "name"), id="id"))
+    typed = csv_import.run(csv_profile.read_rows(spark, str(tmp_path / "t.csv")), "t", csv_import.Structure("t", ("age", "name"), id="id"))
     assert typed.report() == {"rows": 400, "errors": 0, "created": 40, "duplicates": 360}
-    wrong = csv_import.typed(csv_profile.numbered(csv_profile.read_csv(spark, str(tmp_path / "t.csv"))), [csv_import.Column("age", "int", 1.0)])
+    wrong = csv_import.typed(csv_profile.read_rows(spark, str(tmp_path / "t.csv")), [csv_import.Column("age", "int", 1.0)])
     assert rows(csv_import.Import(made.vertices, None, wrong, made.structure).errors(), "line", "column") == {(9, "age")}
 
 
