@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ MERGE_RECORD, REVIEW_RECORD = 0.92, 0.70
 AUTO, NEAR, JUDGED = 0.93, 0.75, 0.7
 #: Names of a block that one part of the comparison holds.
 BLOCK_ROWS = 5_000
+#: The similarity from which on names meet by an index.
+INDEXED = 0.6
 
 
 def confidence_gate(confidence: Column) -> Column:
@@ -38,24 +41,82 @@ def _with(df: DataFrame, **kinds: str) -> DataFrame:
 def name_scores(left: DataFrame, right: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """block, x, y, score: the names of left(block, x) and right(block, y) whose token-sort similarity is `least` or more.
 
-    Each distinct name of a block meets each of the other side once. A block is cut into
-    parts of about block_rows names of the right side, each of which meets all names of the
-    left: however large a block, no task holds it. Pairs whose lengths alone rule them out
-    are dropped before they reach Python.
+    Each distinct name of a block is compared with those that `name_candidates` gives it; below INDEXED,
+    where an index rules out little, with all of the block whose lengths allow it. Then a
+    block is cut into parts of about block_rows names of the right side, each of which meets all names of
+    the left: however large a block, no task holds it.
     """
     from graphloom.functions.records import token_sort_ratio
 
     x = left.select("block", sorted_words(F.col("x")).alias("x")).where("x <> ''").distinct()
     y = right.select("block", sorted_words(F.col("y")).alias("y")).where("y <> ''").distinct()
-    largest = y.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = -(-largest // block_rows) or 1
-    x = x.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    y = y.withColumn("_part", F.pmod(F.xxhash64("y"), F.lit(parts)).cast("int"))
-    n, m = F.length("x"), F.length("y")
-    pairs = x.join(y, ["block", "_part"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m))
+    if least >= INDEXED:
+        pairs = name_candidates(x, y, least)
+    else:
+        largest = y.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        parts = -(-largest // block_rows) or 1
+        x = x.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        y = y.withColumn("_part", F.pmod(F.xxhash64("y"), F.lit(parts)).cast("int"))
+        n, m = F.length("x"), F.length("y")
+        pairs = x.join(y, ["block", "_part"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m))
     return pairs.select("block", "x", "y", token_sort_ratio("x", "y").alias("score")).where(F.col("score") >= least)
 
 
+def _grams(text: str, q: int) -> tuple[Column, Column]:
+    """(A text's runs of q characters, those in _runs told apart by number where they are repeated)."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - (q - 1)), lambda i: F.substring(F.col(text), i, F.lit(q)))
+    seen = lambda g, i: F.size(F.filter(F.slice(F.col("_runs"), 1, i), lambda h: h == g)).cast("string")
+    return runs, F.transform("_runs", lambda g, i: F.concat(g, F.lit("\0"), seen(g, i)))
+
+
+def name_candidates(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """block, x, y: a superset of the pairs of x(block, x) and y(block, y) with a similarity of `least` or more, far smaller than all pairs.
+
+    Names of n and m characters that are so alike have L = least * (n + m) / 2 of them in
+    common, in order, and m is at least n * r with r = least / (2 - least). A run of q characters of
+    the one outlives in the other unless one of the n - L that go is in it (q runs each) or one
+    of the m - L that come is put into it (q - 1 runs each). So they share n - q + 1 - q * (n - L) - (q - 1) * (m - L) runs
+    at least, which is least where m is: n * r for single characters, n * (2 * r - 1) - 1 for pairs of characters. Two
+    sets that share so many have one of their rarest in common: of a set, all but that many, and one more. A pair
+    that meets so is counted in full, with its own lengths, and stays if it shares enough.
+    Pairs of characters serve names that are long enough for that; the rest meet by single characters.
+    """
+    r = least / (2 - least)
+    long = math.ceil(2 / (2 * r - 1)) if 2 * r > 1 else None
+    found = None
+    for q in (1, 2):
+        if q == 2 and long is None:
+            continue
+        fits = (lambda c: F.length(c) >= long) if q == 2 else (lambda c: F.lit(True) if long is None else F.length(c) < long / r)
+        sides = []
+        for side, df in (("x", x), ("y", y)):
+            named = df.where(fits(side)).select(F.lit(side).alias("side"), "block", F.col(side).alias("t"))
+            for k in (1, q):
+                runs, told = _grams("t", k)
+                named = named.withColumn("_runs", runs).withColumn("grams" if k == q else "chars", told)
+            sides.append(named.withColumn("chars", F.col("chars") if q == 2 else F.col("grams")).drop("_runs"))
+        every = cut(sides[0].unionByName(sides[1]))
+        tokens = every.select("side", "block", "t", "grams", "chars", F.explode("grams").alias("g"))
+        counts = tokens.groupBy("block", "g").agg(F.count("*").alias("c"))
+        n = F.length("t")
+        shared = n * r if q == 1 else n * (2 * r - 1) - 1
+        most = n - (q - 1) - F.ceil(shared - 1e-9) + 1
+        rank = F.row_number().over(Window.partitionBy("side", "block", "t").orderBy("c", "g"))
+        rare = cut(tokens.join(counts, ["block", "g"]).withColumn("k", rank).where(F.col("k") <= most).select("side", "block", "g", "t", "grams", "chars"))
+        a = rare.where("side = 'x'").select("block", "g", F.col("t").alias("x"), F.col("grams").alias("_x"), F.col("chars").alias("_cx"))
+        b = rare.where("side = 'y'").select("block", "g", F.col("t").alias("y"), F.col("grams").alias("_y"), F.col("chars").alias("_cy"))
+        n, m = F.length("x"), F.length("y")
+        common = least * (n + m) / 2
+        runs = F.greatest(n - 1 - 2 * (n - common) - (m - common), m - 1 - 2 * (m - common) - (n - common))
+        pairs = a.join(b, ["block", "g"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m) - 1e-9).where(F.size(F.array_intersect("_cx", "_cy")) >= common - 1e-9)
+        if q == 2:
+            pairs = pairs.where(F.size(F.array_intersect("_x", "_y")) >= runs - 1e-9)
+        if q == 1 and long is not None:  # two long names meet by pairs of characters
+            pairs = pairs.where(F.least(n, m) < long)
+        found = pairs.select("block", "x", "y") if found is None else found.unionByName(pairs.select("block", "x", "y"))
+    return found.distinct()
+
+
 def fuzzy_candidates(mentions: DataFrame, registry: DataFrame, least: float = CANDIDATE, top: int = CANDIDATES, birth: float = BIRTH, nationality: float = NATION) -> DataFrame:
     """mention, id, score, rank: the top scored_candidates of each mention; equal scores rank by id."""
     rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "id"))
@@ -69,6 +130,8 @@ def scored_candidates(mentions: DataFrame, registry: DataFrame, least: float, bi
     nationality if known. The score is the best token-sort similarity to the name or an
     alias, with a premium for each of the two that is equal and known, at most 1.
     """
+    both = lambda c: c in mentions.columns and c in registry.columns
+    birth, nationality = (p if both(c) else 0.0 for c, p in (("birth", birth), ("nationality", nationality)))
     m = _with(mentions, birth="string", nationality="string").withColumn("_x", sorted_words(F.col("name")))
     r = _with(registry, birth="string", nationality="string", aliases="array<string>")
     named = r.select("id", "type", "birth", "nationality", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_n"))
@@ -111,11 +174,19 @@ def cascade(mentions: DataFrame, registry: DataFrame, similar: DataFrame | None
     mentions and registry as for fuzzy_candidates, with a key if known. similar(mention, id,
     score) are similarities of embeddings (see nearest); adjudicate takes (mention, id,
     score) and returns them with same and confidence. Without a judge, nothing near merges.
-    Names below `least` are no candidates; at 0 all names of a type are held against each other.
+    Names below `least` are no candidates. Names decide from AUTO on, and a judge is asked about mentions whose best
+    name, or some embedding, is NEAR: so only those mentions' names are looked for below that.
     """
     m, r = _with(mentions, key="string"), _with(registry, key="string")
     keyed = m.join(r.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id")), "key").select("mention", "id", F.lit("deterministic").alias("method"), F.lit(1.0).alias("score"))
-    near = cut(fuzzy_candidates(m.join(keyed.select("mention"), "mention", "left_anti"), r, least, 3))
+    open_ = m.join(keyed.select("mention"), "mention", "left_anti")
+    if adjudicate is None:
+        near = cut(fuzzy_candidates(open_, r, max(least, AUTO), 3))
+    else:
+        worth = fuzzy_candidates(open_, r, max(least, NEAR), 1).select("mention")
+        if similar is not None:
+            worth = worth.unionByName(similar.where(F.col("score") >= NEAR).select("mention"))
+        near = cut(fuzzy_candidates(open_.join(worth.distinct(), "mention", "left_semi"), r, least, 3))
     first = near.where("rank = 1")
     done = keyed.unionByName(first.where(F.col("score") >= AUTO).select("mention", "id", F.lit("fuzzy").alias("method"), "score"))
     if adjudicate is not None:

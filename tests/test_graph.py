@@ -89,8 +89,7 @@ def test_degrees_and_strongest_path(spark):
     links = [("a", "b", 0.9), ("b", "c", 0.9), ("a", "c", 0.5), ("c", "d", 0.8)]
     df = spark.createDataFrame(links, "p1 string, p2 string, confidence double")
     assert {(r.vid, r.degree) for r in P.person_degrees(df, "a", 9).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
-    assert P.strongest_path("a", "d", links) == (["a", "b", "c", "d"], pytest.approx(0.648))
-    assert P.strongest_path("a", "z", links) is None
+    assert P.best_path(df, "a", "d").first().path == ["a", "b", "c", "d"] and P.best_path(df, "a", "z").isEmpty()
 
 
 def test_risk_and_gate(spark):
