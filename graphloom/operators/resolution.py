@@ -232,50 +232,151 @@ def wide_identifier_members(holders: DataFrame, max_fanout: int) -> DataFrame:
     return h.join(wide, "connector").select("connector", F.concat(F.lit("shares_"), F.lower("tag")).alias("label"), "representative", "person").distinct()
 
 
-def nearest(queries: DataFrame, rows: DataFrame, top: int, block: int = 2048) -> DataFrame:
+#: Pivots of a vector join, and rows that meet a block of queries in one task.
+PIVOTS, SLICE_ROWS = 32, 50_000
+
+
+def nearest(queries: DataFrame, rows: DataFrame, top: int, block: int = 2048, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """query, id, score, rank: the top cosine neighbours of queries(id, vector) among rows(id, vector), themselves left out.
 
-    Queries meet all rows in blocks of at most `block` vectors, one pass over the rows and one
-    matrix product an Arrow batch each; a batch keeps its top rows of each query, so what is
-    shuffled grows with batches and queries, not with pairs. Vectors without length score 0;
-    null ones are left out. Equal scores rank by id.
+    At most `block` queries go to the rows, which stay where they are: one pass, a matrix product
+    an Arrow batch. More of them meet the rows in the shuffle (`_nearest_by_cells`), whatever their number.
+    Vectors without length score 0; null ones are left out. Equal scores rank by id. Vectors of
+    both sides have one length; ids of each side are distinct.
     """
     spark = rows.sparkSession
     asked = queries.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    blocks = -(-asked.count() // block) or 1
-    if blocks > 1:  # near-equal blocks, by ranges of the ids' hashes
-        asked = cut(asked.withColumn("_h", F.xxhash64("id")))
-        bounds = asked.approxQuantile("_h", [k / blocks for k in range(1, blocks)], 0.0005)
-        asked = asked.withColumn("_b", sum((F.col("_h") > F.lit(b)).cast("int") for b in bounds))
-    else:
-        asked = asked.withColumn("_b", F.lit(0))
-    kind = dict(rows.dtypes)["id"]
     vectors = rows.where("vector IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
-    found = None
-    for b in range(blocks):
-        mine = asked.where(F.col("_b") == b).select("id", "vector").toPandas()
-        if mine.empty:
-            continue
-        one = vectors.mapInArrow(_top_rows(mine["id"].tolist(), np.array(mine["vector"].tolist()), top), f"query {kind}, id {kind}, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
+    kind = dict(rows.dtypes)["id"]
+    few = asked.limit(block + 1).collect()
+    if not few:
         return spark.createDataFrame([], f"query {kind}, id {kind}, score double, rank int")
+    if len(few) <= block:
+        found = vectors.mapInArrow(_top_rows([r.id for r in few], np.array([r.vector for r in few]), top), f"query {kind}, id {kind}, score double")
+    else:
+        found = _nearest_by_cells(asked, vectors, top, block, slice_rows, kind)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def _top_rows(ids: list, vectors: np.ndarray, top: int):
-    def unit(x: np.ndarray) -> np.ndarray:
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+def _nearest_by_cells(asked: DataFrame, vectors: DataFrame, top: int, block: int, slice_rows: int, kind: str) -> DataFrame:
+    """Candidates (query, id, score) of each query, its top among them, in a plan of fixed size.
+
+    Both sides belong to the nearest of PIVOTS rows (those of the least id hashes). What a cell of queries
+    needs is bounded by distances between unit vectors: its `top` neighbours are no further than some
+    rows that are known by their distance to their pivot, so a row goes to that cell only if the triangle through both
+    pivots lets it be as near. Cells of many queries are cut into blocks, cells of many rows into slices; a task
+    holds one block and a batch of rows. Only the pivots and, for each cell, its size, radius and least distances pass the driver.
+    """
+    spark = vectors.sparkSession
+    pivots = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vector").collect()
+    if not pivots:
+        return spark.createDataFrame([], f"query {kind}, id {kind}, score double")
+    p = _unit(np.array([r.vector for r in pivots]))
+    p = p[p.any(1)] if p.any() else p[:1]
+    asked = cut(asked.mapInArrow(_cells(p), f"id {kind}, vector array<double>, cell int, far double"))
+    theirs = cut(vectors.mapInArrow(_cells(p), f"id {kind}, vector array<double>, cell int, far double"))
+    cells = asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
+    # The least distances of each cell: a batch's first, then the first of those. One more, as a query may be among the rows.
+    some = theirs.where(F.col("cell") < len(p)).select("cell", "far").mapInArrow(_least(top + 1), "cell int, far double")
+    ranked = some.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("k") <= top + 1)
+    least = [(r.cell, r.far) for r in ranked.select("cell", "far").collect()]
+    total = theirs.count()
+    between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T))
+    reach, blocks = {}, {}
+    for r in cells:
+        blocks[r.cell] = -(-r.n // block)
+        if r.cell == len(p):  # without length: all rows are alike to them
+            reach[r.cell] = [-1.0] * (len(p) + 1)
+            continue
+        bounds = sorted(r.radius + between[r.cell, j] + d for j, d in least)
+        bound = bounds[top] if len(bounds) > top else 4.0
+        reach[r.cell] = [*(between[r.cell] - r.radius - bound - 1e-6).tolist(), -1.0]  # a row of cell j goes there if it is that far from its pivot
+    slices = max(1, -(-total // slice_rows))
+    cell, deal = F.col("cell"), F.xxhash64("id")
+    count = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])
+    q = asked.select(cell, F.pmod(deal, count[cell]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("side"), "id", "vector")
+    limits = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(n).alias("n"), F.array(*[F.lit(float(x)) for x in reach[i]]).alias("least")) for i, n in blocks.items()])
+    goes = F.filter(limits, lambda c: F.col("far") >= c["least"][F.col("cell")])
+    each = F.flatten(F.transform(goes, lambda c: F.transform(F.sequence(F.lit(0), c["n"] - 1), lambda b: F.struct(c["cell"].alias("cell"), b.alias("block")))))
+    r = theirs.select(F.explode(each).alias("to"), F.pmod(deal, F.lit(slices)).cast("int").alias("slice"), "id", "vector")
+    r = r.select("to.cell", F.col("to.block").cast("int").alias("block"), "slice", F.lit(1).alias("side"), "id", "vector")
+    met = q.unionByName(r).repartition("cell", "block", "slice").sortWithinPartitions("cell", "block", "slice", "side")
+    return met.mapInArrow(_met(top), f"query {kind}, id {kind}, score double")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.stack(column.to_numpy(zero_copy_only=False))
+
+
+def _cells(pivots: np.ndarray):
+    """Each vector's nearest pivot, and how far it is; vectors without length have a cell of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _unit(_matrix(batch.column(1)))
+            square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T
+            cell = square.argmin(1)
+            far = np.sqrt(np.maximum(0, square[np.arange(len(x)), cell]))
+            none = ~x.any(1)
+            cell[none], far[none] = len(pivots), 0.0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(far)], names=["id", "vector", "cell", "far"])
+
+    return run
+
+
+def _least(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, far = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            order = np.lexsort((far, cell))
+            cell, far = cell[order], far[order]
+            place = np.arange(len(cell)) - np.searchsorted(cell, cell)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[place < n], pa.int32()), pa.array(far[place < n])], names=["cell", "far"])
+
+    return run
+
 
+def _met(top: int):
+    """Blocks of queries, each followed by the rows that it meets: the best of each batch, then of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, held, meets = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)], 1)
+            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(starts, starts[1:], strict=False):
+                part, now = batch.slice(a, b - a), tuple(keys[a][:3])
+                if now != key:
+                    key, ids, held, meets = now, [], [], None
+                if keys[a][3] == 0:
+                    ids += part.column(4).to_pylist()
+                    held.append(_matrix(part.column(5)))
+                elif ids:
+                    if meets is None:
+                        meets = _top_rows(ids, np.concatenate(held), top)
+                    yield from meets(iter([part.select([4, 5])]))
+
+    return run
+
+
+def _top_rows(ids: list, vectors: np.ndarray, top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = unit(vectors)
+        asked = _unit(vectors)
         for batch in batches:
             if not batch.num_rows:
                 continue
             theirs = batch.column(0).to_pylist()
-            scores = asked @ unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False))).T
+            scores = asked @ _unit(_matrix(batch.column(1))).T
             at = {x: i for i, x in enumerate(theirs)}
             for q, x in enumerate(ids):  # a query is no neighbour of its own
                 if x in at:

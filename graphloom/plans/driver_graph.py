@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.graph import PropertyGraph
 from graphloom.operators.network import Sources
-from graphloom.sinks import adjacency, graph_store
+from graphloom.sinks import adjacency, graph_store, search_index
 
-#: Names of the adjacencies that a session has stored: by kind and the files they come from.
+#: Names of what a session has stored: by kind and the files it comes from.
 _stored: dict[tuple, str] = {}
 
 
@@ -19,22 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(spark: SparkSession, sf_dir: str, kind: str, made: Callable[[], Sources]) -> adjacency.Stored:
-    """The adjacency of a kind over the tables' files as they are now: stored when a session first asks for it, then opened."""
+def _once(spark: SparkSession, sf_dir: str, kind: str, tables: tuple[str, ...], write: Callable[[str], object]) -> str:
+    """The name under which a session has written something of the tables' files as they are now: written when first asked for."""
     files = []
-    for name in ("customer", "orders", "lineitem"):
+    for name in tables:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
         files += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
     key = (spark.sparkContext.applicationId, kind, *files)
     if key not in _stored:
-        _stored[key] = f"graphloom_{kind}_{len(_stored)}"
-        try:
-            adjacency.store(made(), _stored[key])
-        except Exception:
-            del _stored[key]
-            raise
-    return adjacency.opened(spark, _stored[key])
+        name = f"graphloom_{kind}_{len(_stored)}"
+        write(name)
+        _stored[key] = name
+    return _stored[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, kind: str, made: Callable[[], Sources]) -> adjacency.Stored:
+    """The adjacency of a kind, stored when a session first asks for it, then opened."""
+    return adjacency.opened(spark, _once(spark, sf_dir, kind, ("customer", "orders", "lineitem"), lambda name: adjacency.store(made(), name)))
+
+
+def searched(spark: SparkSession, sf_dir: str) -> search_index.SearchIndex:
+    """The search index of `hierarchy`, stored when a session first asks for it."""
+    tables = ("region", "nation", "supplier", "customer")
+    return search_index.opened(spark, _once(spark, sf_dir, "search", tables, lambda name: search_index.store(hierarchy(spark, sf_dir).vertices, name)))
 
 
 def _id(prefix: str, *columns: str):

@@ -115,6 +115,12 @@ def substring_search(spark, sf):
     return D.hierarchy(spark, sf).search("R#00000001", limit=None).select("vid", "tag", "label")
 
 
+@query(f"WITH {_V} SELECT vid, tag, label FROM v WHERE lower(label) LIKE '%r#0000001%'")
+def indexed_search(spark, sf):
+    """The same by stored postings: suppliers and customers of several numbers."""
+    return D.searched(spark, sf).search("R#0000001", limit=None)
+
+
 # ---- the projection to person links
 
 
@@ -279,6 +285,16 @@ def cosine_topk(spark, sf):
     return R.nearest(a.where("id % 50 = 0"), a, 5).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
+@query(
+    """WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT q.vec_id AS query_id, a.vec_id, list_dot_product(q.v, a.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(a.v, a.v)) AS s FROM a AS q JOIN a ON q.vec_id <> a.vec_id)
+SELECT query_id, vec_id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS i FROM c) WHERE i <= 3"""
+)
+def nearest_of_all(spark, sf):
+    """The three nearest of every vector, in blocks that meet in the shuffle."""
+    a = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return R.nearest(a, a, 3, block=64).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+
+
 #: A customer's answer about public office, by market segment.
 _PEP = {"AUTOMOBILE": "Yes - immediate Family of a PEP", "MACHINERY": "under assessment", "BUILDING": "None", "FURNITURE": "-"}
 _PEP_SQL = "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'associate' WHEN 'MACHINERY' THEN 'self' END"

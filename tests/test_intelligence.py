@@ -426,9 +426,11 @@ def test_import_lines_and_first_rows(spark, tmp_path):
     assert rows(csv_import.Import(made.vertices, None, wrong, made.structure).errors(), "line", "column") == {(9, "age")}
 
 
-def test_nearest_blocks_and_ties(spark):
+@pytest.mark.parametrize("near", [False, True])
+def test_nearest_blocks_and_ties(spark, near):
     rng = random.Random(3)
-    data = [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(90)] + [(900, [0.0] * 4), (901, None)]
+    value = (lambda i: rng.gauss(4 * (i % 2), 0.1)) if near else (lambda i: rng.choice([0.0, 1.0, 2.0]))  # two far clouds, or ties
+    data = [(i, [value(i) if near and k == 0 else rng.gauss(0, 1) if near else value(i) for k in range(4)]) for i in range(90)] + [(900, [0.0] * 4), (901, None)]
     df = spark.createDataFrame(data, "id int, vector array<double>").repartition(4)
     q = df.where("id % 3 = 0")
 
@@ -441,7 +443,7 @@ def test_nearest_blocks_and_ties(spark):
         if i % 3 == 0 and v is not None:
             best = sorted((-round(cosine(v, u), 9), j) for j, u in data if j != i and u is not None)[:5]
             want |= {(i, j, k + 1) for k, (_, j) in enumerate(best)}
-    got = {(r.query, r.id, round(r.score, 9)) for r in R.nearest(q, df, 5, block=7).collect()}
+    got = {(r.query, r.id, round(r.score, 9)) for r in R.nearest(q, df, 5, block=7, slice_rows=40).collect()}
     assert len(got) == len(want) and {x[0] for x in got} == {x[0] for x in want}
     for i in {x[0] for x in want}:  # equal scores may be told apart by the last bit
         mine = sorted(-s for a, _, s in got if a == i)
