@@ -290,9 +290,9 @@ def cosine_topk(spark, sf):
 SELECT query_id, vec_id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS i FROM c) WHERE i <= 3"""
 )
 def nearest_of_all(spark, sf):
-    """The three nearest of every vector, in blocks that meet in the shuffle."""
+    """The three nearest of every vector; in blocks that meet in the shuffle from 2,049 vectors on."""
     a = D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return R.nearest(a, a, 3, block=64).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
+    return R.nearest(a, a, 3).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 #: A customer's answer about public office, by market segment.
