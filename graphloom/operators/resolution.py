@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -344,11 +345,22 @@ def _least(n: int):
     return run
 
 
+#: Candidates of a block that a task holds before it keeps the best of each query.
+HELD = 500_000
+
+
 def _met(top: int):
-    """Blocks of queries, each followed by the rows that it meets: the best of each batch, then of the block."""
+    """Blocks of queries, each followed by the rows that it meets: a block's best, by score and id, once all its rows have come."""
+
+    def best(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        t = pa.Table.from_batches(parts)
+        t = t.take(pc.sort_indices(t, [("query", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        of = t["query"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        return t.filter(pa.array(place < top)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, held, meets = None, [], [], None
+        key, ids, held, meets, parts = None, [], [], None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -357,14 +369,20 @@ def _met(top: int):
             for a, b in zip(starts, starts[1:], strict=False):
                 part, now = batch.slice(a, b - a), tuple(keys[a][:3])
                 if now != key:
-                    key, ids, held, meets = now, [], [], None
+                    if parts:
+                        yield from best(parts)
+                    key, ids, held, meets, parts = now, [], [], None, []
                 if keys[a][3] == 0:
                     ids += part.column(4).to_pylist()
                     held.append(_matrix(part.column(5)))
                 elif ids:
                     if meets is None:
                         meets = _top_rows(ids, np.concatenate(held), top)
-                    yield from meets(iter([part.select([4, 5])]))
+                    parts += meets(iter([part.select([4, 5])]))
+                    if sum(x.num_rows for x in parts) > HELD:
+                        parts = best(parts)
+        if parts:
+            yield from best(parts)
 
     return run
 
