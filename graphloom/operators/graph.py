@@ -12,6 +12,10 @@ from graphloom.operators.lineage import cut
 from graphloom.sinks.catalog import SchemaError
 
 
+#: Vertices of a frontier that are asked for by name.
+NAMED = 500
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """vertices(vid, tag, label, ...) and edges(src, dst, edge_type, rank, ...)."""
@@ -132,18 +136,49 @@ class PropertyGraph:
             seen = seen.unionByName(frontier)
         return seen
 
+    def _step(self, frontier: DataFrame, n: int, direction: str, edge_type: str | None) -> DataFrame:
+        """Edges (a, b) that leave the n vertices of frontier(vid) in a direction; few are asked for by name, which the scan can look at."""
+        start, end = ("src", "dst") if direction == "out" else ("dst", "src")
+        e = self.edges if edge_type is None else self.edges.where(F.col("edge_type") == edge_type)
+        if n <= NAMED:
+            e = e.where(F.col(start).isin([r.vid for r in frontier.collect()]))
+        else:
+            e = e.join(frontier.select(F.col("vid").alias(start)), start, "left_semi")
+        return e.select(F.col(start).alias("a"), F.col(end).alias("b")).where("b IS NOT NULL").distinct()
+
     def shortest_paths(self, src: str, dst: str, max_steps: int = 5, edge_type: str | None = None) -> DataFrame:
-        """All shortest directed paths as arrays of vids."""
-        e = self._from("out", edge_type).select("a", "b").distinct()
-        near = self.k_hop(self.vertices.sparkSession.createDataFrame([(src,)], "vid string"), max_steps, "out", edge_type)
-        step = e.join(near.select(F.col("vid").alias("a"), F.col("depth").alias("_da")), "a").join(near.select(F.col("vid").alias("b"), F.col("depth").alias("_db")), "b").where("_db = _da + 1")
-        found = near.where(F.col("vid") == dst).select("depth").first()
-        paths = self.vertices.sparkSession.createDataFrame([(dst, [dst])], "a string, path array<string>")
-        if not found:
-            return paths.select("path").limit(0)
-        for d in range(found[0], 0, -1):
-            paths = step.where(F.col("_db") == d).select(F.col("a").alias("_p"), "b").join(paths.withColumnRenamed("a", "b"), "b").select(F.col("_p").alias("a"), F.concat(F.array("_p"), "path").alias("path"))
-        return paths.where(F.col("a") == src).select("path")
+        """All shortest directed paths as arrays of vids; src alone if it is dst.
+
+        Both ends grow, the one with the smaller frontier first, until their last levels
+        meet: a path has then one vertex in each level, and is rebuilt from the meeting ones.
+        """
+        spark = self.vertices.sparkSession
+        sides = {"out": [spark.createDataFrame([(src,)], "vid string")], "in": [spark.createDataFrame([(dst,)], "vid string")]}
+        crossed: dict[str, list[DataFrame]] = {"out": [], "in": []}
+        size = {"out": 1, "in": 1}
+        met = sides["out"][0].join(sides["in"][0], "vid", "left_semi")
+        while met.isEmpty():
+            if len(crossed["out"]) + len(crossed["in"]) >= max_steps:
+                return spark.createDataFrame([], "path array<string>")
+            way = "out" if size["out"] <= size["in"] else "in"
+            levels = sides[way]
+            step = cut(self._step(levels[-1], size[way], way, edge_type))
+            new = step.select(F.col("b").alias("vid")).distinct()
+            for level in levels:
+                new = new.join(level, "vid", "left_anti")
+            new = cut(new)
+            size[way] = new.count()
+            if not size[way]:
+                return spark.createDataFrame([], "path array<string>")
+            levels.append(new)
+            crossed[way].append(step)
+            met = sides["out"][-1].join(sides["in"][-1], "vid", "left_semi")
+        paths = met.select(F.col("vid").alias("first"), F.col("vid").alias("last"), F.array("vid").alias("path"))
+        for step in reversed(crossed["out"]):
+            paths = paths.join(step, F.col("first") == F.col("b")).select(F.col("a").alias("first"), "last", F.concat(F.array("a"), "path").alias("path"))
+        for step in reversed(crossed["in"]):
+            paths = paths.join(step, F.col("last") == F.col("b")).select("first", F.col("a").alias("last"), F.concat("path", F.array("a")).alias("path"))
+        return paths.select("path")
 
     def expand(self, root: str, depth: int = 1) -> tuple[DataFrame, DataFrame]:
         """(vid, depth) around root, itself included though unknown, and the edges that the steps crossed."""
