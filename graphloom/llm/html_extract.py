@@ -77,7 +77,15 @@ def _tree(html: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str |
     articles = [False]  # whether in article or main
     pieces: list[tuple[int, str | None]] = []
     stack = [0]
+    blocks = [0]  # for each place of the stack, the last place up to it that holds a block (0: none)
+    places: dict[str, list[int]] = {}  # of the open elements of a name, so that no tag walks the stack
     at = 0
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            places[elements[e][1]].pop()
+        del stack[k:], blocks[k:]
+
     for m in [*_PIECE.finditer(html), None]:
         if piece := html[at : m.start() if m else len(html)]:
             pieces.append((stack[-1], unescape(piece)))
@@ -92,21 +100,18 @@ def _tree(html: str) -> tuple[list[tuple[int, str, str]], list[tuple[int, str |
         elif name == "br":
             pieces.append((stack[-1], " "))
         if m["close"]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]][1] == name), None)
-            if k is not None:
-                del stack[k:]
+            if places.get(name):
+                close(places[name][-1])
             continue
         attrs = m["attrs"] or m["open"] or ""
         if name not in VOID and not attrs.rstrip().endswith("/"):
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th"):  # these end an open one of their kind
-                for i in range(len(stack) - 1, 0, -1):
-                    if elements[stack[i]][1] == name:
-                        del stack[i:]
-                        break
-                    if elements[stack[i]][1] in BLOCKS:
-                        break
+                if places.get(name) and places[name][-1] >= blocks[-1]:
+                    close(places[name][-1])
             top = stack[-1]
             boilerplate = _boilerplate(name, attrs, articles[top])
+            places.setdefault(name, []).append(len(stack))
+            blocks.append(len(stack) if name in BLOCKS else blocks[-1])
             stack.append(len(elements))
             elements.append((top, name, boilerplate))
             articles.append(articles[top] or name in ("article", "main"))
