@@ -5,6 +5,9 @@ suffixes of the corpus is not needed for that: a minimizer rule picks anchors, s
 that any two equal strings of 200 bytes hold an anchor at the same place, and only
 suffixes at anchors whose first 64 bytes are found again (by hash) are sorted.
 
+* Long runs of a short period (one byte again and again, say) have an anchor a period. All of a run's
+  bytes repeat one period on, so its span is told at once, and only the anchors of its first strings
+  and of those that leave it are kept: each text still has all anchors of the first of equal strings.
 * Runs: each task sorts its suffixes and front-codes them: a suffix is the length of
   the prefix that it shares with the one before, and the rest.
 * Exchange: runs are cut at the same bounds everywhere. The order's first key is the
@@ -40,6 +43,8 @@ LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
 #: Window starts handled at once; suffixes in a run; suffixes resolved at once; rows handed to Python at once.
 SEGMENT, RUN, BLOCK, BATCH = 262_144, 40_000, 20_000, 256
+#: Periods whose runs are told at once, in texts of so many bytes; shorter texts have few anchors whatever they hold.
+PERIOD, LONG = 32, 16_384
 #: Suffixes that a range of the merge holds on average; the number of ranges follows their count.
 RANGE = 25_000
 
@@ -87,8 +92,20 @@ def _sliding(h: np.ndarray, w: int, pick) -> np.ndarray:
     return pick(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def stretches(a: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, d): maximal runs of a with period d <= PERIOD and at least LENGTH + d bytes, each byte of which lies in a repeated string."""
+    found = []
+    for d in range(1, min(PERIOD, len(a) - LENGTH) + 1):
+        some = a[:-d:64] == a[d::64]  # LENGTH equal places in a row hold three of every 64th
+        if not (some[2:] & some[1:-1] & some[:-2]).any():
+            continue
+        ends = np.flatnonzero(np.diff((a[:-d] == a[d:]).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+        found += [(s, e + d, d) for s, e in ends[ends[:, 1] - ends[:, 0] >= LENGTH].tolist()]
+    return found
+
+
 def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the strings that are least in a window of some 200-byte string; ties all count."""
+    """Places and hashes of the strings that are least in a window of some 200-byte string; ties all count, but those within a long run of a short period."""
     a = np.frombuffer(text, np.uint8)
     places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for at in range(0, len(a) - LENGTH + 1, SEGMENT):
@@ -96,6 +113,11 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         least = _sliding(h, WINDOW, np.minimum)
         padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
         chosen = np.flatnonzero(_sliding(padded, WINDOW, np.maximum) == h)
+        if len(a) >= LONG:
+            keep = np.ones(len(chosen), bool)
+            for s, e, d in stretches(a[at : at + SEGMENT + LENGTH - 1]):  # the same string is found d bytes before
+                keep &= (chosen < s + 2 * d + WINDOW) | (chosen > e - LENGTH)
+            chosen = chosen[keep]
         places.append(chosen + at)
         hashes.append(h[chosen])
     p, first = np.unique(np.concatenate(places), return_index=True)
@@ -312,11 +334,13 @@ def repeated_spans(runs: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
 def _runs(n_ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[bytes, bytes, bytes, int]] = []
+        periodic: dict[bytes, list[tuple[int, int]]] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
             held.sort()
             ranges: dict[int, list] = {}
-            told: dict[bytes, list[tuple[int, int]]] = {}
+            told = dict(periodic)
+            periodic.clear()
             for (suffix, left), equal in groupby(held, key=itemgetter(0, 1)):
                 members = [(digest, pos) for _, _, digest, pos in equal]
                 if len(members) > 1:
@@ -335,18 +359,23 @@ def _runs(n_ranges: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 some = batch.slice(k, 64)
-                for digest, text, places in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    at = np.array(places)
+                for row, (digest, text) in enumerate(zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True)):
+                    at = some.column(2)[row].values.to_numpy(zero_copy_only=False).astype(np.int64)
                     at = np.sort(at[at + GRAM <= len(text)])
                     if not len(at):
                         continue
                     keys = np.concatenate([gram_hashes(np.frombuffer(text, np.uint8, min(SEGMENT + GRAM, len(text) - s), s))[at[(at >= s) & (at < s + SEGMENT)] - s] for s in range(0, int(at[-1]) + 1, SEGMENT)])
+                    if len(text) >= LONG:
+                        whole = np.frombuffer(text, np.uint8)
+                        spans = [(b + s, b + e) for b in range(0, len(text) - LENGTH + 1, SEGMENT) for s, e, _ in stretches(whole[b : b + SEGMENT + LENGTH - 1])]
+                        if spans:
+                            periodic[digest] = union(spans)
                     raw = spread(keys).astype(">u8").tobytes()
                     for i, p in enumerate(at.tolist()):
                         held.append((raw[8 * i : 8 * i + 8] + text[p : p + LENGTH], text[max(0, p - WINDOW + 1) : p][::-1], digest, p))
-                if len(held) >= RUN:
-                    yield from flush()
-        if held:
+                        if len(held) >= RUN:
+                            yield from flush()
+        if held or periodic:
             yield from flush()
 
     return run
