@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from html.parser import HTMLParser
 from io import BytesIO
@@ -12,6 +14,8 @@ from pathlib import Path
 
 import brute
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -521,9 +525,6 @@ def test_empty_tables(none):
 
 def test_suffix_ranges_of_many_small_runs(monkeypatch):
     """Copies told by runs, by the merge and by other contexts, in one process."""
-    import pandas as pd
-    import pyarrow as pa
-
     monkeypatch.setattr(suffix_dedup, "RUN", 9)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 4)
     rng = random.Random(8)
@@ -576,3 +577,56 @@ def test_mixing_ties(spark):
     docs = spark.createDataFrame([(i, "w", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, source string")
     first, again = ([tuple(r) for r in mixing.mix(d, block_tokens=20).orderBy("block", "position").collect()] for d in (docs, docs.repartition(7)))
     assert first == again and len({r[0] for r in first}) == 60
+
+
+def test_suffix_runs_of_a_short_period(monkeypatch):
+    """Long runs have few anchors and lose no byte, alone, side by side, cut by segments and found in other texts."""
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    texts = [
+        noise(50) + "x" * 900 + noise(60),
+        noise(300) + "x" * 200 + noise(30),  # found in the run alone
+        noise(300) + "x" * 199 + noise(30),
+        "ab" * 700 + noise(20) + "ba" * 130,
+        noise(20) + "a" + "ba" * 100 + noise(70),
+        "xyz" * 500 + "x" * 700 + "xyz" * 80,
+        ("0123456789" * 4)[:31] * 40 + noise(9),
+        ("0123456789" * 4)[:31] * 6 + "0123456789" * 3,
+        "q" * 337,
+        "w" * 200,
+        "x" * 3000 + "y" + "x" * 3000,
+    ]
+    monkeypatch.setattr(suffix_dedup, "LONG", 0)
+    monkeypatch.setattr(suffix_dedup, "RUN", 25)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 512)
+    suffix_dedup._powers.clear()
+    raw = [t.encode() for t in texts]
+    digests = [hashlib.sha256(b).digest() for b in raw]
+    places = [suffix_dedup.anchors(b)[0].tolist() for b in raw]
+    batch = pa.RecordBatch.from_arrays([pa.array(digests), pa.array(texts), pa.array(places, pa.list_(pa.int32()))], names=["digest", "text", "places"])
+    frame = pd.concat(b.to_pandas() for b in suffix_dedup._runs(3)(iter([batch])))
+    spans = {d: [] for d in digests}
+    for _, part in frame.groupby("part"):
+        for r in suffix_dedup._merge(part).itertuples():
+            spans[r.digest].append((r.start, r.end))
+    got = [(sum(e - s for s, e in suffix_dedup.union(spans[d])), len(suffix_dedup.union(spans[d]))) for d in digests]
+    suffix_dedup._powers.clear()
+    assert got == [r[1:3] for r in brute.repeats(texts)]
+
+
+def test_suffix_anchors_of_one_byte():
+    """A million equal bytes have a few thousand anchors; their span is told by the text alone."""
+    text = b"=" * 1_000_000
+    places, _ = suffix_dedup.anchors(text)
+    assert len(places) < 3000
+    batch = pa.RecordBatch.from_arrays([pa.array([b"d" * 32]), pa.array([text.decode()]), pa.array([places.tolist()], pa.list_(pa.int32()))], names=["digest", "text", "places"])
+    frame = pd.concat(b.to_pandas() for b in suffix_dedup._runs(2)(iter([batch])))
+    assert [x for r in frame["spans"].dropna() for x in r] == [0, 1_000_000]
+
+
+def test_html_tags_without_a_start():
+    """Tags that close or end nothing cost the same however deep they stand."""
+    deep, body = "<b>" * 20_000, "<p>" + "Words of an article that go on for a while. " * 9 + "</p>"
+    began = time.process_time()
+    html_extract._tree(deep + "</i>" * 20_000 + "<p><div>" + deep + "<p></p>" * 20_000 + body)
+    assert time.process_time() - began < 5
