@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions import likeness
 from graphloom.operators.lineage import cut
 
 # Gates on a fact's confidence; candidate threshold and count; premiums for equal birth dates and nationalities.
@@ -39,28 +40,29 @@ def _with(df: DataFrame, **kinds: str) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items() if c not in df.columns})
 
 
+def _in_parts(x: DataFrame, y: DataFrame, block_rows: int, compare: Callable, schema: str) -> DataFrame:
+    """compare(key, left, right) for each pair of parts of about block_rows rows of x(block, ..) and y(block, ..), all pairs of a block in one of them."""
+    parts = lambda df, name: df.groupBy(F.col("block").alias("block")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    n = parts(x, "_n").join(parts(y, "_m"), "block")
+    meeting = ("block", "_p", "_q")
+    deal = lambda df, mine, its, other, all_: df.join(n, "block").withColumn(mine, F.pmod(F.xxhash64(*df.columns), its).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(all_) - 1))).select(*meeting, *df.columns[1:])
+    # Few bytes make much work here, so the number of tasks is told: some for each core, as each starts a worker's run.
+    spark = x.sparkSession
+    tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    a, b = (df.repartition(tasks, *meeting).groupBy(*meeting) for df in (deal(x, "_p", F.col("_n"), "_q", "_m"), deal(y, "_q", F.col("_m"), "_p", "_n")))
+    return a.cogroup(b).applyInArrow(compare, schema)
+
+
 def name_scores(left: DataFrame, right: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """block, x, y, score: the names of left(block, x) and right(block, y) whose token-sort similarity is `least` or more.
 
-    Each distinct name of a block is compared with those that `name_candidates` gives it; below INDEXED,
-    where an index rules out little, with all of the block whose lengths allow it. Then a
-    block is cut into parts of about block_rows names of the right side, each of which meets all names of
-    the left: however large a block, no task holds it.
+    A block's distinct names are cut into parts of about block_rows on both sides, and each two parts are
+    compared as arrays (see likeness.alike): however large a block, no task holds it.
     """
-    from graphloom.functions.records import token_sort_ratio
-
-    x = left.select("block", sorted_words(F.col("x")).alias("x")).where("x <> ''").distinct()
-    y = right.select("block", sorted_words(F.col("y")).alias("y")).where("y <> ''").distinct()
-    if least >= INDEXED:
-        pairs = name_candidates(x, y, least)
-    else:
-        largest = y.groupBy("block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        parts = -(-largest // block_rows) or 1
-        x = x.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        y = y.withColumn("_part", F.pmod(F.xxhash64("y"), F.lit(parts)).cast("int"))
-        n, m = F.length("x"), F.length("y")
-        pairs = x.join(y, ["block", "_part"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m))
-    return pairs.select("block", "x", "y", token_sort_ratio("x", "y").alias("score")).where(F.col("score") >= least)
+    x = left.select(F.col("block").alias("block"), sorted_words(F.col("x")).alias("x")).where("x <> ''").distinct()
+    y = right.select(F.col("block").alias("block"), sorted_words(F.col("y")).alias("y")).where("y <> ''").distinct()
+    kind = dict(x.dtypes)["block"]
+    return _in_parts(x, y, block_rows, likeness.all_alike(least), f"block {kind}, x string, y string, score double")
 
 
 def _grams(text: str, q: int) -> tuple[Column, Column]:
@@ -161,8 +163,11 @@ def resolve_records(records: DataFrame, existing: DataFrame) -> DataFrame:
         hit = r.join(given, F.col(column) == F.col("_v")).select("record", F.lit(order).alias("_o"), "id")
         exact = hit if exact is None else exact.unionByName(hit)
     exact = exact.groupBy("record").agg(F.min_by("id", "_o").alias("_exact"))
-    named = lambda df, key: df.select(F.col(key).alias("mention" if key == "record" else "id"), F.lit("").alias("type"), F.coalesce("label", F.lit("")).alias("name"), F.col("date_of_birth").alias("birth"), "nationality")
-    best = fuzzy_candidates(named(r, "record"), named(e, "id"), REVIEW_RECORD, 1, 0.10, 0.05).select(F.col("mention").alias("record"), "id", "score")
+    # A premium that no pair can have would let all names be looked for that much further down.
+    told = [F.col(c).alias(a) for c, a in (("date_of_birth", "birth"), ("nationality", "nationality")) if c in records.columns and c in existing.columns]
+    named = lambda df, key: df.select(F.col(key).alias("mention" if key == "record" else "id"), F.lit("").alias("type"), F.coalesce("label", F.lit("")).alias("name"), *told)
+    unsure = r.join(exact, "record", "left_anti")
+    best = fuzzy_candidates(named(unsure, "record"), named(e, "id"), REVIEW_RECORD, 1, 0.10, 0.05).select(F.col("mention").alias("record"), "id", "score")
     found = r.select("record").join(exact, "record", "left").join(best, "record", "left")
     sure = F.col("_exact").isNotNull()
     action = F.when(sure | (F.col("score") >= MERGE_RECORD), "merge").when(F.col("score") >= REVIEW_RECORD, "review").otherwise("create")

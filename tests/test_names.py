@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
+from graphloom.functions import likeness
 from graphloom.functions.records import token_sort_similarity
 from graphloom.operators import resolution
 
@@ -53,3 +55,24 @@ def test_a_cascade_looks_for_near_names_alone(spark):
     assert plain == {("m1", "fuzzy", "e1"), ("m2", "fuzzy", "e1"), ("m3", "new", None), ("m4", "new", None)}
     judged = resolution.cascade(m, r, adjudicate=lambda asked: asked.select("mention", "id", resolution.F.lit(True).alias("same"), resolution.F.lit(0.8).alias("confidence")))
     assert {(x.mention, x.method, x.id) for x in judged.collect()} == {("m1", "fuzzy", "e1"), ("m2", "fuzzy", "e1"), ("m3", "new", None), ("m4", "embedding+llm", "e2")}
+
+
+@pytest.mark.parametrize("least", [0.43, 0.6, 0.9])
+def test_names_as_arrays_are_alike_as_one_by_one(least):
+    r = random.Random(4)
+    made = lambda: " ".join("".join(r.choice("abcdeé語 ") for _ in range(r.randint(0, 12))) for _ in range(r.randint(1, 9)))
+    xs = [made() for _ in range(600)] + ["a" * 64, "b" * 65, "ab" * 40, "", " "]
+    ys = [made() for _ in range(60)] + ["a" * 64, "a" * 63, "b" * 65, "ab" * 39, ""]
+    want = {(i, j): s for i, x in enumerate(xs) for j, y in enumerate(ys) if (s := token_sort_similarity(x, y)) >= least}
+    got = {(int(i), int(j)): float(s) for part in likeness.alike(xs, ys, np.full(len(xs), least)) for i, j, s in zip(*part, strict=True) if s >= least}
+    assert got == want
+
+
+def test_records_are_looked_for_no_further_than_they_can_match(spark, monkeypatch):
+    """Without birth dates and nationalities no premium lowers what a name needs; a passport needs no names."""
+    seen, candidates = [], resolution.fuzzy_candidates
+    monkeypatch.setattr(resolution, "fuzzy_candidates", lambda m, r, *more: seen.append((m.columns, m.count())) or candidates(m, r, *more))
+    e = spark.createDataFrame([("e1", "Ann Lee", "P1"), ("e2", "Carla Montez Diaz", None)], "id string, label string, passport_number string")
+    r = spark.createDataFrame([("a", "Whoever", "P1"), ("b", "Diaz Carla Montez", None), ("c", "Carla Montez", None)], "record string, label string, passport_number string")
+    got = {x.record: (x.action, x.id) for x in resolution.resolve_records(r, e).collect()}
+    assert got == {"a": ("merge", "e1"), "b": ("merge", "e2"), "c": ("review", None)} and seen == [(["mention", "type", "name"], 2)]
