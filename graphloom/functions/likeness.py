@@ -110,3 +110,47 @@ def all_alike(least: float) -> Callable:
         return pa.table({"block": left["block"].take(pa.array(i)), "x": left["x"].take(pa.array(i)), "y": right["y"].take(pa.array(j)), "score": score})
 
     return part
+
+
+def best_alike(least: float, top: int, birth: float, nationality: float) -> Callable:
+    """For a part of a block's names on each side, left(block, x, _b, _c) and right(block, y, _b, _c, id): the `top` ids and their scores of each row.
+
+    The score is the similarity and what an equal, known _b and _c add, at most 1, rounded to four digits; equal scores go by id.
+    An id may come with several names: then a row keeps as many more.
+    """
+
+    def part(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, sort_keys=[("id", "ascending")], null_placement="at_start"))
+        x, y = left["x"].to_pylist(), right["y"].to_pylist()
+        keep = top * max(c["counts"] for c in pc.value_counts(right["id"]).to_pylist())
+        marks = []
+        for c, premium in (("_b", birth), ("_c", nationality)):
+            codes = {v: k for k, v in enumerate(dict.fromkeys(right[c].to_pylist())) if v != ""}
+            marks.append((np.array([codes.get(v, -1) for v in left[c].to_pylist()]), np.array([codes.get(v, -2) for v in right[c].to_pylist()]), premium))
+        marks = [(p, q, premium) for p, q, premium in marks if premium and np.isin(p, q).any()]
+
+        def more(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return sum(premium * (p[i][:, None] == q[j]) for p, q, premium in marks)
+
+        def best(i: np.ndarray, j: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            at = np.argsort((i * 10_001 + 10_000 - units) * len(y) + j)
+            i, j, units = i[at], j[at], units[at]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            low = nth == keep - 1
+            bar[i[low]] = np.maximum(bar[i[low]], units[low] / 1e4 - 6e-5)  # what may still be among the best
+            return i[nth < keep], j[nth < keep], units[nth < keep]
+
+        bar = np.full(len(x), least - 6e-5)
+        none = np.array([], np.int64)
+        found = [(none, none, none)]
+        for i, j, score in alike(x, y, bar, more if marks else None):
+            for p, q, premium in marks:
+                score = score + np.where(p[i] == q[j], premium, 0.0)
+            units = ten_thousandths(np.minimum(score, 1.0))
+            at = (units / 1e4 >= least) & (units / 1e4 >= bar[i])
+            found.append(best(i[at], j[at], units[at]))
+        i, j, units = best(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        i, j = pa.array(i), pa.array(j)
+        return pa.table({**{c: left[c].take(i) for c in ("block", "x", "_b", "_c")}, "id": right["id"].take(j), "score": units / 1e4})
+
+    return part

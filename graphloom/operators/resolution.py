@@ -120,10 +120,34 @@ def name_candidates(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
     return found.distinct()
 
 
-def fuzzy_candidates(mentions: DataFrame, registry: DataFrame, least: float = CANDIDATE, top: int = CANDIDATES, birth: float = BIRTH, nationality: float = NATION) -> DataFrame:
-    """mention, id, score, rank: the top scored_candidates of each mention; equal scores rank by id."""
-    rank = F.row_number().over(Window.partitionBy("mention").orderBy(F.desc("score"), "id"))
-    return scored_candidates(mentions, registry, least, birth, nationality).withColumn("rank", rank).where(F.col("rank") <= top)
+def fuzzy_candidates(mentions: DataFrame, registry: DataFrame, least: float = CANDIDATE, top: int = CANDIDATES, birth: float = BIRTH, nationality: float = NATION, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """mention, id, score, rank: the top scored_candidates of each mention; equal scores rank by id.
+
+    Mentions that are told alike are compared once, with the first `top` of the entities that are told alike, and each
+    two parts of a type keep their best alone: pairs that come to nothing are never rows.
+    """
+    m, named, birth, nationality = _sides(mentions, registry, birth, nationality)
+    asked = m.select(F.col("block").alias("block"), "x", "_b", "_c").distinct()
+    same = Window.partitionBy("block", "y", "_b", "_c").orderBy("id")
+    theirs = named.select(F.col("block").alias("block"), "y", "_b", "_c", "id").distinct().withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= top).drop("_n")
+    kinds = dict(m.dtypes) | dict(named.dtypes)
+    found = _in_parts(asked, theirs, block_rows, likeness.best_alike(least, top, birth, nationality), f"block {kinds['block']}, x string, _b string, _c string, id {kinds['id']}, score double")
+    order = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), "id"))
+    like = ("block", "x", "_b", "_c")
+    found = found.groupBy(*like, "id").agg(F.max("score").alias("score")).withColumn("_n", order(*like)).where(F.col("_n") <= top).drop("_n")
+    best = m.join(found, [*like]).groupBy("mention", "id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", order("mention")).where(F.col("rank") <= top)
+
+
+def _sides(mentions: DataFrame, registry: DataFrame, birth: float, nationality: float) -> tuple[DataFrame, DataFrame, float, float]:
+    """(mention, block, x, _b, _c of mentions; id, block, y, _b, _c of all names of entities; the premiums that pairs can have)."""
+    both = lambda c: c in mentions.columns and c in registry.columns
+    birth, nationality = (p if both(c) else 0.0 for c, p in (("birth", birth), ("nationality", nationality)))
+    told = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in (("birth", "_b"), ("nationality", "_c"))]
+    m = _with(mentions, birth="string", nationality="string").select("mention", F.col("type").alias("block"), sorted_words(F.col("name")).alias("x"), *told)
+    r = _with(registry, birth="string", nationality="string", aliases="array<string>")
+    named = r.select("id", F.col("type").alias("block"), *told, F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_n"))
+    return m.where("x <> ''"), named.select("id", "block", "_b", "_c", sorted_words(F.col("_n")).alias("y")).where("y <> ''"), birth, nationality
 
 
 def scored_candidates(mentions: DataFrame, registry: DataFrame, least: float, birth: float = BIRTH, nationality: float = NATION) -> DataFrame:
@@ -133,18 +157,11 @@ def scored_candidates(mentions: DataFrame, registry: DataFrame, least: float, bi
     nationality if known. The score is the best token-sort similarity to the name or an
     alias, with a premium for each of the two that is equal and known, at most 1.
     """
-    both = lambda c: c in mentions.columns and c in registry.columns
-    birth, nationality = (p if both(c) else 0.0 for c, p in (("birth", birth), ("nationality", nationality)))
-    m = _with(mentions, birth="string", nationality="string").withColumn("_x", sorted_words(F.col("name")))
-    r = _with(registry, birth="string", nationality="string", aliases="array<string>")
-    named = r.select("id", "type", "birth", "nationality", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_n"))
-    named = named.select("id", "type", "birth", "nationality", sorted_words(F.col("_n")).alias("_y"))
-    scores = name_scores(m.select(F.col("type").alias("block"), F.col("_x").alias("x")), named.select(F.col("type").alias("block"), F.col("_y").alias("y")), least - birth - nationality)
-    m = m.select("mention", F.col("type").alias("block"), F.col("_x").alias("x"), F.col("birth").alias("_b"), F.col("nationality").alias("_c"))
-    named = named.withColumnsRenamed({"type": "block", "_y": "y"})
-    found = m.join(scores, ["block", "x"]).join(named, ["block", "y"])
+    m, named, birth, nationality = _sides(mentions, registry, birth, nationality)
+    scores = name_scores(m.select("block", "x"), named.select("block", "y"), least - birth - nationality - 6e-5)
+    found = m.join(scores, ["block", "x"]).join(named.withColumnsRenamed({"_b": "_birth", "_c": "_nation"}), ["block", "y"])
     more = lambda a, b, c: F.when((F.col(a) != "") & (F.col(a) == F.col(b)), F.lit(c)).otherwise(F.lit(0.0))
-    score = F.round(F.least(F.lit(1.0), F.col("score") + more("_b", "birth", birth) + more("_c", "nationality", nationality)), 4)
+    score = F.round(F.least(F.lit(1.0), F.col("score") + more("_b", "_birth", birth) + more("_c", "_nation", nationality)), 4)
     return found.select("mention", "id", score.alias("score")).where(F.col("score") >= least).groupBy("mention", "id").agg(F.max("score").alias("score"))
 
 

@@ -76,3 +76,37 @@ def test_records_are_looked_for_no_further_than_they_can_match(spark, monkeypatc
     r = spark.createDataFrame([("a", "Whoever", "P1"), ("b", "Diaz Carla Montez", None), ("c", "Carla Montez", None)], "record string, label string, passport_number string")
     got = {x.record: (x.action, x.id) for x in resolution.resolve_records(r, e).collect()}
     assert got == {"a": ("merge", "e1"), "b": ("merge", "e2"), "c": ("review", None)} and seen == [(["mention", "type", "name"], 2)]
+
+
+@pytest.mark.parametrize("block_rows", [5_000, 9])
+def test_best_candidates_are_the_best_of_all(spark, block_rows):
+    """Equal names, equal scores, aliases, premiums and parts: against every pair, one by one."""
+    r = random.Random(7)
+    pick = lambda: r.choice(["", "1970", "1980", None])
+    name = lambda: " ".join("".join(r.choice("abc") for _ in range(r.randint(2, 5))) for _ in range(r.randint(1, 2)))
+    m = [(f"m{k}", r.choice(["p", "q", None]), r.choice([name(), "abc ab", ""]), pick(), pick()) for k in range(60)]
+    e = [(f"e{k}", r.choice(["p", "q", None]), r.choice([name(), "ab  ABC"]), [name(), "ab abc", None][: r.randint(0, 3)], pick(), pick()) for k in range(70)]
+    want = set()
+    for mention, kind, n, b, c in m:
+        scores = {}
+        for i, other, first, more, b2, c2 in e:
+            for y in [first, *more]:
+                if kind and kind == other and n and y:
+                    s = token_sort_similarity(n.lower(), y.lower()) + (0.07 if b and b == b2 else 0.0) + (0.03 if c and c == c2 else 0.0)
+                    scores[i] = max(scores.get(i, 0), round(min(1.0, s), 4))
+        best = sorted((-s, i) for i, s in scores.items() if s >= 0.5)[:3]
+        want |= {(mention, i, -s, k + 1) for k, (s, i) in enumerate(best)}
+    asked = spark.createDataFrame(m, "mention string, type string, name string, birth string, nationality string")
+    known = spark.createDataFrame(e, "id string, type string, name string, aliases array<string>, birth string, nationality string")
+    got = {(x.mention, x.id, x.score, x.rank) for x in resolution.fuzzy_candidates(asked, known, 0.5, 3, block_rows=block_rows).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_pairs_of_one_name_are_no_rows(spark, monkeypatch):
+    """300 mentions and 300 entities of one name: each part gets one asked name and the first entities alone."""
+    met, real = [], resolution._in_parts
+    monkeypatch.setattr(resolution, "_in_parts", lambda x, y, *more: met.append((x.count(), y.count())) or real(x, y, *more))
+    m = spark.range(300).selectExpr("id AS mention", "'P' AS type", "'Ann Lee' AS name")
+    got = resolution.fuzzy_candidates(m, m.selectExpr("mention AS id", "type", "'Lee Ann' AS name"), 0.5, 5)
+    assert {(x.id, x.n) for x in got.groupBy("id").agg(resolution.F.count("*").alias("n")).collect()} == {(k, 300) for k in range(5)}
+    assert met == [(1, 5)]
