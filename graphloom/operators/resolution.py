@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +22,10 @@ MERGE_RECORD, REVIEW_RECORD = 0.92, 0.70
 AUTO, NEAR, JUDGED = 0.93, 0.75, 0.7
 #: Names of a block that one part of the comparison holds.
 BLOCK_ROWS = 5_000
-#: The similarity from which on names meet by an index.
-INDEXED = 0.6
+#: The similarity from which on names may meet by an index, and how many pairs as arrays cost as much as one that it brings together.
+INDEXED, ROW_COST = 0.85, 64
+#: What str.split takes for blanks, too: the words that are compared are the ones that are put in order.
+BLANKS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def confidence_gate(confidence: Column) -> Column:
@@ -33,7 +34,7 @@ def confidence_gate(confidence: Column) -> Column:
 
 def sorted_words(name: Column) -> Column:
     """What token-sort similarity compares: a name's words in lower case, in order."""
-    return F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.lower(name), r"\s+", " ")), " ")), " ")
+    return F.array_join(F.array_sort(F.split(F.trim(F.regexp_replace(F.lower(name), BLANKS, " ")), " ")), " ")
 
 
 def _with(df: DataFrame, **kinds: str) -> DataFrame:
@@ -56,68 +57,58 @@ def _in_parts(x: DataFrame, y: DataFrame, block_rows: int, compare: Callable, sc
 def name_scores(left: DataFrame, right: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """block, x, y, score: the names of left(block, x) and right(block, y) whose token-sort similarity is `least` or more.
 
-    A block's distinct names are cut into parts of about block_rows on both sides, and each two parts are
-    compared as arrays (see likeness.alike): however large a block, no task holds it.
+    Names meet by an index where that leaves few enough. Otherwise a block's distinct names are cut into parts
+    of about block_rows on both sides, and each two parts are compared as arrays (see likeness.alike):
+    however large a block, no task holds it.
     """
     x = left.select(F.col("block").alias("block"), sorted_words(F.col("x")).alias("x")).where("x <> ''").distinct()
     y = right.select(F.col("block").alias("block"), sorted_words(F.col("y")).alias("y")).where("y <> ''").distinct()
-    kind = dict(x.dtypes)["block"]
-    return _in_parts(x, y, block_rows, likeness.all_alike(least), f"block {kind}, x string, y string, score double")
+    scores = _indexed_scores(x, y, least)
+    return scores if scores is not None else _in_parts(x, y, block_rows, likeness.all_alike(least), f"block {dict(x.dtypes)['block']}, x string, y string, score double")
 
 
-def _grams(text: str, q: int) -> tuple[Column, Column]:
-    """(A text's runs of q characters, those in _runs told apart by number where they are repeated)."""
-    runs = F.transform(F.sequence(F.lit(1), F.length(text) - (q - 1)), lambda i: F.substring(F.col(text), i, F.lit(q)))
-    seen = lambda g, i: F.size(F.filter(F.slice(F.col("_runs"), 1, i), lambda h: h == g)).cast("string")
-    return runs, F.transform("_runs", lambda g, i: F.concat(g, F.lit("\0"), seen(g, i)))
+def _indexed_scores(x: DataFrame, y: DataFrame, least: float) -> DataFrame | None:
+    """name_scores of distinct x(block, x) and y(block, y) by their pieces, unless these are in so many names that arrays are quicker."""
+    from graphloom.functions.records import token_sort_ratio
+
+    if least < INDEXED:
+        return None
+    a, b = _pieces(x, y, least)
+    many = lambda df, name, *of: df.groupBy(*(F.col(c).alias(c) for c in of)).agg(F.count("*").alias(name))
+    product = F.sum(F.col("_n").cast("double") * F.col("_m")).alias("n")
+    met, all_ = (many(p, "_n", *of).join(many(q, "_m", *of), [*of]).agg(product) for p, q, of in ((a, b, ("block", "g")), (x, y, ("block",))))
+    met, all_ = (r["n"] or 0 for r in met.unionAll(all_).collect())
+    if met * ROW_COST > all_:
+        return None
+    return name_candidates(x, y, least).select("block", "x", "y", token_sort_ratio("x", "y").alias("score")).where(F.col("score") >= least)
+
+
+def _pieces(x: DataFrame, y: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(block, x, g of all that could be a piece of a name like x; block, y, g of y's pieces)."""
+    r = least / (2 - least)
+    size = lambda m: F.floor(m / (F.floor(2 * m * (1 - least) / least + 1e-9) + 1)).cast("int")
+    n, m = F.length("x"), F.length("y")
+    sizes = F.array_distinct(F.transform(F.sequence(F.ceil(n * r - 1e-9), F.floor(n / r + 1e-9)), size))
+    a = x.select("block", "x", F.explode(sizes).alias("_q")).where(n >= F.col("_q"))
+    a = a.select("block", "x", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n - F.col("_q") + 1), lambda i: F.substring(F.col("x"), i, F.col("_q"))))).alias("g"))
+    b = y.withColumn("_q", size(m))
+    b = b.select("block", "y", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor(m / F.col("_q")) - 1), lambda i: F.substring(F.col("y"), (i * F.col("_q") + 1).cast("int"), F.col("_q"))))).alias("g"))
+    return a, b
 
 
 def name_candidates(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
     """block, x, y: a superset of the pairs of x(block, x) and y(block, y) with a similarity of `least` or more, far smaller than all pairs.
 
-    Names of n and m characters that are so alike have L = least * (n + m) / 2 of them in
-    common, in order, and m is at least n * r with r = least / (2 - least). A run of q characters of
-    the one outlives in the other unless one of the n - L that go is in it (q runs each) or one
-    of the m - L that come is put into it (q - 1 runs each). So they share n - q + 1 - q * (n - L) - (q - 1) * (m - L) runs
-    at least, which is least where m is: n * r for single characters, n * (2 * r - 1) - 1 for pairs of characters. Two
-    sets that share so many have one of their rarest in common: of a set, all but that many, and one more. A pair
-    that meets so is counted in full, with its own lengths, and stays if it shares enough.
-    Pairs of characters serve names that are long enough for that; the rest meet by single characters.
+    Names of n and m letters that are so alike have L >= least * (n + m) / 2 of them in common, in order, and
+    n is at most m * (2 - least) / least. So at most d = 2 * m * (1 - least) / least letters go or come between them. Each
+    spoils one piece at most of y, cut into d + 1 pieces or more: one of them is in x as it is. Below INDEXED, where pieces are too short to
+    tell names apart, the pairs are found by comparing.
     """
-    r = least / (2 - least)
-    long = math.ceil(2 / (2 * r - 1)) if 2 * r > 1 else None
-    found = None
-    for q in (1, 2):
-        if q == 2 and long is None:
-            continue
-        fits = (lambda c: F.length(c) >= long) if q == 2 else (lambda c: F.lit(True) if long is None else F.length(c) < long / r)
-        sides = []
-        for side, df in (("x", x), ("y", y)):
-            named = df.where(fits(side)).select(F.lit(side).alias("side"), "block", F.col(side).alias("t"))
-            for k in (1, q):
-                runs, told = _grams("t", k)
-                named = named.withColumn("_runs", runs).withColumn("grams" if k == q else "chars", told)
-            sides.append(named.withColumn("chars", F.col("chars") if q == 2 else F.col("grams")).drop("_runs"))
-        every = cut(sides[0].unionByName(sides[1]))
-        tokens = every.select("side", "block", "t", "grams", "chars", F.explode("grams").alias("g"))
-        counts = tokens.groupBy("block", "g").agg(F.count("*").alias("c"))
-        n = F.length("t")
-        shared = n * r if q == 1 else n * (2 * r - 1) - 1
-        most = n - (q - 1) - F.ceil(shared - 1e-9) + 1
-        rank = F.row_number().over(Window.partitionBy("side", "block", "t").orderBy("c", "g"))
-        rare = cut(tokens.join(counts, ["block", "g"]).withColumn("k", rank).where(F.col("k") <= most).select("side", "block", "g", "t", "grams", "chars"))
-        a = rare.where("side = 'x'").select("block", "g", F.col("t").alias("x"), F.col("grams").alias("_x"), F.col("chars").alias("_cx"))
-        b = rare.where("side = 'y'").select("block", "g", F.col("t").alias("y"), F.col("grams").alias("_y"), F.col("chars").alias("_cy"))
-        n, m = F.length("x"), F.length("y")
-        common = least * (n + m) / 2
-        runs = F.greatest(n - 1 - 2 * (n - common) - (m - common), m - 1 - 2 * (m - common) - (n - common))
-        pairs = a.join(b, ["block", "g"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m) - 1e-9).where(F.size(F.array_intersect("_cx", "_cy")) >= common - 1e-9)
-        if q == 2:
-            pairs = pairs.where(F.size(F.array_intersect("_x", "_y")) >= runs - 1e-9)
-        if q == 1 and long is not None:  # two long names meet by pairs of characters
-            pairs = pairs.where(F.least(n, m) < long)
-        found = pairs.select("block", "x", "y") if found is None else found.unionByName(pairs.select("block", "x", "y"))
-    return found.distinct()
+    if least < INDEXED:
+        return name_scores(x, y, least).select("block", "x", "y")
+    a, b = _pieces(x, y, least)
+    n, m = F.length("x"), F.length("y")
+    return a.join(b, ["block", "g"]).where(2 * F.least(n, m) >= F.lit(least) * (n + m) - 1e-9).select("block", "x", "y").distinct()
 
 
 def fuzzy_candidates(mentions: DataFrame, registry: DataFrame, least: float = CANDIDATE, top: int = CANDIDATES, birth: float = BIRTH, nationality: float = NATION, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -131,7 +122,8 @@ def fuzzy_candidates(mentions: DataFrame, registry: DataFrame, least: float = CA
     same = Window.partitionBy("block", "y", "_b", "_c").orderBy("id")
     theirs = named.select(F.col("block").alias("block"), "y", "_b", "_c", "id").distinct().withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= top).drop("_n")
     kinds = dict(m.dtypes) | dict(named.dtypes)
-    found = _in_parts(asked, theirs, block_rows, likeness.best_alike(least, top, birth, nationality), f"block {kinds['block']}, x string, _b string, _c string, id {kinds['id']}, score double")
+    scores = _indexed_scores(asked.select(F.col("block").alias("block"), "x").distinct(), theirs.select(F.col("block").alias("block"), "y").distinct(), least - birth - nationality - 6e-5)
+    found = _scored(asked, theirs, scores, least, birth, nationality) if scores is not None else _in_parts(asked, theirs, block_rows, likeness.best_alike(least, top, birth, nationality), f"block {kinds['block']}, x string, _b string, _c string, id {kinds['id']}, score double")
     order = lambda *of: F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), "id"))
     like = ("block", "x", "_b", "_c")
     found = found.groupBy(*like, "id").agg(F.max("score").alias("score")).withColumn("_n", order(*like)).where(F.col("_n") <= top).drop("_n")
@@ -159,10 +151,15 @@ def scored_candidates(mentions: DataFrame, registry: DataFrame, least: float, bi
     """
     m, named, birth, nationality = _sides(mentions, registry, birth, nationality)
     scores = name_scores(m.select("block", "x"), named.select("block", "y"), least - birth - nationality - 6e-5)
+    return _scored(m, named, scores, least, birth, nationality).groupBy("mention", "id").agg(F.max("score").alias("score"))
+
+
+def _scored(m: DataFrame, named: DataFrame, scores: DataFrame, least: float, birth: float, nationality: float) -> DataFrame:
+    """m's columns, id, score: those of m and named (see _sides) whose names are in scores, with their premiums."""
     found = m.join(scores, ["block", "x"]).join(named.withColumnsRenamed({"_b": "_birth", "_c": "_nation"}), ["block", "y"])
     more = lambda a, b, c: F.when((F.col(a) != "") & (F.col(a) == F.col(b)), F.lit(c)).otherwise(F.lit(0.0))
     score = F.round(F.least(F.lit(1.0), F.col("score") + more("_b", "_birth", birth) + more("_c", "_nation", nationality)), 4)
-    return found.select("mention", "id", score.alias("score")).where(F.col("score") >= least).groupBy("mention", "id").agg(F.max("score").alias("score"))
+    return found.select(*m.columns, "id", score.alias("score")).where(F.col("score") >= least)
 
 
 def resolve_records(records: DataFrame, existing: DataFrame) -> DataFrame:

@@ -110,3 +110,31 @@ def test_pairs_of_one_name_are_no_rows(spark, monkeypatch):
     got = resolution.fuzzy_candidates(m, m.selectExpr("mention AS id", "type", "'Lee Ann' AS name"), 0.5, 5)
     assert {(x.id, x.n) for x in got.groupBy("id").agg(resolution.F.count("*").alias("n")).collect()} == {(k, 300) for k in range(5)}
     assert met == [(1, 5)]
+
+
+@pytest.mark.parametrize("least", [0.86, 0.9, 0.97])
+def test_index_and_arrays_tell_the_same(spark, monkeypatch, least):
+    """Names with letters that go and come, blanks of all kinds: by their pieces, and each with each."""
+    r = random.Random(9)
+    left = ["".join(r.choice("0123456789abcdef ") for _ in range(r.randint(1, 45))) for _ in range(150)] + ["ann\xa0lee", "a"]
+    right = ["lee ann", "Ann  Lee", "a"]
+    for n in left * 3:
+        made = list(n)
+        for _ in range(r.randint(0, 6)):
+            made[(k := r.randrange(len(made) + 1)) : k + r.randint(0, 1)] = r.choice(["", "x", "7"])
+        right.append("".join(made))
+    x, y = (spark.createDataFrame([("p", n) for n in names], f"block string, {c} string") for c, names in (("x", left), ("y", right)))
+    told = []
+    for cost in (0, 1e9):
+        monkeypatch.setattr(resolution, "ROW_COST", cost)
+        told.append({(t.x, t.y): t.score for t in resolution.name_scores(x, y, least).collect()})
+    fold = lambda names: {" ".join(sorted(n.lower().split())) for n in names} - {""}
+    want = {(p, q): s for p in fold(left) for q in fold(right) if (s := token_sort_similarity(p, q)) >= least}
+    assert told == [want, want] and len(want) > 150
+
+
+def test_pieces_bring_few_names_together(spark):
+    """Hexadecimal digits, any two of which are in most names: the index's work, before anything is counted, is a sliver of all pairs."""
+    names = spark.range(2_000).selectExpr("'p' AS block", "md5(string(id)) AS x")
+    a, b = resolution._pieces(names, names.withColumnRenamed("x", "y").selectExpr("block", "reverse(y) AS y"), 0.93)
+    assert a.join(b, ["block", "g"]).count() < 2_000 * 2_000 / 1_000
